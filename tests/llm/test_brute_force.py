@@ -136,7 +136,7 @@ def tokenizer():
 
 
 def test_encoder(tokenizer, documents):
-    texts = [*documents.values(), "a  b", " a ", "x\n y", "", " ", "  a", "a b", "<|endoftext|> it's  \n\n 12 ab12"]
+    texts = [*documents.values(), "a  b", " a ", "x\n y", "", " ", "  a", "a b", "<|endoftext|> it's  \n\n 12 ab12", "\nx\n", "a\tb c\t", "don't we'll\n12 34,5 \u0416\u0444 naïve", "x\u00a0y z\u00a0"]
     encode = tokens.Encoder(tokens.tokenizer_file())
     for _ in range(2):
         for t, ids in zip(texts, encode(texts), strict=True):
