@@ -84,11 +84,11 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 class Words:
     """The words of some texts: start and end in the joined bytes, text number, 64-bit hash."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], space: np.ndarray = SPACE) -> None:
         self.data = np.frombuffer(b"\n".join(texts), np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         inside = np.zeros(len(self.data) + 2, bool)
-        inside[1:-1] = ~SPACE[self.data]
+        inside[1:-1] = ~space[self.data]
         turns = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = turns[::2], turns[1::2]
         self.text = np.searchsorted(ends, self.start, "left")
