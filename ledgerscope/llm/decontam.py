@@ -2,8 +2,8 @@
 
 Words are hashed to buckets and weighted by TF-IDF over passages of the corpus. A
 randomised subspace iteration, summed over all passages, gives the leading right
-singular vectors; the very first ones, which tell languages and not contents, are left
-out. Passages and items are compared by cosine in that space, and candidates by the
+singular vectors, each divided by its share of the variance, so that directions that
+tell languages and not contents don't outweigh the others. Passages and items are compared by cosine in that space, and candidates by the
 longest common subsequence of words and by the item's last words, its answer.
 """
 
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import Words, rows, steps, table, texts
 
-BUCKETS, RANK, SKIP = 1 << 14, 64, 3
+BUCKETS, RANK = 1 << 14, 64
+#: Taken off every inverse frequency, so that words in a twentieth of all passages or more weigh nothing.
+COMMON = 3.0
 WINDOW, STRIDE = 32, 16
-COSINE, COVERED, COVERED_WITH_ANSWER, ANSWER = 0.42, 0.8, 0.6, 5
+COSINE, COVERED, COVERED_WITH_ANSWER, ANSWER = 0.48, 0.8, 0.6, 5
 #: Items compared at once; more are taken in blocks.
 ITEM_BLOCK = 20_000
 
@@ -57,12 +59,12 @@ def _document_frequency(window: int):
 
 
 def inverse_frequency(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
-    """ln((1 + passages) / (1 + passages with the bucket)) of every bucket, over all documents."""
+    """ln((1 + passages) / (1 + passages with the bucket)) less COMMON, 0 at least, of every bucket, over all documents."""
     counts = docs.mapInArrow(_document_frequency(window), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS)
     known = counts["bucket"] >= 0
     df[counts["bucket"][known]] = counts["n"][known]
-    return np.log((1 + counts["n"][~known].sum()) / (1 + df)).astype(np.float32)
+    return np.maximum(np.log((1 + counts["n"][~known].sum()) / (1 + df)) - COMMON, 0).astype(np.float32)
 
 
 def _products(idf, basis, window: int):
@@ -90,12 +92,12 @@ def _products(idf, basis, window: int):
     return run
 
 
-def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, skip: int = SKIP, rounds: int = 1, window: int = WINDOW, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors (BUCKETS x rank) of the corpus's passages, without the first skip.
+def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 1, window: int = WINDOW, seed: int = 7) -> np.ndarray:
+    """Leading right singular vectors (BUCKETS x rank) of the corpus's passages, whitened.
 
-    Only sums of fixed size, BUCKETS x (rank + skip), come to the driver.
+    Only sums of fixed size, BUCKETS x rank, come to the driver.
     """
-    spark, size = docs.sparkSession, rank + skip
+    spark, size = docs.sparkSession, rank
     v = np.random.default_rng(seed).standard_normal((BUCKETS, size)).astype(np.float32)
     for _ in range(rounds):
         task = _products(spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(v), window)
@@ -104,11 +106,11 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, skip: int =
         z = np.zeros((BUCKETS, size))
         z[sums["bucket"]] = sums[names].to_numpy()
         if not z.any():
-            return v[:, skip:]
+            return v
         q, r = np.linalg.qr(z)
         u, s, _ = np.linalg.svd(r)
         v = (q @ u).astype(np.float32)
-    return np.ascontiguousarray(v[:, skip:])
+    return np.ascontiguousarray(v / np.maximum(s, 1e-6 * s[0]).astype(np.float32))
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -134,6 +136,7 @@ class Items:
         w = words_of(raw)
         cuts = np.cumsum(w.per_text)[:-1] if len(raw) else []
         self.words = [x.tolist() for x in np.split(w.hash, cuts)]
+        self.sets = [frozenset(x) for x in self.words]
         self.ids = ids
         b = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
         v = np.zeros((len(raw), basis.shape[1]), np.float32)
@@ -144,36 +147,45 @@ class Items:
 def _search(items, idf, basis, cosine: float, covered: float, with_answer: float, answer: int, window: int, stride: int):
     def run(batches):
         own, weight, v = items.value, idf.value, basis.value
-        longest = max(map(len, own.words), default=0)
+        size = np.array([len(x) for x in own.words], int)
+        longest = int(size.max(initial=0))
+        everything, short = np.flatnonzero(size), np.flatnonzero((size > 0) & (size <= 5 * window // 8))
         for batch, raw in steps(batches, limit=1 << 20):
             w = words_of(raw)
             first = np.cumsum(w.per_text) - w.per_text
-            n = np.maximum(1, -(-np.maximum(w.per_text - (window - stride), 0) // stride)) * (w.per_text > 0)
-            text = np.repeat(np.arange(len(raw)), n)
-            start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
-            end = np.minimum(start + window, (first + w.per_text)[text])
             best: dict[tuple[int, int], tuple] = {}
-            if len(text):
+            sums = np.zeros((len(w.hash) + 1, v.shape[1]), np.float64)
+            if len(w.hash):
                 b = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
-                sums = np.zeros((len(b) + 1, v.shape[1]), np.float64)
                 np.cumsum(v[b] * weight[b][:, None], axis=0, out=sums[1:])
-                vectors = (sums[end] - sums[start]).astype(np.float32)
-                vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-9)[:, None]
+            for width, step, some in ((window, stride, everything), (window // 2, stride // 2, short)):
+                if not len(some):
+                    continue
+                n = np.maximum(1, -(-np.maximum(w.per_text - (width - step), 0) // step)) * (w.per_text > 0)
+                text = np.repeat(np.arange(len(raw)), n)
+                start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
+                end = np.minimum(start + width, (first + w.per_text)[text])
                 for at in range(0, len(text), 20_000):
-                    near = vectors[at : at + 20_000] @ own.vectors.T
-                    for k, i in zip(*np.nonzero(near >= cosine), strict=True):
-                        t, item = int(text[at + k]), own.words[i]
-                        if not item:
+                    vectors = (sums[end[at : at + 20_000]] - sums[start[at : at + 20_000]]).astype(np.float32)
+                    vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-9)[:, None]
+                    near = vectors @ own.vectors[some].T
+                    before = -1
+                    for k, j in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+                        t, i = int(text[at + k]), int(some[j])
+                        item = own.words[i]
+                        if k != before:
+                            lo = max(first[t], start[at + k] - longest)
+                            hi = min(first[t] + w.per_text[t], end[at + k] + longest)
+                            place, before = w.hash[lo:hi].tolist(), k
+                            known = frozenset(place)
+                        if len(own.sets[i] & known) < with_answer * len(own.sets[i]) - (len(item) - len(own.sets[i])):
                             continue
-                        lo = max(first[t], start[at + k] - longest)
-                        hi = min(first[t] + w.per_text[t], end[at + k] + longest)
-                        place = w.hash[lo:hi].tolist()
                         share = common_subsequence(item, place) / len(item)
                         if share < with_answer:
                             continue
                         hit = has_run(item[-answer:], place)
                         if share >= covered or hit:
-                            new = (share, hit, float(near[k, i]), -int(start[at + k] - first[t]))
+                            new = (share, hit, float(near[k, j]), -int(start[at + k] - first[t]))
                             best[t, i] = max(best.get((t, i), (0.0, False, 0.0, 0)), new)
             found = sorted(best)
             values = [best[x] for x in found]
@@ -196,7 +208,7 @@ def benchmark_leaks(
     place; a leak has covered of at least covered, or at least with_answer together with
     the item's last answer words in one run (answer). near_word is the word at which
     the best window starts. Words are lower-case letters and digits. Every window of
-    every document meets every item; items are taken in blocks of item_block, the only
+    every document meets every item, and windows of half the size the short items; items are taken in blocks of item_block, the only
     thing that is broadcast besides tables of fixed size. Null or empty texts and items
     leak nothing; repeated rows are reported each; empty tables give no rows.
     """

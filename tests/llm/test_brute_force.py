@@ -260,3 +260,91 @@ def test_html_without_labels(spark):
     assert got[1] == "The head\n\nFirst paragraph of the story with quite some words in it & more.\n\nSecond one, also with a number of words."
     assert (got[2], got[3], got[4]) == ("", "", "plain words")
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_benchmark_leaks(spark, documents, odd, empty):
+    """Items of the larger table in its documents, whole and paraphrased, against a search of all places."""
+    from ledgerscope.llm import decontam
+
+    con = duckdb.connect()
+    docs = dict(con.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    items = dict(con.sql("select item_id, text from '/root/testdata/sf0.01/benchmark.parquet'").fetchall())
+    words = items[3].split()
+    docs[5000] = documents[0] + " " + " ".join(w for k, w in enumerate(words) if k % 9 != 4) + " " + documents[1]
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (900, None), (901, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.benchmark_leaks(df, bench).collect()}
+    assert got.keys() == {(d, i) for d, t in docs.items() for i, x in items.items() if x in t} | {(5000, 3)}
+    assert got[5000, 3].covered < 1 and min(r.covered for k, r in got.items() if k[0] < 5000) == 1
+    assert decontam.benchmark_leaks(odd, bench).count() == 0
+    assert decontam.benchmark_leaks(empty, bench).count() == 0
+    assert decontam.benchmark_leaks(odd, bench.limit(0)).count() == 0
+
+
+def test_common_subsequence():
+    from ledgerscope.llm.decontam import common_subsequence, has_run
+
+    assert common_subsequence([1, 2, 3, 4, 2], [2, 9, 3, 2, 4]) == 3
+    assert common_subsequence([], [1]) == 0 and has_run([2, 3], [1, 2, 2, 3]) and not has_run([3, 2], [2, 3])
+
+
+def test_language_model(spark, sf, documents, odd, empty):
+    import math
+
+    from ledgerscope.llm import lm_score
+
+    toks = {i: [*t.encode().lower().split(), b""] for i, t in documents.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in documents}
+    counts = collections.Counter(w for i, ws in toks.items() if not held[i] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    got = lm_score.op7_lm_scores(spark, sf).collect()
+    assert len(got) == len(documents)
+    for r in got:
+        ws = toks[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(ws), n)
+        assert r.n_known == sum(w in counts for w in ws)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+        assert r.score < 0
+    assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
+    small = {r.doc_id: r for r in lm_score.lm_scores(odd).collect()}
+    assert small[0].n_tokens == small[1].n_tokens == small[2].n_tokens == 1
+    assert lm_score.lm_scores(empty).count() == 0
+
+
+def test_spelling_is_a_distribution():
+    """Over all bytes, next-byte probabilities add up to one."""
+    import numpy as np
+
+    from ledgerscope.llm import lm_score
+
+    words = [b"abc", b"abd", b"bcd", b"xyz"] * 5
+    where, bit, _, _ = lm_score.spelled(words)
+    counts = np.bincount((2 * where + bit).ravel(), minlength=2 * lm_score.SLOTS).reshape(-1, 2)
+    model = lm_score.Spelling(counts).fit(words)
+    total = 0.0
+    for b in range(256):
+        where, bit, which, word = lm_score.spelled([bytes([b])])
+        x, gate = model.inputs(where[:, :8], bit[:8], which[:8], own=0)
+        z = (model.weights[gate] * x.T).sum(1)
+        total += float(np.prod(lm_score.squash(np.where(bit[:8] == 1, z, -z))))
+    assert abs(total - 1) < 1e-6
+
+
+def test_pipeline(spark, sf, documents):
+    """run() against plain versions of the first four stages, and the packed ids of what they keep."""
+    import corpus_pipeline
+
+    good = {r.doc_id: r.kept for r in quality.op9_quality_rules(spark, sf).collect()}
+    kept = {i: t for i, t in documents.items() if good[i]}
+    group = classes(kept)
+    kept = {i: t for i, t in kept.items() if group[i] == i}
+    items = [x for (x,) in duckdb.connect().sql(f"select text from '{sf}/benchmark.parquet'").fetchall()]
+    kept = {i: t for i, t in kept.items() if not any(x in t for x in items)}
+    finder = secrets.Novelty()
+    kept = {i: secrets.redact(t, finder) for i, t in kept.items()}
+    encode = tokens.Encoder(tokens.tokenizer_file())
+    want = {i: len(encode([t])[0]) // 4 + 1 for i, t in kept.items()}
+    got = collections.Counter()
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] += r.length
+    assert got == want and 0 < len(got) < len(documents)
