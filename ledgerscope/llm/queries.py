@@ -26,11 +26,11 @@ SQL: dict[str, str] = {
     "op9_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), g AS (
-  SELECT doc_id, t, w, l, CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), i -> list_aggregate(w[i:i+7], 'string_agg', chr(10))) ELSE [] END AS g FROM d
+  SELECT doc_id, t, w, l, CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: list_aggregate(w[i:i+7], 'string_agg', chr(10))) ELSE [] END AS g FROM d
 ), o AS (
   SELECT doc_id, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM g
 ), r AS (
