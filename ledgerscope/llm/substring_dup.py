@@ -58,7 +58,7 @@ def anchored_runs(text_bytes: list[bytes], length: int = LENGTH, gram: int = GRA
 
 def _runs(length: int, gram: int):
     def run(batches):
-        for batch, raw in steps(batches):
+        for batch, raw in steps(batches, limit=1 << 19):  # a dozen arrays of eight bytes for each byte
             text, lo, n, h, around = anchored_runs(raw, length, gram)
             yield rows(batch.take(pa.array(text)), ["doc_id"], h=h.view(np.int64), around=around.view(np.int64), lo=lo.astype(np.int64), n=n.astype(np.int32))
 
