@@ -115,6 +115,11 @@ def rows(batch: pa.RecordBatch, keep: list[str], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, *(v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values())], names=[*keep, *columns])
 
 
+def taken(batch: pa.RecordBatch, at, *keep: str) -> pa.RecordBatch:
+    """The kept columns of batch at the given places; texts, which are long, are not repeated."""
+    return batch.select(list(keep)).take(pa.array(at, pa.int64()))
+
+
 def lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the count of each row."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import Words, rows, steps, table, texts
+from ledgerscope.llm.common import Words, rows, steps, table, taken, texts
 
 BUCKETS, RANK = 1 << 14, 64
 #: Taken off every inverse frequency, so that words in a twentieth of all passages or more weigh nothing.
@@ -190,7 +190,7 @@ def _search(items, idf, basis, cosine: float, covered: float, with_answer: float
             found = sorted(best)
             values = [best[x] for x in found]
             yield rows(
-                batch.take(pa.array([t for t, _ in found], pa.int64())), ["doc_id"], item_id=pa.array([own.ids[i] for _, i in found], pa.int64()),
+                taken(batch, [t for t, _ in found], "doc_id"), ["doc_id"], item_id=pa.array([own.ids[i] for _, i in found], pa.int64()),
                 covered=pa.array([x[0] for x in values], pa.float64()), answer=pa.array([x[1] for x in values], pa.bool_()),
                 cosine=pa.array([x[2] for x in values], pa.float64()), near_word=pa.array([-x[3] for x in values], pa.int64()),
             )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
-from ledgerscope.llm.common import mix, prefix_sums, rows, span_hashes, steps, table, texts
+from ledgerscope.llm.common import mix, prefix_sums, rows, span_hashes, steps, table, taken, texts
 from ledgerscope.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -60,7 +60,7 @@ def _runs(length: int, gram: int):
     def run(batches):
         for batch, raw in steps(batches, limit=1 << 19):  # a dozen arrays of eight bytes for each byte
             text, lo, n, h, around = anchored_runs(raw, length, gram)
-            yield rows(batch.take(pa.array(text)), ["doc_id"], h=h.view(np.int64), around=around.view(np.int64), lo=lo.astype(np.int64), n=n.astype(np.int32))
+            yield rows(taken(batch, text, "doc_id"), ["doc_id"], h=h.view(np.int64), around=around.view(np.int64), lo=lo.astype(np.int64), n=n.astype(np.int32))
 
     return run
 
@@ -109,7 +109,7 @@ def _segments(length: int):
                     lo.append(r["lo"])
                     n.append(r["n"])
                     seg.append(t[r["lo"] : r["lo"] + r["n"] - 1 + length])
-            yield rows(batch.take(pa.array(which, pa.int64())), ["doc_id"], h=pa.array(h, pa.int64()), lo=pa.array(lo, pa.int64()), n=pa.array(n, pa.int32()), seg=pa.array(seg, pa.binary()))
+            yield rows(taken(batch, which, "doc_id"), ["doc_id"], h=pa.array(h, pa.int64()), lo=pa.array(lo, pa.int64()), n=pa.array(n, pa.int32()), seg=pa.array(seg, pa.binary()))
 
     return run
 
