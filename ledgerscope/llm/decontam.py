@@ -25,6 +25,8 @@ WINDOW, STRIDE = 32, 16
 COSINE, COVERED, COVERED_WITH_ANSWER, ANSWER = 0.48, 0.8, 0.6, 5
 #: Items compared at once; more are taken in blocks.
 ITEM_BLOCK = 20_000
+#: Slots that words fall in, to bound common subsequences.
+SLOTS = 512
 
 #: ASCII letters and digits and all bytes of other characters make words.
 PART = np.ones(256, bool)
@@ -72,6 +74,8 @@ def _products(idf, basis, window: int):
 
     def run(batches):
         weight, v = idf.value, basis.value
+        none = np.zeros((1, v.shape[1]), np.float32)
+        scaled = np.vstack([v * weight[:, None], none])
         total = np.zeros(v.shape, np.float32)
         for _, raw in steps(batches, limit=1 << 20):
             w = words_of(raw)
@@ -79,13 +83,19 @@ def _products(idf, basis, window: int):
                 continue
             b = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
             p = passages(w, window)
+            tells = np.flatnonzero(weight[b])  # words without weight add nothing
+            if not len(tells):
+                continue
+            b, p = b[tells], p[tells]
             starts = np.flatnonzero(np.diff(p, prepend=-1))
+            p = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(p))))
             g = weight[b]
-            length = np.sqrt(np.add.reduceat(g * g, starts)) + 1e-9
-            y = np.add.reduceat(v[b] * g[:, None], starts) / (length**2)[:, None]
+            squares = np.add.reduceat(g * g, starts)
+            y = np.vstack([group_sums(scaled, b, starts) / squares[:, None], none])
             order = np.argsort(b, kind="stable")
-            cut = np.flatnonzero(np.diff(b[order], prepend=-1))
-            total[b[order][cut]] += np.add.reduceat(y[p[order]] * g[order][:, None], cut)
+            b, p = b[order], p[order]
+            cut = np.flatnonzero(np.diff(b, prepend=-1))
+            total[b[cut]] += group_sums(y, p, cut) * weight[b[cut], None]
         full = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(total[full, k]) for k in range(v.shape[1]))], names=["bucket", *(f"z{k}" for k in range(v.shape[1]))])
 
@@ -138,15 +148,62 @@ class Items:
         self.words = [x.tolist() for x in np.split(w.hash, cuts)]
         self.sets = [frozenset(x) for x in self.words]
         self.ids = ids
+        place = np.arange(len(w.text)) - (np.cumsum(w.per_text) - w.per_text)[w.text]
+        early = np.flatnonzero(place < 64)
+        self.masks = np.zeros((len(raw), SLOTS), np.uint64)
+        np.bitwise_or.at(self.masks, (w.text[early], (w.hash[early] % np.uint64(SLOTS)).astype(np.int64)), np.uint64(1) << place[early].astype(np.uint64))
+        self.past = np.maximum(w.per_text - 64, 0)
         b = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
         v = np.zeros((len(raw), basis.shape[1]), np.float32)
         np.add.at(v, w.text, basis[b] * idf[b][:, None])
         self.vectors = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None]
 
+    def bounds(self, item: np.ndarray, slots: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each pair of item and place, lo to hi, a length that no common subsequence exceeds.
+
+        Words are told by their slots, and all of an item's words past the 64th count as common.
+        """
+        row = np.full(len(item), ~np.uint64(0))
+        for k in range(int((hi - lo).max(initial=0))):
+            match = self.masks[item, slots[np.minimum(lo + k, hi - 1)]]
+            m = row & match
+            row = np.where(lo + k < hi, (row + m) | (row - m), row)
+        return np.bitwise_count(~row).astype(np.int64) + self.past[item]
+
+
+def group_sums(table: np.ndarray, index: np.ndarray, starts: np.ndarray, chunk: int = 8) -> np.ndarray:
+    """Sums of table[index] over the runs of index that begin at starts; the last row of table is zero."""
+    size = np.diff(np.append(starts, len(index)))
+    parts = -(-size // chunk)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(starts, parts) + (np.arange(int(parts.sum())) - np.repeat(first, parts)) * chunk
+    end = np.repeat(starts + size, parts)
+    total = table[index[at]]
+    for k in range(1, chunk):
+        total += table[np.where(at + k < end, index[np.minimum(at + k, len(index) - 1)], len(table) - 1)]
+    return np.add.reduceat(total, first)
+
+
+def block_sums(w: Words, scaled: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the words' vectors at blocks of unit words, and each text's first block."""
+    per = -(-w.per_text // unit)
+    block = np.cumsum(per) - per
+    first = np.cumsum(w.per_text) - w.per_text
+    sums = np.zeros((int(per.sum()) + 1, scaled.shape[1]))
+    b = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
+    tells = np.flatnonzero(scaled.any(1)[b])
+    if len(tells):
+        at = block[w.text[tells]] + (tells - first[w.text[tells]]) // unit
+        cut = np.flatnonzero(np.diff(at, prepend=-1))
+        sums[at[cut] + 1] = group_sums(scaled, b[tells], cut)
+    return np.cumsum(sums, axis=0), block
+
 
 def _search(items, idf, basis, cosine: float, covered: float, with_answer: float, answer: int, window: int, stride: int):
     def run(batches):
-        own, weight, v = items.value, idf.value, basis.value
+        own = items.value
+        scaled = np.vstack([basis.value * idf.value[:, None], np.zeros((1, basis.value.shape[1]), np.float32)])
+        unit = math.gcd(window, stride, window // 2, stride // 2)
         size = np.array([len(x) for x in own.words], int)
         longest = int(size.max(initial=0))
         everything, short = np.flatnonzero(size), np.flatnonzero((size > 0) & (size <= 5 * window // 8))
@@ -154,10 +211,8 @@ def _search(items, idf, basis, cosine: float, covered: float, with_answer: float
             w = words_of(raw)
             first = np.cumsum(w.per_text) - w.per_text
             best: dict[tuple[int, int], tuple] = {}
-            sums = np.zeros((len(w.hash) + 1, v.shape[1]), np.float64)
-            if len(w.hash):
-                b = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
-                np.cumsum(v[b] * weight[b][:, None], axis=0, out=sums[1:])
+            sums, block = block_sums(w, scaled, unit)
+            slots = (w.hash % np.uint64(SLOTS)).astype(np.int64)
             for width, step, some in ((window, stride, everything), (window // 2, stride // 2, short)):
                 if not len(some):
                     continue
@@ -166,16 +221,20 @@ def _search(items, idf, basis, cosine: float, covered: float, with_answer: float
                 start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
                 end = np.minimum(start + width, (first + w.per_text)[text])
                 for at in range(0, len(text), 20_000):
-                    vectors = (sums[end[at : at + 20_000]] - sums[start[at : at + 20_000]]).astype(np.float32)
+                    t = text[at : at + 20_000]
+                    lo, hi = (block[t] + -(-(x[at : at + 20_000] - first[t]) // unit) for x in (start, end))
+                    vectors = (sums[hi] - sums[lo]).astype(np.float32)
                     vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-9)[:, None]
                     near = vectors @ own.vectors[some].T
                     before = -1
-                    for k, j in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
-                        t, i = int(text[at + k]), int(some[j])
+                    k, j = np.nonzero(near >= cosine)
+                    t, i = text[at + k], some[j]
+                    lo = np.maximum(first[t], start[at + k] - longest)
+                    hi = np.minimum(first[t] + w.per_text[t], end[at + k] + longest)
+                    may = np.flatnonzero(own.bounds(i, slots, lo, hi) >= with_answer * size[i])
+                    for k, j, t, i, lo, hi in zip(*(x[may].tolist() for x in (k, j, t, i, lo, hi)), strict=True):
                         item = own.words[i]
                         if k != before:
-                            lo = max(first[t], start[at + k] - longest)
-                            hi = min(first[t] + w.per_text[t], end[at + k] + longest)
                             place, before = w.hash[lo:hi].tolist(), k
                             known = frozenset(place)
                         if len(own.sets[i] & known) < with_answer * len(own.sets[i]) - (len(item) - len(own.sets[i])):
