@@ -8,9 +8,10 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from ledgerscope.llm import html_text, near_dup, packing, quality, secrets, tokens, warc
+from ledgerscope.llm import decontam, html_text, near_dup, packing, quality, secrets, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -288,6 +289,29 @@ def test_common_subsequence():
     assert common_subsequence([], [1]) == 0 and has_run([2, 3], [1, 2, 2, 3]) and not has_run([3, 2], [2, 3])
 
 
+def test_bounds_of_common_subsequences():
+    rng = np.random.default_rng(5)
+    raw = [" ".join(f"w{k}" for k in rng.integers(0, 60, n)).encode() for n in (1, 7, 40, 63, 64, 65, 130)]
+    items = decontam.Items(list(range(len(raw))), raw, np.ones(decontam.BUCKETS, np.float32), np.ones((decontam.BUCKETS, 2), np.float32))
+    words = decontam.words_of([" ".join(f"w{k}" for k in rng.integers(0, 90, 400)).encode()]).hash
+    lo = rng.integers(0, 250, 40)
+    hi = lo + rng.integers(1, 150, 40)
+    item = rng.integers(0, len(raw), 40)
+    most = items.bounds(item, (words % np.uint64(decontam.SLOTS)).astype(np.int64), lo, hi)
+    for k in range(40):
+        exact = decontam.common_subsequence(items.words[item[k]], words[lo[k] : hi[k]].tolist())
+        assert exact <= most[k] <= len(items.words[item[k]])
+
+
+def test_group_sums():
+    rng = np.random.default_rng(6)
+    table = np.vstack([rng.standard_normal((50, 3)), np.zeros((1, 3))])
+    index = rng.integers(0, 50, 200)
+    starts = np.array([0, 1, 9, 17, 18, 100, 199])
+    want = [table[x].sum(0) for x in np.split(index, starts[1:])]
+    assert np.allclose(decontam.group_sums(table, index, starts), want)
+
+
 def test_language_model(spark, sf, documents, odd, empty):
     import math
 
