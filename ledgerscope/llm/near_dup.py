@@ -22,6 +22,8 @@ from ledgerscope.operators.components import connected_components
 REGISTERS, BANDS, PER_BAND = 128, 24, 5
 #: Of the registers, so many standard deviations below the threshold still are candidates.
 SLACK = 4.3
+#: 64-bit words of the parity sketch of a shingle set.
+PARITY = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,6 +58,17 @@ def prob_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
     return who.reshape(n_docs, registers)
 
 
+def parity_sketch(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per text, 64 * PARITY bits: whether an odd number of its shingles falls on the bit.
+
+    Two sketches differ in no more bits than the sets differ in elements.
+    """
+    bits = 64 * PARITY
+    at = doc * bits + (mix(h + _GOLDEN) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n_docs * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n_docs, PARITY)
+
+
 def _signatures(size: int):
     def run(batches):
         for batch, raw in steps(batches):
@@ -87,7 +100,11 @@ def _shingle_rows(size: int):
     def run(batches):
         for batch, raw in steps(batches):
             doc, h, _ = distinct_shingles(raw, size)
-            yield rows(batch, ["doc_id"], sh=lists(h.view(np.int64), np.bincount(doc, minlength=len(raw))))
+            odd = parity_sketch(doc, h, len(raw))
+            yield rows(
+                batch, ["doc_id"], sh=lists(h.view(np.int64), np.bincount(doc, minlength=len(raw))),
+                **{f"p{i}": np.ascontiguousarray(odd[:, i]) for i in range(PARITY)},
+            )
 
     return run
 
@@ -103,10 +120,18 @@ def _alike(threshold: float, registers: int = REGISTERS):
     return sizes & (differ <= int(registers * p + SLACK * (registers * p * (1 - p)) ** 0.5))
 
 
+def _within(threshold: float):
+    """Whether the parity sketches of a. and b. leave a similarity of threshold possible; this excludes no link."""
+    differ = F.lit(0)
+    for i in range(PARITY):
+        differ = differ + F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}")))
+    return differ <= (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
 def _verified(pairs: DataFrame, sh: DataFrame) -> DataFrame:
-    """Pairs (x, y) with the Jaccard similarity of their shingle sets."""
-    left = pairs.join(sh.select(F.col("doc_id").alias("y"), F.col("sh").alias("sh_y")), "y")
-    both = left.join(sh.select(F.col("doc_id").alias("x"), F.col("sh").alias("sh_x")), "x")
+    """Pairs (x, y) with the Jaccard similarity of their shingle sets; merged at every size, as shingles grow with the texts."""
+    left = pairs.join(sh.select(F.col("doc_id").alias("y"), F.col("sh").alias("sh_y")).hint("merge"), "y")
+    both = left.join(sh.select(F.col("doc_id").alias("x"), F.col("sh").alias("sh_x")).hint("merge"), "x")
     both = both.select("x", "y", F.size("sh_x").alias("nx"), F.size("sh_y").alias("ny"), F.size(F.array_intersect("sh_x", "sh_y")).alias("common"))
     return both.select("x", "y", (F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("jaccard"))
 
@@ -122,8 +147,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int =
 
     Texts with equal sets are stood for by one row. In each bucket only links to a hub,
     the text met most often over all buckets, are verified; what lies in other parts
-    after that is compared with the rest of its bucket unless the registers or, by the
-    triangle inequality, the distances to a common hub exclude a link.
+    after that is compared with the rest of its bucket unless the registers, the parity
+    sketches or, by the triangle inequality, the distances to a common hub exclude a
+    link. Two texts that share several buckets are compared in the first of them.
     """
     source = texts(docs.where("doc_id IS NOT NULL"), "doc_id")
     scheme = "doc_id bigint, n bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
@@ -145,7 +171,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int =
     hubs = hubs.select("bucket", (-F.col("h.low")).alias("x"))
     spokes = met.join(hubs, "bucket").where("x <> doc_id").select("x", F.col("doc_id").alias("y")).distinct()
     spokes = spokes.join(info.withColumnRenamed("doc_id", "x").alias("a"), "x").join(info.withColumnRenamed("doc_id", "y").alias("b"), "y").where(_alike(threshold)).select("x", "y")
-    sh = staged(source.join(info.select("doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_rows(size), "doc_id bigint, sh array<bigint>"), "shingles")
+    sh = staged(source.join(info.select("doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_rows(size), "doc_id bigint, sh array<bigint>, " + ", ".join(f"p{i} bigint" for i in range(PARITY))), "shingles")
     stars = staged(_verified(spokes, sh), "stars")
     near = F.col("jaccard") >= threshold - 1e-12
     parts = connected_components(stars.where(near).select("x", "y"), "x", "y")
@@ -159,11 +185,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int =
     )
     filed = met.join(placed, "doc_id")
     mixed = filed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    filed = staged(filed.join(mixed, "bucket", "left_semi"), "mixed")
+    filed = filed.join(mixed, "bucket", "left_semi").join(sh.drop("sh"), "doc_id").join(reps.select("doc_id", "bands"), "doc_id")
+    filed = staged(filed, "mixed")
     apart = (F.col("a.pivot") != F.col("b.pivot")) | F.col("a.pivot").isNull() | F.col("b.pivot").isNull() | (F.abs(F.col("a.away") - F.col("b.away")) <= 1 - threshold + 1e-9)
     across = (
-        filed.alias("a").join(filed.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & apart & _alike(threshold))
-        .select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()
+        filed.alias("a").join(filed.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & apart & _alike(threshold) & _within(threshold) & (F.array_intersect("a.bands", "b.bands")[0] == F.col("a.bucket")))
+        .select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"))
         .join(stars.select("x", "y"), ["x", "y"], "left_anti")
     )
     more = staged(_verified(across, sh).where(near), "links")

@@ -372,3 +372,14 @@ def test_pipeline(spark, sf, documents):
     for r in corpus_pipeline.run(spark, sf).collect():
         got[r.doc_id] += r.length
     assert got == want and 0 < len(got) < len(documents)
+
+
+def test_parity_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 3000):
+        a = set(rng.integers(0, 1 << 62, n).tolist())
+        b = set(list(a)[: n // 2]) | set(rng.integers(0, 1 << 62, n // 3 + 1).tolist())
+        doc = np.repeat([0, 1], [len(a), len(b)])
+        x, y = near_dup.parity_sketch(doc, np.array([*a, *b], np.uint64), 2)
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
+        assert (x == y).all() == (len(a ^ b) == 0)
