@@ -118,3 +118,34 @@ def zscores(features: DataFrame, columns: list[str], fill_null: bool = True) ->
     stats = features.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"__{c}") for c in columns))
     z = lambda c: F.when(F.col(c).isNull(), F.lit(0.0 if fill_null else None)).when(F.col(f"__{c}.s") > 0, (F.col(c) - F.col(f"__{c}.m")) / F.col(f"__{c}.s")).otherwise(0.0)
     return features.join(F.broadcast(stats)).select("node_id", *(z(c).alias(c) for c in columns))
+
+
+def simple_projection(edges: DataFrame) -> DataFrame:
+    """Undirected pairs u < v without loops and repeats."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+
+
+def both_directions(edges: DataFrame) -> DataFrame:
+    """Every edge and its reverse, with direction 0 or 1 and a relation number: the place of the type, plus the number of types for reverses."""
+    types = edges.agg(F.array_sort(F.collect_set("edge_type")).alias("types"))
+    e = edges.join(F.broadcast(types))
+    at = (F.array_position("types", F.col("edge_type")) - 1).cast("long")
+    there = e.select("src", "dst", F.lit(0).cast("long").alias("direction"), at.alias("relation"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).cast("long").alias("direction"), (at + F.size("types")).alias("relation"))
+    return there.union(back)
+
+
+def collapsed(edges: DataFrame) -> DataFrame:
+    """One row for parallel edges: the amount of the latest, the largest of those at the same time."""
+    last = F.max_by("amount", F.struct("timestamp", "amount")).alias("amount")
+    return edges.groupBy("src", "dst").agg(last, F.max("timestamp").alias("timestamp"), F.count("*").alias("parallel"))
+
+
+def frozen_zscores(fit: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of df standardised with mean and deviation of fit; 0 for nulls and for no variance."""
+    missing = [c for c in columns if c not in fit.columns or c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not in both tables: {missing}")
+    stats = fit.agg(*(f(c).alias(f"__{k}_{c}") for c in columns for k, f in (("m", F.avg), ("d", F.stddev_samp))))
+    z = {c: F.when(F.col(f"__d_{c}") > 0, F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__d_{c}"), F.lit(0.0))).otherwise(0.0) for c in columns}
+    return df.join(F.broadcast(stats)).withColumns(z).select(*df.columns)

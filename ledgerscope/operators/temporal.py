@@ -45,3 +45,26 @@ def fold_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     own = groups.join(counts.where(within), F.col("fold") == F.col("a"), "left").select("fold", F.coalesce("n", F.lit(0)).alias("test_edges"))
     total = counts.agg(F.coalesce(F.sum(F.when(within, F.col("n"))), F.lit(0)).alias("all_within"), F.coalesce(F.sum(F.when(across, F.col("n"))), F.lit(0)).alias("excluded"))
     return own.join(F.broadcast(total)).select("fold", "test_edges", (F.col("all_within") - F.col("test_edges")).alias("train_edges"), "excluded")
+
+
+def labels_as_of(history: DataFrame, t: int) -> DataFrame:
+    """Of a history (node_id, step, label) up to step t: illicit if ever so, else licit if ever so; other nodes have no row."""
+    seen = history.where((F.col("step") <= t) & F.col("label").isin("illicit", "licit"))
+    return seen.groupBy("node_id").agg(F.when(F.bool_or(F.col("label") == "illicit"), "illicit").otherwise("licit").alias("label"))
+
+
+def leakage_counts(train_nodes: DataFrame, train_edges: DataFrame, test_nodes: DataFrame, train_end: int) -> DataFrame:
+    """Rows (check, n) of what a strict split must not hold; every n is 0 for strict_split."""
+    ids = train_nodes.select("node_id").distinct()
+    ends = train_edges.select(F.col("src").alias("node_id")).union(train_edges.select("dst"))
+    found = {
+        "late_nodes": train_nodes.where(F.col("time_first_seen") > train_end),
+        "late_edges": train_edges.where(F.col("timestamp") > train_end),
+        "ends_outside": ends.join(ids, "node_id", "left_anti"),
+        "shared_nodes": ids.join(test_nodes, "node_id", "left_semi"),
+    }
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

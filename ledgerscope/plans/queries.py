@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.operators import alerts, graph, motifs, scoring, screens, temporal, text
+from ledgerscope.operators import alerts, graph, motifs, profiles, scoring, screens, temporal, text
 from ledgerscope.operators.components import connected_components
 from ledgerscope.plans.bindings import BIDS, LABELS, NODES, PAYMENTS, account_labels, bids, payments, table
 
@@ -337,3 +337,101 @@ def f16_time_histogram(spark, sf_dir):
     span = e.agg(F.min("t").alias("a"), F.max("t").alias("z"))
     place = F.least(F.lit(15), F.floor((F.col("t") - F.col("a")) / (F.col("z") - F.col("a")) * 16)).cast("long")
     return e.join(F.broadcast(span)).groupBy(place.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PAYMENTS}, {NODES}, a AS (SELECT * FROM n WHERE t <= {T0 + 100}), z AS (SELECT * FROM n WHERE t >= {T0 + 50}), x AS (SELECT * FROM e WHERE ts <= {T0 + 150})
+SELECT 'late_nodes' AS "check", count(*) AS n FROM a WHERE t > {T0} UNION ALL SELECT 'late_edges', count(*) FROM x WHERE ts > {T0}
+UNION ALL SELECT 'ends_outside', count(*) FROM (SELECT src AS node_id FROM x UNION ALL SELECT dst FROM x) WHERE node_id NOT IN (SELECT node_id FROM a)
+UNION ALL SELECT 'shared_nodes', count(*) FROM a WHERE node_id IN (SELECT node_id FROM z)""")
+def d4_leakage_counts(spark, sf_dir):
+    """The checks on a split that is loose on purpose."""
+    n, e = sized(spark, sf_dir)
+    seen = F.col("time_first_seen")
+    return temporal.leakage_counts(n.where(seen <= T0 + 100), e.where(F.col("timestamp") <= T0 + 150), n.where(seen >= T0 + 50), T0)
+
+
+@query("""SELECT 'acct:' || o_custkey AS node_id, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'illicit' ELSE 'licit' END AS label FROM orders
+WHERE o_orderstatus IN ('P', 'F') AND year(o_orderdate) <= 1996 GROUP BY 1""")
+def d9_labels_as_of(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "P", "illicit").when(F.col("o_orderstatus") == "F", "licit").otherwise("unknown")
+    history = table(spark, sf_dir, "orders").select(F.concat(F.lit("acct:"), F.col("o_custkey").cast("string")).alias("node_id"), F.year("o_orderdate").alias("step"), status.alias("label"))
+    return temporal.labels_as_of(history, 1996)
+
+
+@query(f"""WITH {COMPOSITE}, r AS (SELECT (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2) / count(*) OVER () AS p FROM y)
+SELECT CASE WHEN p >= 0.66 THEN 'high' WHEN p >= 0.33 THEN 'med' ELSE 'low' END AS band, count(*) AS n FROM r GROUP BY 1""")
+def f18_risk_bands(spark, sf_dir):
+    return profiles.risk_bands(scoring.rank_percentiles(composite(spark, sf_dir)), "percentile")
+
+
+@query(f"""WITH {PAYMENTS} SELECT src, dst, ts AS timestamp, """ + ", ".join(f"round({f}(ts * (2 * pi() / pow(10000.0, {k} / 3))), 6) AS {f}_{k}" for k in range(4) for f in ("sin", "cos")) + " FROM e")
+def i4_time_encoding(spark, sf_dir):
+    return rounded(profiles.time_encoding(payments(spark, sf_dir).select("src", "dst", "timestamp"), "timestamp"))
+
+
+@query(f"WITH {PAYMENTS} SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e WHERE src <> dst")
+def j3_simple_projection(spark, sf_dir):
+    return graph.simple_projection(payments(spark, sf_dir))
+
+
+@query(f"""WITH {FEATURES}, s AS (SELECT avg(velocity) AS m, stddev_samp(velocity) AS d, avg(holding_time_median) AS m2, stddev_samp(holding_time_median) AS d2 FROM f JOIN n USING (node_id) WHERE t <= {T0})
+SELECT node_id, round(coalesce((velocity - m) / d, 0), 6) AS velocity, round(coalesce((holding_time_median - m2) / d2, 0), 6) AS holding_time_median FROM f, s""")
+def j12_frozen_zscores(spark, sf_dir):
+    """Statistics of the accounts first seen by T0, applied to all."""
+    n, e = sized(spark, sf_dir)
+    f = graph.payment_features(n, e).select("node_id", "velocity", "holding_time_median")
+    return rounded(graph.frozen_zscores(f.join(n.where(F.col("time_first_seen") <= T0).select("node_id"), "node_id", "left_semi"), f, ["velocity", "holding_time_median"]))
+
+
+@query(f"WITH {PAYMENTS} SELECT src, dst, 0::BIGINT AS direction, 0::BIGINT AS relation FROM e UNION ALL SELECT dst, src, 1, 1 FROM e")
+def j19_both_directions(spark, sf_dir):
+    return graph.both_directions(payments(spark, sf_dir))
+
+
+@query("SELECT 'password' AS token, count(*) FILTER (contains(lower(text), 'password')) AS n FROM documents UNION ALL SELECT 'secret', count(*) FILTER (contains(lower(text), 'secret')) FROM documents")
+def m22_marked_texts(spark, sf_dir):
+    return profiles.marked_texts(table(spark, sf_dir, "documents"), ["password", "secret"])
+
+
+@query(f"WITH {PAYMENTS} SELECT src, dst, arg_max(amount, (ts, amount)) AS amount, max(ts) AS timestamp, count(*) AS parallel FROM e GROUP BY 1, 2")
+def n11_collapsed_payments(spark, sf_dir):
+    return graph.collapsed(payments(spark, sf_dir))
+
+
+@query("SELECT doc_id, upper(substr(sha256(text), 1, 10)) AS content_id FROM documents")
+def o10_content_ids(spark, sf_dir):
+    return profiles.content_ids(table(spark, sf_dir, "documents")).select("doc_id", "content_id")
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[0-9]{2,}') AS n FROM conversations)
+SELECT a.conv_id, a.turn, array_to_string(list_sort(list_distinct(list_filter(a.n, lambda v: NOT list_contains(b.n, v)))), ',') AS unsupported FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
+def o11_unsupported_numbers(spark, sf_dir):
+    """Each turn against the turn before it."""
+    c = table(spark, sf_dir, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return text.unsupported_numbers(c.join(before, ["conv_id", "turn"]), "text", "before").select("conv_id", "turn", F.array_join("unsupported", ",").alias("unsupported"))
+
+
+@query(f"WITH {LABELS} SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(CASE WHEN label <> 'unknown' THEN count(*) / sum(count(*) FILTER (label <> 'unknown')) OVER () END, 6) AS share_known FROM l GROUP BY 1")
+def p2_class_distribution(spark, sf_dir):
+    n = account_labels(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    known = F.col("label") != "unknown"
+    total = n.agg(F.sum("n").alias("all"), F.sum(F.when(known, F.col("n"))).alias("known"))
+    return rounded(n.join(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("all")).alias("share"), F.when(known, F.col("n") / F.col("known")).alias("share_known")))
+
+
+@query(f"WITH {BIDS} SELECT market::BIGINT AS market, count(*) AS bids, count(DISTINCT tender) AS tenders, round(avg(won::INT), 6) AS won_share, min(year) AS first_year, max(year) AS last_year FROM b GROUP BY 1")
+def p5_markets(spark, sf_dir):
+    m = bids(spark, sf_dir).groupBy("market")
+    return rounded(m.agg(F.count("*").alias("bids"), F.countDistinct("tender").alias("tenders"), F.avg(F.col("won").cast("int")).alias("won_share"), F.min("year").alias("first_year"), F.max("year").alias("last_year")))
+
+
+@query("SELECT column_name, round(share, 6) AS share FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, avg(({c} IS NOT NULL)::INT) AS share FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")) + ")")
+def p6_known_shares(spark, sf_dir):
+    return rounded(profiles.known_shares(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")))
+
+
+@query(f"WITH {PAYMENTS}, {LABELS} SELECT count(*) AS n, round(avg((label = 'illicit')::INT), 6) AS share FROM e JOIN l ON src = node_id WHERE ts > {T0}")
+def p7_tail(spark, sf_dir):
+    late = payments(spark, sf_dir).where(F.col("timestamp") > T0).join(account_labels(spark, sf_dir).withColumnRenamed("node_id", "src"), "src")
+    return rounded(late.agg(F.count("*").alias("n"), F.avg((F.col("label") == "illicit").cast("int")).alias("share")))
