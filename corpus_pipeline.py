@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
 from ledgerscope.llm.common import table
@@ -16,8 +17,13 @@ from ledgerscope.llm.secrets import redacted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
-    return quality_verdict(docs).where("kept").select(*docs.columns)
+    """Documents that no rule rejects.
+
+    The verdicts are written first: a filter on them would be pushed below the rules'
+    expressions and repeat these many times over.
+    """
+    judged = quality_verdict(docs.select(F.struct(*docs.columns).alias("__row"), "text")).select("__row", "kept")
+    return staged(judged, "verdicts").where("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
