@@ -383,3 +383,16 @@ def test_parity_sketch_bounds_the_difference():
         x, y = near_dup.parity_sketch(doc, np.array([*a, *b], np.uint64), 2)
         assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
         assert (x == y).all() == (len(a ^ b) == 0)
+
+
+def test_quality_stage_keeps_rows_and_columns(spark, odd, empty):
+    """Columns that clash with the verdict's, and a null or repeated doc_id, pass through unchanged."""
+    import corpus_pipeline
+
+    more = odd.union(odd.where("doc_id = 6")).union(odd.where("doc_id = 6").withColumn("doc_id", corpus_pipeline.F.lit(None).cast("long")))
+    got = corpus_pipeline.quality(spark, more, "")
+    assert got.columns == odd.columns
+    rows = got.select("doc_id", "kept", corpus_pipeline.F.length("text")).collect()
+    assert sorted((r[0] is None, r[0] or 0) for r in rows) == [(False, 6), (False, 6), (True, 0)]
+    assert all(r[1] == "x" and r[2] > 200_000 for r in rows)
+    assert corpus_pipeline.quality(spark, empty, "").collect() == []
