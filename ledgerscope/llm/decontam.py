@@ -3,8 +3,10 @@
 Words are hashed to buckets and weighted by TF-IDF over passages of the corpus. A
 randomised subspace iteration, summed over all passages, gives the leading right
 singular vectors, each divided by its share of the variance, so that directions that
-tell languages and not contents don't outweigh the others. Passages and items are compared by cosine in that space, and candidates by the
-longest common subsequence of words and by the item's last words, its answer.
+tell languages and not contents don't outweigh the others. Passages and items are compared by cosine in that space. What shares one of an
+item's telling runs of words is a candidate whatever the words weigh, and so is, for an
+item whose words all weigh nothing, what holds enough of its words. Candidates are compared
+by the longest common subsequence of words and by the item's last words, its answer.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import Words, rows, steps, table, taken, texts
+from ledgerscope.llm.common import MULTIPLIER, Words, mix, rows, steps, table, taken, texts
 
 BUCKETS, RANK = 1 << 14, 64
-#: Taken off every inverse frequency, so that words in a twentieth of all passages or more weigh nothing.
+#: Taken off every inverse frequency, so that words in a twentieth of all passages or more weigh nothing; of few passages half the largest is taken off.
 COMMON = 3.0
 WINDOW, STRIDE = 32, 16
 COSINE, COVERED, COVERED_WITH_ANSWER, ANSWER = 0.48, 0.8, 0.6, 5
@@ -27,6 +29,8 @@ COSINE, COVERED, COVERED_WITH_ANSWER, ANSWER = 0.48, 0.8, 0.6, 5
 ITEM_BLOCK = 20_000
 #: Slots that words fall in, to bound common subsequences.
 SLOTS = 512
+#: Slots that runs of words fall in before they are looked up, and pairs of place and item that are compared at once.
+RUN_SLOTS, PAIRS = 1 << 20, 1 << 18
 
 #: ASCII letters and digits and all bytes of other characters make words.
 PART = np.ones(256, bool)
@@ -61,12 +65,13 @@ def _document_frequency(window: int):
 
 
 def inverse_frequency(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
-    """ln((1 + passages) / (1 + passages with the bucket)) less COMMON, 0 at least, of every bucket, over all documents."""
+    """ln((1 + passages) / (1 + passages with the bucket)) less COMMON or half of ln(1 + passages), 0 at least, of every bucket, over all documents."""
     counts = docs.mapInArrow(_document_frequency(window), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS)
     known = counts["bucket"] >= 0
     df[counts["bucket"][known]] = counts["n"][known]
-    return np.maximum(np.log((1 + counts["n"][~known].sum()) / (1 + df)) - COMMON, 0).astype(np.float32)
+    most = math.log(1 + counts["n"][~known].sum())
+    return np.maximum(most - np.log(1 + df) - min(COMMON, most / 2), 0).astype(np.float32)
 
 
 def _products(idf, basis, window: int):
@@ -139,10 +144,45 @@ def has_run(run: list[int], words: list[int]) -> bool:
     return any(words[k : k + len(run)] == run for k in range(len(words) - len(run) + 1) if words[k] == run[0])
 
 
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size words."""
+    n = max(len(h) - size + 1, 0)
+    total = np.zeros(n, np.uint64)
+    for j in range(size):
+        total = total * np.uint64(MULTIPLIER) + h[j : j + n]
+    return mix(total)
+
+
+def telling_runs(words: list[list[int]], covered: float, answer: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: hashes of runs of the items' words, sorted, and the items' numbers.
+
+    An item that lacks at most m of its words has one of any m + 1 disjoint runs left, so
+    a place that holds the rest in order, whatever stands for the lacking words, has that
+    run. Of the choices the one that items share least is taken. The answer is a run too.
+    """
+    plan, seen = [], {}
+    for i, item in enumerate(words):
+        if item:
+            lacks = min(int((1 - covered) * len(item) + 1e-9), len(item) - 1)
+            size = max(1, min(answer, len(item) // (lacks + 1)))
+            h = run_hashes(np.array(item, np.uint64), size).tolist()
+            plan.append((i, size, lacks + 1, h))
+            for x in h:
+                seen[size, x] = seen.get((size, x), 0) + 1
+    found: dict[int, set[tuple[int, int]]] = {}
+    for i, size, n, h in plan:
+        choices = [h[k : k + n * size : size] for k in range(len(words[i]) - n * size + 1)]
+        best = min(choices, key=lambda c: sum(seen[size, x] for x in c))
+        found.setdefault(size, set()).update((x, i) for x in best)
+        last = words[i][-answer:]
+        found.setdefault(len(last), set()).add((int(run_hashes(np.array(last, np.uint64), len(last))[0]), i))
+    return {size: (np.array([x for x, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)], int)) for size, v in found.items()}
+
+
 class Items:
-    """Benchmark items as latent unit vectors and word hashes."""
+    """Benchmark items as latent unit vectors, word hashes and telling runs."""
 
-    def __init__(self, ids: list[int], raw: list[bytes], idf: np.ndarray, basis: np.ndarray) -> None:
+    def __init__(self, ids: list[int], raw: list[bytes], idf: np.ndarray, basis: np.ndarray, covered: float = COVERED, answer: int = ANSWER) -> None:
         w = words_of(raw)
         cuts = np.cumsum(w.per_text)[:-1] if len(raw) else []
         self.words = [x.tolist() for x in np.split(w.hash, cuts)]
@@ -157,6 +197,23 @@ class Items:
         v = np.zeros((len(raw), basis.shape[1]), np.float32)
         np.add.at(v, w.text, basis[b] * idf[b][:, None])
         self.vectors = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None]
+        self.runs = telling_runs(self.words, covered, answer)
+        self.marks = {}
+        for k, (x, _) in self.runs.items():
+            self.marks[k] = np.zeros(RUN_SLOTS, bool)
+            self.marks[k][x % np.uint64(RUN_SLOTS)] = True
+        self.blind = np.flatnonzero((w.per_text > 0) & (np.bincount(w.text, idf[b], len(raw)) == 0))
+
+    def sharing(self, w: Words):
+        """Words of w at which an item's run begins and the items, some pairs at a time."""
+        for size, (known, item) in self.runs.items():
+            h = run_hashes(w.hash, size)
+            at = np.flatnonzero(self.marks[size][h % np.uint64(RUN_SLOTS)] & (w.text[: len(h)] == w.text[size - 1 :]))
+            lo, hi = (np.searchsorted(known, h[at], side) for side in ("left", "right"))
+            n = hi - lo
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // PAIRS, prepend=0))
+            for at_, lo_, n_ in zip(*(np.split(x, cuts) for x in (at, lo, n)), strict=True):
+                yield np.repeat(at_, n_), item[np.repeat(lo_ - (np.cumsum(n_) - n_), n_) + np.arange(int(n_.sum()))]
 
     def bounds(self, item: np.ndarray, slots: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """For each pair of item and place, lo to hi, a length that no common subsequence exceeds.
@@ -220,22 +277,23 @@ def _search(items, idf, basis, cosine: float, covered: float, with_answer: float
                 text = np.repeat(np.arange(len(raw)), n)
                 start = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
                 end = np.minimum(start + width, (first + w.per_text)[text])
-                for at in range(0, len(text), 20_000):
-                    t = text[at : at + 20_000]
-                    lo, hi = (block[t] + -(-(x[at : at + 20_000] - first[t]) // unit) for x in (start, end))
-                    vectors = (sums[hi] - sums[lo]).astype(np.float32)
-                    vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-9)[:, None]
-                    near = vectors @ own.vectors[some].T
+                from_, to = np.maximum(first[text], start - longest), np.minimum((first + w.per_text)[text], end + longest)
+
+                def vectors_of(k):
+                    lo, hi = (block[text[k]] + -(-(x[k] - first[text[k]]) // unit) for x in (start, end))
+                    v = (sums[hi] - sums[lo]).astype(np.float32)
+                    return v / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None]
+
+                def compare(k, i):
+                    """Windows k with items i."""
+                    may = np.concatenate([[], *(c + np.flatnonzero(own.bounds(i[c : c + PAIRS], slots, from_[k[c : c + PAIRS]], to[k[c : c + PAIRS]]) >= with_answer * size[i[c : c + PAIRS]]) for c in range(0, len(k), PAIRS))]).astype(int)
+                    k, i = k[may], i[may]
+                    near = np.einsum("ij,ij->i", vectors_of(k), own.vectors[i])
                     before = -1
-                    k, j = np.nonzero(near >= cosine)
-                    t, i = text[at + k], some[j]
-                    lo = np.maximum(first[t], start[at + k] - longest)
-                    hi = np.minimum(first[t] + w.per_text[t], end[at + k] + longest)
-                    may = np.flatnonzero(own.bounds(i, slots, lo, hi) >= with_answer * size[i])
-                    for k, j, t, i, lo, hi in zip(*(x[may].tolist() for x in (k, j, t, i, lo, hi)), strict=True):
+                    for k, i, c in zip(k.tolist(), i.tolist(), near.tolist(), strict=True):
                         item = own.words[i]
                         if k != before:
-                            place, before = w.hash[lo:hi].tolist(), k
+                            place, before = w.hash[from_[k] : to[k]].tolist(), k
                             known = frozenset(place)
                         if len(own.sets[i] & known) < with_answer * len(own.sets[i]) - (len(item) - len(own.sets[i])):
                             continue
@@ -244,8 +302,25 @@ def _search(items, idf, basis, cosine: float, covered: float, with_answer: float
                             continue
                         hit = has_run(item[-answer:], place)
                         if share >= covered or hit:
-                            new = (share, hit, float(near[k, j]), -int(start[at + k] - first[t]))
-                            best[t, i] = max(best.get((t, i), (0.0, False, 0.0, 0)), new)
+                            t = int(text[k])
+                            best[t, i] = max(best.get((t, i), (0.0, False, 0.0, 0)), (share, hit, c, -int(start[k] - first[t])))
+
+                for at in range(0, len(text), 20_000):
+                    k, j = np.nonzero(vectors_of(np.arange(at, min(at + 20_000, len(text)))) @ own.vectors[some].T >= cosine)
+                    compare(at + k, some[j])
+                if width < window:
+                    continue
+                upto = np.cumsum(n)
+                for p, i in own.sharing(w):
+                    t = w.text[p]
+                    pair = np.unique((upto[t] - n[t] + np.minimum((p - first[t]) // step, n[t] - 1)) * len(size) + i)
+                    compare(pair // len(size), pair % len(size))
+                for i in own.blind:
+                    in_item = np.zeros(SLOTS, bool)
+                    in_item[np.array(own.words[i], np.uint64) % np.uint64(SLOTS)] = True
+                    held = np.append(0, np.cumsum(in_item[slots]))
+                    k = np.flatnonzero(held[to] - held[from_] >= with_answer * size[i])
+                    compare(k, np.full(len(k), i))
             found = sorted(best)
             values = [best[x] for x in found]
             yield rows(
@@ -267,8 +342,10 @@ def benchmark_leaks(
     place; a leak has covered of at least covered, or at least with_answer together with
     the item's last answer words in one run (answer). near_word is the word at which
     the best window starts. Words are lower-case letters and digits. Every window of
-    every document meets every item, and windows of half the size the short items; items are taken in blocks of item_block, the only
-    thing that is broadcast besides tables of fixed size. Null or empty texts and items
+    every document meets every item, and windows of half the size the short items; a text that
+    holds an item with words replaced or left out within these shares is found however common
+    the words are. Items are taken in blocks of item_block, the only thing that is broadcast
+    besides tables of fixed size. Null or empty texts and items
     leak nothing; repeated rows are reported each; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -283,7 +360,7 @@ def benchmark_leaks(
     out = None
     for k in range(blocks):
         block = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        items = spark.sparkContext.broadcast(Items([r["item_id"] for r in block], [r["text"].encode() for r in block], idf, basis))
+        items = spark.sparkContext.broadcast(Items([r["item_id"] for r in block], [r["text"].encode() for r in block], idf, basis, covered, answer))
         found = source.mapInArrow(_search(items, weights, vectors, cosine, covered, with_answer, answer, window, stride), schema)
         out = found if out is None else out.union(found)
     return out

@@ -282,6 +282,23 @@ def test_benchmark_leaks(spark, documents, odd, empty):
     assert decontam.benchmark_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_benchmark_leaks_of_common_words(spark, documents):
+    """A verbatim item in a third of the rows, one with words replaced, and items in a table of few passages."""
+    items = {3: " ".join(f"item{k}" for k in range(24)), 4: "one more thing that nobody ever said before noon"}
+    words = items[3].split()
+    shy = " ".join("other" if k % 6 == 4 else x for k, x in enumerate(words))
+    apart = " ".join(x + " well" * (k % 2) for k, x in enumerate(words))
+    docs = {i: " ".join(t.split()[:150]) + (" " + items[3] + " end" if i % 3 == 0 else "") for i, t in documents.items() if i < 150}
+    docs |= {1000: f"so {shy} it is", 1001: f"so {apart} it is"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.benchmark_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), bench).collect()}
+    assert got.keys() == {(i, 3) for i in docs if i % 3 == 0 or i >= 1000}
+    assert got[0, 3].covered == 1 and got[1000, 3].covered == 20 / 24 and got[1001, 3].covered == 1
+    few = [(0, f"a text with {items[4]} in it"), (1, "nothing"), (2, items[3]), (3, f"{items[3]} {items[4]}")]
+    got = {(r.doc_id, r.item_id) for r in decontam.benchmark_leaks(spark.createDataFrame(few, "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 4), (2, 3), (3, 3), (3, 4)}
+
+
 def test_common_subsequence():
     from ledgerscope.llm.decontam import common_subsequence, has_run
 
