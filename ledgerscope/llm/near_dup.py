@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
-Shingles are runs of five words; a shingle's weight is 1 + ln(its count). Each
-shingle sends a Poisson process of arrivals at a rate equal to its weight; an arrival
+Shingles are runs of five words. All of a text's distinct shingles weigh the same, as
+links are defined on their sets: weights by count would hide links of texts that repeat
+a part unequally often. Each shingle sends a Poisson process of arrivals; an arrival
 falls on a random register, and each register keeps its earliest arrival. A shingle
 stops as soon as its next arrival is later than every register's. Two texts agree in
-a register with their probability Jaccard similarity. Bands of registers give
-candidates; the plain Jaccard similarity of the shingle sets verifies them.
+a register with the Jaccard similarity of their shingle sets. Bands of registers give
+candidates; the exact similarity verifies them.
 """
 
 from __future__ import annotations
@@ -73,8 +74,8 @@ def _signatures(size: int):
     def run(batches):
         for batch, raw in steps(batches):
             n = len(raw)
-            doc, h, count = distinct_shingles(raw, size)
-            sig = mix(prob_minhash(doc, h, 1 + np.log(count), n))
+            doc, h, _ = distinct_shingles(raw, size)
+            sig = mix(prob_minhash(doc, h, np.ones(len(h)), n))
             n_sh = np.bincount(doc, minlength=n)
             prints = []
             for salt in (np.uint64(1), np.uint64(2)):

@@ -63,6 +63,16 @@ def test_chain_of_edits_is_one_class(spark):
     assert got == classes(dict(chain)) and set(got.values()) == {0}
 
 
+def test_near_copies_that_repeat_a_part_unequally_often(spark):
+    docs = {}
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(330)]
+        changed = [*words[:104] * 50, *words[104:300], *(f"v{k}x{i}" for i in range(30))]
+        docs |= {2 * k: " ".join(words), 2 * k + 1: " ".join(changed)}
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == classes(docs) == {i: i - i % 2 for i in docs}
+
+
 def base_secrets(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
