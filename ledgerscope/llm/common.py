@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.staging import staged
+
 #: Bytes of text that one step of a vectorised task holds; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -29,6 +31,11 @@ def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame, *columns) -> DataFrame:
+    """The columns of every row with a number of its own (row), written once so that it stays."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches of about limit bytes of text, each with its texts as bytes."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
-from ledgerscope.llm.common import Words, lists, mix, rows, shingles, steps, table, texts
+from ledgerscope.llm.common import Words, lists, mix, numbered, rows, shingles, steps, table, texts
 from ledgerscope.operators.components import connected_components
 
 REGISTERS, BANDS, PER_BAND = 128, 24, 5
@@ -89,7 +89,7 @@ def _signatures(size: int):
             two = (sig & np.uint64(3)).reshape(n, 4, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))[None, None, :]
             packed = np.bitwise_or.reduce(two, axis=2).view(np.int64)
             yield rows(
-                batch, ["doc_id"], n=pa.array(n_sh.astype(np.int64)), f1=prints[0], f2=prints[1],
+                batch, ["doc_id", "id"], n=pa.array(n_sh.astype(np.int64)), f1=prints[0], f2=prints[1],
                 **{f"s{i}": np.ascontiguousarray(packed[:, i]) for i in range(4)},
                 bands=lists(bands.ravel(), np.full(n, BANDS)),
             )
@@ -137,14 +137,16 @@ def _verified(pairs: DataFrame, sh: DataFrame) -> DataFrame:
     return both.select("x", "y", (F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("jaccard"))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """Rows (doc_id, class_id, n_shingles): class_id is the least doc_id of the class.
+def near_duplicate_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """Rows (row, doc_id, first_row, class_id, n_shingles) of a table (row, doc_id, text).
 
-    Classes are the connected parts of the links "Jaccard similarity of the sets of
+    row must be unique, not null and stable. class_id is the least doc_id of the class and
+    first_row the least row that has it. Classes are the connected parts of the links "Jaccard similarity of the sets of
     size-word shingles is at least threshold". A text of fewer words has one shingle,
     of all its words; a text without words (or null) is a class of its own. Repeated
-    texts and texts with the same shingle set fall into one class at once. doc_id must
-    be unique and not null; other columns are ignored. An empty table gives no rows.
+    texts and texts with the same shingle set fall into one class at once. doc_id may be
+    null or repeated; class_id is null only where every doc_id of the class is. An empty
+    table gives no rows.
 
     Texts with equal sets are stood for by one row. In each bucket only links to a hub,
     the text met most often over all buckets, are verified; what lies in other parts
@@ -152,14 +154,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int =
     sketches or, by the triangle inequality, the distances to a common hub exclude a
     link. Two texts that share several buckets are compared in the first of them.
     """
-    source = texts(docs.where("doc_id IS NOT NULL"), "doc_id")
-    scheme = "doc_id bigint, n bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
-    sig = staged(source.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_signatures(size), scheme), "signatures")
+    source = texts(docs.select(F.col("row").alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text"), "doc_id", "id")
+    scheme = "doc_id bigint, id bigint, n bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
+    sig = staged(source.mapInArrow(_signatures(size), scheme), "signatures")
 
-    same = staged(sig.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "sets")
+    same = staged(sig.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))).alias("low")), "sets")
     members = (
-        sig.where("n > 0").select("doc_id", "n", "f1", "f2").join(same, ["n", "f1", "f2"]).select("doc_id", "rep", "n")
-        .union(sig.where("n = 0").select("doc_id", F.col("doc_id").alias("rep"), "n"))
+        sig.where("n > 0").select("doc_id", "id", "n", "f1", "f2").join(same, ["n", "f1", "f2"]).select("doc_id", "id", "rep", "n", "low.id", "low.row")
+        .union(sig.where("n = 0").select("doc_id", "id", F.col("doc_id").alias("rep"), "n", "id", "doc_id"))
+        .toDF("row", "doc_id", "rep", "n", "low_id", "low_row")
     )
     reps = sig.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
@@ -197,10 +200,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int =
     more = staged(_verified(across, sh).where(near), "links")
     links = stars.where(near).select("x", "y").union(more.select("x", "y"))
     parts = connected_components(links, "x", "y") if more.take(1) else parts
-    return members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("n").alias("n_shingles")
+    linked = same.join(parts.select(F.col("node").alias("rep"), "component"), "rep").select("rep", "low", "component")
+    lowest = linked.select("rep", "component").join(linked.groupBy("component").agg(F.min("low").alias("first")), "component").select("rep", "first")
+    alone = F.col("first").isNull()
+    return members.join(lowest, "rep", "left").select(
+        "row", "doc_id", F.when(alone, F.col("low_row")).otherwise(F.col("first.row")).alias("first_row"),
+        F.when(alone, F.col("low_id")).otherwise(F.col("first.id")).alias("class_id"), F.col("n").alias("n_shingles"),
     )
 
 
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """Rows (doc_id, class_id, n_shingles), one for each row of docs, as near_duplicate_rows() finds them; other columns are ignored."""
+    return near_duplicate_rows(numbered(docs, "doc_id", "text"), threshold, size).select("doc_id", "class_id", "n_shingles")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))

@@ -73,6 +73,24 @@ def test_near_copies_that_repeat_a_part_unequally_often(spark):
     assert got == classes(docs) == {i: i - i % 2 for i in docs}
 
 
+def test_null_and_repeated_ids(spark, sf):
+    """Every row gets a class by its text, and of each class one row stays; leaks are told by row."""
+    import corpus_pipeline
+
+    a, near, other = (" ".join(f"{c}{i}" for i in range(n)) + end for c, n, end in (("w", 99, " w99"), ("w", 99, " end"), ("v", 40, "")))
+    [(item,)] = duckdb.connect().sql(f"select text from '{sf}/benchmark.parquet' order by item_id limit 1").fetchall()
+    rows = [(7, a), (7, a), (7, other), (None, near), (None, "only here is this text"), (3, near), (3, ""), (None, item), (9, item), (9, "nothing")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
+    got = collections.Counter((r.doc_id, r.class_id, r.n_shingles) for r in near_dup.near_duplicate_classes(df).collect())
+    n = len(shingle_set(item))
+    assert got == collections.Counter([(7, 3, 96)] * 2 + [(7, 7, 36), (None, 3, 96), (None, None, 1), (3, 3, 96), (3, 3, 0), (None, 9, n), (9, 9, n), (9, 9, 1)])
+    kept = corpus_pipeline.near_duplicates(spark, df, sf)
+    assert kept.columns == df.columns
+    assert {tuple(r) for r in kept.collect()} == {(i, t, "x") for i, t in (rows[2], rows[4], rows[5], rows[6], rows[8], rows[9])} and kept.count() == 6
+    clean = corpus_pipeline.decontaminated(spark, df, sf).collect()
+    assert collections.Counter(tuple(r) for r in clean) == collections.Counter((i, t, "x") for i, t in rows if t != item)
+
+
 def base_secrets(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
