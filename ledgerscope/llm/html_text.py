@@ -26,42 +26,80 @@ MARKED = re.compile(
     re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Words that tell what an element goes with, not what it is; and those of the marks that tell readers' comments.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-][^\s]*", re.I)
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
 def parse(page: str) -> list[tuple[str, str, bool]]:
-    """Tokens (tag name or "" for text, text or "/" for a closing tag, whether inside an excluded element)."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool]] = []
-    barred = 0
+    """Tokens (tag name or "" for text, text or "/" for a closing tag, whether inside an excluded element).
+
+    Elements that a class, id or role marks, and forms, are not excluded where they hold
+    more words outside links than all that is left otherwise: then they wrap the page's
+    content. Comments are so only where nothing is left, hidden elements never. An
+    article ends what was left open before it, save a block of comments.
+    """
+    out: list[tuple[str, str, tuple[int, ...]]] = []
+    stack: list[tuple[str, int]] = []
+    kinds: list[str] = []
+    barred: tuple[int, ...] = ()
+    words: dict[tuple[int, ...], int] = {}
+    link = False
     for m in TOKEN.finditer(page):
         tag = m["tag"]
         if not tag:
             s = m.group()
             if m["raw"] or s.startswith(("<!", "<?")):
                 continue
-            out.append(("", s, barred > 0))
+            out.append(("", s, barred))
+            if not link:
+                words[barred] = words.get(barred, 0) + len(s.split())
             continue
         tag = tag.lower()
+        if tag == "a":
+            link = not m["close"]
         if m["close"]:
             if any(t == tag for t, _ in stack):
                 while True:
                     t, bar = stack.pop()
-                    barred -= bar
+                    if bar >= 0:
+                        barred = tuple(x for x in barred if x != bar)
                     if t == tag:
                         break
-            out.append((tag, "/", barred > 0))
+            out.append((tag, "/", barred))
             continue
         if tag in ("article", "main", "body"):  # these end whatever was left open before
-            stack, barred = [x for x in stack if not x[1]], 0
+            stay = {x for x in barred if tag == "article" and kinds[x] == "comment"}
+            stack, barred = [x for x in stack if x[1] < 0 or x[1] in stay], tuple(x for x in barred if x in stay)
         if tag not in VOID and not m["rest"].endswith("/"):
-            names = " ".join(x for g in NAMED.findall(m["rest"]) for x in g if x)
+            names = MODIFIER.sub(" ", " ".join(x for g in NAMED.findall(m["rest"]) for x in g if x))
             head_of_article = tag == "header" and any(t in ("article", "main") for t, _ in stack)
-            bar = (tag in ASIDE and not head_of_article) or tag not in ("html", "body", "article", "main") and bool(names and MARKED.search(names) or HIDDEN.search(m["rest"]))
-            stack.append((tag, bar))
-            barred += bar
-        out.append((tag, "", barred > 0))
-    return out
+            kind = "fixed" if tag in ASIDE and tag != "form" and not head_of_article else "wrap" if tag == "form" else ""
+            if tag == "article":
+                kind = "comment" if COMMENT.search(names) else ""
+            elif not kind and tag not in ("html", "body", "main"):
+                kind = "fixed" if HIDDEN.search(m["rest"]) else "comment" if COMMENT.search(names) else "wrap" if MARKED.search(names) else ""
+            elif kind == "wrap":
+                kind = "fixed" if HIDDEN.search(m["rest"]) else "comment" if COMMENT.search(names) else kind
+            stack.append((tag, len(kinds) if kind else -1))
+            if kind:
+                barred += (len(kinds),)
+                kinds.append(kind)
+        out.append((tag, "", barred))
+    free: set[int] = set()
+    for kind in ("wrap", "comment"):
+        while True:
+            left: dict[tuple[int, ...], int] = {}
+            for bars, n in words.items():
+                rest = tuple(x for x in bars if x not in free)
+                left[rest] = left.get(rest, 0) + n
+            kept = left.pop((), 0)
+            may = [(n, bars) for bars, n in left.items() if n > kept and all(kinds[x] in ("wrap", kind) for x in bars)]
+            if not may or kind == "comment" and kept:
+                break
+            free.update(max(may, key=lambda x: x[0])[1])
+    return [(tag, s, not free.issuperset(bars)) for tag, s, bars in out]
 
 
 def features(tokens: list[tuple[str, str, bool]]) -> list[tuple[str, int]]:

@@ -283,6 +283,19 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a
 <footer>All rights reserved by them</footer></body></html>"""
 
 
+def test_html_marked_wrappers_and_comments(spark):
+    story = "<p>The story of the day is told here in quite some words.</p><p>It has a second part too.</p>"
+    want = "The story of the day is told here in quite some words.\n\nIt has a second part too."
+    side = '<div class="sidebar"><p>Other news.</p></div><ul class="menu">' + "<li><a>One more place to go to</a></li>" * 9 + "</ul>"
+    pages = [f'<body><a>Home</a><div class="{c}"><div>{story}</div>{side}</div>' for c in ("content has-sidebar", "layout no-sidebar", "page search-results", "share wrapper")]
+    pages += [f"<body><form action=x>{story}{side}</form>"]
+    pages += [f'<body><article>{story}</article><div id="comments"><article class="comment-body"><p>I liked it a lot, as did all of my many friends and family.</p></article><article><p>So did I, said another of them.</p></article></div>']
+    pages += [f'<body><div>{story}</div><div id="comments">' + "<p>I liked it a lot, as did all of my friends.</p>" * 5 + "</div>"]
+    rows = [(k, "u", x) for k, x in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), {}).collect()}
+    assert {k: t.removeprefix("Home").strip() for k, t in got.items()} == {k: want for k in range(len(pages))}
+
+
 def test_html_without_labels(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "<p>", "x"), (4, "u", "plain <b>words", "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
