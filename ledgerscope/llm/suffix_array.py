@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, a bucket at a time in numpy."""
+"""Suffix arrays by induced sorting, a bucket at a time in numpy, and permuted common prefixes."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
 
 
 def _put(sa, text, edge, suffixes, step):
-    """File suffixes, in order, at the edges of their buckets and move the edges."""
+    """File suffixes, in order, at the edges of their buckets and move the edges; numpy sorts 16-bit symbols by radix."""
     chars = text[suffixes]
     order = np.argsort(chars, kind="stable")
     chars = chars[order]
@@ -80,12 +80,12 @@ def induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sigma: int) ->
     return sa
 
 
-def by_doubling(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of suffixes by at least their first depth symbols."""
+def by_doubling(text: np.ndarray) -> np.ndarray:
+    """Order of all suffixes, ranked by 1, 2, 4, ... symbols until no two are equal."""
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     k = 1
     order = np.argsort(rank, kind="stable")
-    while k < depth:
+    while k < len(text):
         key = (rank + 1) << 32
         key[:-k] |= rank[k:] + 1
         order = np.argsort(key, kind="stable")
@@ -98,17 +98,18 @@ def by_doubling(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Suffixes of text (small non-negative integers, the last one unique and least) in order.
 
     Suffixes are classified, leftmost S-type substrings sorted by a first induction and
     named, the string of names sorted by recursion, and all suffixes induced from that.
-    Names of a large alphabet are ranked by doubling up to depth symbols; suffixes that
-    agree in their first depth symbols may then come in any order.
+    A string of more than buckets names is ranked by doubling in place of a further
+    recursion, whose loop over buckets would then cost more than it sorts.
     """
     sigma = int(text.max()) + 1
     if len(text) < 3:
         return np.argsort(text, kind="stable").astype(np.int32)
+    text = text.astype(np.uint16 if sigma < 1 << 16 else np.int64)
     s_type = suffix_types(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if len(lms) < 2:
@@ -128,17 +129,36 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if number[-1] + 1 < len(lms):
         name[ordered] = number
         reduced = name[lms]
-        inner = suffix_array(reduced, depth) if number[-1] < BUCKETS else by_doubling(reduced, depth)
+        inner = suffix_array(reduced, buckets) if number[-1] < buckets else by_doubling(reduced)
         ordered = lms[inner]
     return induce(text, s_type, ordered, sigma)
 
 
-def permuted_common_prefixes(data: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
-    """For each place, in suffix order, the bytes it shares with the place before it, up to most."""
-    out = np.zeros(len(places), np.int32)
-    rows = np.lib.stride_tricks.sliding_window_view(data, most)
-    for at in range(1, len(places), 20_000):
-        to = min(len(places), at + 20_000)
-        same = rows[places[at - 1 : to - 1]] == rows[places[at:to]]
-        out[at:to] = np.where(same.all(1), most, same.argmin(1))
-    return out
+def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each place, in text order, the symbols it shares with the suffix before it in order, up to left of the place.
+
+    left is how far the place's own string goes; it falls by one at each place inside a
+    string. Where the symbols before a place and before its predecessor are equal, the
+    prefix is that of the place before less one; only the other, irreducible places are
+    compared.
+    """
+    n = len(text)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    fixed = np.ones(n, bool)
+    at = np.flatnonzero((before[1:] > 0) & (left[1:] == left[:-1] - 1)) + 1
+    fixed[at] = text[at - 1] != text[before[at] - 1]
+    shared = np.zeros(n, np.int64)
+    live = np.flatnonzero(fixed & (before >= 0) & (left > 0))
+    padded = np.concatenate([text, np.zeros(8, text.dtype)])
+    while len(live):
+        x, y = live + shared[live], before[live] + shared[live]
+        same = np.zeros(len(live), np.int64)
+        on = np.ones(len(live), bool)
+        for j in range(8):
+            on &= padded[x + j] == padded[np.minimum(y + j, n)]
+            same += on
+        shared[live] = np.minimum(shared[live] + same, left[live])
+        live = live[(same == 8) & (shared[live] < left[live])]
+    last = np.maximum.accumulate(np.where(fixed, np.arange(n), 0))
+    return np.maximum(shared[last] - (np.arange(n) - last), 0)

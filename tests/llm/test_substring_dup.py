@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerscope.llm import substring_dup
-from ledgerscope.llm.suffix_array import suffix_array
+from ledgerscope.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 
 def brute(docs, length=100):
@@ -55,9 +55,36 @@ def test_odd(odd, empty):
     assert substring_dup.repeated_substrings(empty).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    """Of a row given twice the first stays; other texts under one doc_id are documents of their own; null comes first."""
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(150))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, a), (1, b), (2, a + b), (None, c), (None, c), (3, c), (4, "short"), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substring_dup.repeated_substrings(df).collect())
+    assert got == [(0, 150, 0), (0, 150, 150), (1, 150, 0), (1, 150, 0), (1, 150, 150), (2, 300, 300), (3, 150, 150), (4, 5, 0), (4, 5, 0)]
+
+
+def test_large_anchor(spark):
+    """One string of 40 bytes in many texts between different and equal words: runs of its anchors are cut until they fit a shard."""
+    rng = random.Random(7)
+    common = "the very common phrase of forty bytes...."
+    sides = ["".join(rng.choice("abcdefghij") for _ in range(90)) for _ in range(40)]
+    docs = {i: f"{rng.choice(sides)}{common}{rng.choice(sides)}" for i in range(300)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:5] for r in substring_dup.repeated_substrings(df, shard_bytes=3000).collect()}
+    assert got == brute(docs)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 3), min_size=1, max_size=80))
-def test_suffix_array(symbols):
-    text = np.array([*symbols, 0])
-    got = suffix_array(text, len(text)).tolist()
-    assert got == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+@given(st.lists(st.lists(st.integers(2, 4), min_size=1, max_size=20), min_size=1, max_size=6), st.sampled_from([2, 4096]))
+def test_suffix_array(strings, buckets):
+    text = np.array([x for s in strings for x in [*s, 1]] + [0])
+    left = np.array([x for s in strings for x in range(len(s), -1, -1)] + [0])
+    sa = suffix_array(text, buckets)
+    assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    shared = permuted_common_prefixes(text, sa, left)
+    for a, b in zip(sa[:-1], sa[1:], strict=True):
+        same = next(k for k in range(len(text)) if max(a, b) + k == len(text) or text[a + k] != text[b + k])
+        assert shared[b] == min(same, left[b])
