@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
-from ledgerscope.llm.common import Words, lists, mix, numbered, rows, shingles, steps, table, texts
+from ledgerscope.llm.common import Words, lists, mix, own_rows, rows, shingles, steps, table, texts
 from ledgerscope.operators.components import connected_components
 
 REGISTERS, BANDS, PER_BAND = 128, 24, 5
@@ -25,6 +25,8 @@ REGISTERS, BANDS, PER_BAND = 128, 24, 5
 SLACK = 4.3
 #: 64-bit words of the parity sketch of a shingle set.
 PARITY = 16
+#: Bits of the filter of candidates for each of them and at most: 32 MiB. More candidates let more other texts through it, and lose none.
+FILTER_EACH, FILTER_MOST = 16, 1 << 28
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,7 +48,7 @@ def prob_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
     when = np.zeros(len(h))
     k = 0
     while len(h):
-        u = mix(h + _GOLDEN * np.uint64(2 * k + 1))
+        u = mix(h + np.full(1, 2 * k + 1, np.uint64) * _GOLDEN)
         when = when - np.log((((u >> np.uint64(11)).astype(np.float64)) + 0.5) * 2.0**-53) / weight
         at = doc * registers + (mix(u ^ _GOLDEN) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(best, at, when)
@@ -79,7 +81,7 @@ def _signatures(size: int):
             n_sh = np.bincount(doc, minlength=n)
             prints = []
             for salt in (np.uint64(1), np.uint64(2)):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + salt * _GOLDEN))])
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.full(1, salt) * _GOLDEN))])
                 ends = np.cumsum(n_sh)
                 prints.append((sums[ends] - sums[ends - n_sh]).view(np.int64))
             bands = np.zeros((n, BANDS), np.uint64)
@@ -97,9 +99,40 @@ def _signatures(size: int):
     return run
 
 
-def _shingle_rows(size: int):
+def filter_bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each id in a filter of bits, a power of two."""
+    h = mix(ids.view(np.uint64) + _GOLDEN)
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the n values of the bigint column doc_id, as bytes; what comes to the driver is at most FILTER_MOST bits."""
+    bits = min(FILTER_MOST, max(1 << 12, 1 << (FILTER_EACH * n - 1).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(filter_bits(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            word, where = np.unique(at >> 6, return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, where, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    words = ids.select("doc_id").mapInArrow(places, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def _shingle_rows(size: int, met):
     def run(batches):
-        for batch, raw in steps(batches):
+        bits = met.value
+        for batch in batches:
+            x, y = filter_bits(batch.column(batch.schema.get_field_index("doc_id")).to_numpy(), 8 * len(bits))
+            held = (bits[x >> 3] >> (x & 7).astype(np.uint8)) & (bits[y >> 3] >> (y & 7).astype(np.uint8)) & 1
+            yield from of(batch.take(pa.array(np.flatnonzero(held))))
+
+    def of(candidates):
+        for batch, raw in steps([candidates]):
             doc, h, _ = distinct_shingles(raw, size)
             odd = parity_sketch(doc, h, len(raw))
             yield rows(
@@ -149,10 +182,12 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5)
     table gives no rows.
 
     Texts with equal sets are stood for by one row. In each bucket only links to a hub,
-    the text met most often over all buckets, are verified; what lies in other parts
-    after that is compared with the rest of its bucket unless the registers, the parity
-    sketches or, by the triangle inequality, the distances to a common hub exclude a
-    link. Two texts that share several buckets are compared in the first of them.
+    the text met most often over all buckets, are verified; what then lies outside the
+    part that holds most of a bucket is compared with the rest of it unless the
+    registers, the parity sketches or, by the triangle inequality, the distances to a
+    common hub exclude a link. Two texts that share several buckets are compared in the
+    first of them. Texts are not shuffled: the second pass over them takes those that a
+    filter of the candidates lets through.
     """
     source = texts(docs.select(F.col("row").alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text"), "doc_id", "id")
     scheme = "doc_id bigint, id bigint, n bigint, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
@@ -175,7 +210,9 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5)
     hubs = hubs.select("bucket", (-F.col("h.low")).alias("x"))
     spokes = met.join(hubs, "bucket").where("x <> doc_id").select("x", F.col("doc_id").alias("y")).distinct()
     spokes = spokes.join(info.withColumnRenamed("doc_id", "x").alias("a"), "x").join(info.withColumnRenamed("doc_id", "y").alias("b"), "y").where(_alike(threshold)).select("x", "y")
-    sh = staged(source.join(info.select("doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_rows(size), "doc_id bigint, sh array<bigint>, " + ", ".join(f"p{i} bigint" for i in range(PARITY))), "shingles")
+    let = source.sparkSession.sparkContext.broadcast(id_filter(info, info.count()))
+    sh = source.select("doc_id", "text").mapInArrow(_shingle_rows(size, let), "doc_id bigint, sh array<bigint>, " + ", ".join(f"p{i} bigint" for i in range(PARITY)))
+    sh = staged(sh.join(info.select("doc_id"), "doc_id", "left_semi"), "shingles")
     stars = staged(_verified(spokes, sh), "stars")
     near = F.col("jaccard") >= threshold - 1e-12
     parts = connected_components(stars.where(near).select("x", "y"), "x", "y")
@@ -191,11 +228,13 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5)
     mixed = filed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     filed = filed.join(mixed, "bucket", "left_semi").join(sh.drop("sh"), "doc_id").join(reps.select("doc_id", "bands"), "doc_id")
     filed = staged(filed, "mixed")
+    most = filed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
+    outside = filed.join(most, "bucket").where("component <> most")
     apart = (F.col("a.pivot") != F.col("b.pivot")) | F.col("a.pivot").isNull() | F.col("b.pivot").isNull() | (F.abs(F.col("a.away") - F.col("b.away")) <= 1 - threshold + 1e-9)
     across = (
-        filed.alias("a").join(filed.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & apart & _alike(threshold) & _within(threshold) & (F.array_intersect("a.bands", "b.bands")[0] == F.col("a.bucket")))
-        .select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"))
-        .join(stars.select("x", "y"), ["x", "y"], "left_anti")
+        outside.alias("a").join(filed.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & ((F.col("a.doc_id") < F.col("b.doc_id")) | (F.col("b.component") == F.col("a.most"))) & (F.col("a.component") != F.col("b.component")) & apart & _alike(threshold) & _within(threshold) & (F.array_intersect("a.bands", "b.bands")[0] == F.col("a.bucket")))
+        .select(F.least("a.doc_id", "b.doc_id").alias("x"), F.greatest("a.doc_id", "b.doc_id").alias("y"))
+        .join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     )
     more = staged(_verified(across, sh).where(near), "links")
     links = stars.where(near).select("x", "y").union(more.select("x", "y"))
@@ -211,7 +250,7 @@ def near_duplicate_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5)
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """Rows (doc_id, class_id, n_shingles), one for each row of docs, as near_duplicate_rows() finds them; other columns are ignored."""
-    return near_duplicate_rows(numbered(docs, "doc_id", "text"), threshold, size).select("doc_id", "class_id", "n_shingles")
+    return near_duplicate_rows(own_rows(docs, "doc_id", "text"), threshold, size).select("doc_id", "class_id", "n_shingles")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
