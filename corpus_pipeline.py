@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
-from ledgerscope.llm.common import numbered, table
+from ledgerscope.llm.common import own_rows, table
 from ledgerscope.llm.decontam import benchmark_leaks
 from ledgerscope.llm.near_dup import near_duplicate_rows
 from ledgerscope.llm.packing import pack, token_pieces
@@ -28,14 +28,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one row, the first with the least doc_id; null and repeated doc_ids are compared by text."""
-    own = numbered(docs, F.struct(*docs.columns).alias("doc"))
+    own = own_rows(docs, F.struct(*docs.columns).alias("doc"))
     kept = near_duplicate_rows(own.select("row", "doc.doc_id", "doc.text")).where("row = first_row").select("row")
     return own.join(kept, "row", "left_semi").select("doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item leaks."""
-    own = numbered(docs, F.struct(*docs.columns).alias("doc"))
+    own = own_rows(docs, F.struct(*docs.columns).alias("doc"))
     leaks = benchmark_leaks(own.select(F.col("row").alias("doc_id"), "doc.text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
     return own.join(staged(leaks, "leaks"), "row", "left_anti").select("doc.*")
 
