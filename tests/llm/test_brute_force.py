@@ -217,7 +217,7 @@ def test_packing(spark, sf, documents, tokenizer, odd, empty):
 
 def test_packing_over_many_islands(spark):
     pieces = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + pmod(id * 7919, 1023) as length", "id as ids_crc32")
-    got = packing.pack(pieces, island=1000).collect()
+    got = packing.pack(pieces, group=1000).collect()
     fill = collections.Counter()
     for r in got:
         fill[r.sequence_id] += r.length
@@ -225,11 +225,39 @@ def test_packing_over_many_islands(spark):
     assert len(fill) <= 1.02 * sum(fill.values()) / 1024 + 1
 
 
-def test_genetic_steps_keep_all_items():
-    sizes = [400 + 7 * (i % 60) for i in range(200)]
-    best = packing.evolve(sizes, 1024, seed=1)
-    assert sorted(i for b in best.bins for i in b) == list(range(200))
-    assert all(sum(sizes[i] for i in b) <= 1024 for b in best.bins)
+def test_packing_of_repeated_and_null_ids(spark):
+    """One id on most rows, and few rows to a group: no sequence is filled twice."""
+    pieces = spark.range(6000).selectExpr("if(id < 4000, null, id) as doc_id", "0 as piece", "0L as start", "200 + pmod(id * 7919, 600) as length", "7L as ids_crc32", "'x' as u")
+    got = packing.pack(pieces, group=300).collect()
+    rows = collections.defaultdict(list)
+    for r in got:
+        rows[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 6000 and {r.u for r in got} == {"x"}
+    for x in rows.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 1024
+
+
+def test_genetic_steps_keep_all_items_and_improve_best_fit():
+    rng = np.random.default_rng(4)
+    fewer = 0
+    for seed in range(5):
+        sizes = rng.integers(250, 520, 300).tolist()
+        best, plain = packing.evolve(sizes, 1024, seed), packing.best_fit_decreasing(sizes, 1024)
+        assert sorted(i for b in best.bins for i in b) == list(range(300))
+        assert all(sum(sizes[i] for i in b) <= 1024 for b in best.bins)
+        assert packing.least_bins(sizes, 1024) <= len(best.bins) <= len(plain.bins)
+        fewer += len(best.bins) < len(plain.bins)
+    assert fewer
+
+
+def test_least_bins():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 7))
+        sizes = rng.integers(1, 11, n).tolist()
+        fits = next(k for k in range(1, n + 1) if any(max(np.bincount(x, sizes, k)) <= 10 for x in np.ndindex(*[k] * n)))
+        assert packing.least_bins(sizes, 10) <= fits
 
 
 def test_warc(spark, sf):
