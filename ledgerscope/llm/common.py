@@ -36,11 +36,11 @@ def numbered(docs: DataFrame, *columns) -> DataFrame:
     return staged(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
 
 
-def own_rows(docs: DataFrame, *columns) -> DataFrame:
-    """The columns of every row with a number of its own (row): its doc_id where no doc_id is null or repeated, else one that is written."""
-    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").take(1):
+def own_rows(docs: DataFrame, *columns, key: str = "doc_id") -> DataFrame:
+    """The columns of every row with a number of its own (row): its key where no key is null or repeated, else one that is written."""
+    if docs.groupBy(F.col(key).cast("long").alias("own")).agg(F.count("*").alias("c")).where("c > 1 OR own IS NULL").take(1):
         return numbered(docs, *columns)
-    return docs.select(F.col("doc_id").cast("long").alias("row"), *columns)
+    return docs.select(F.col(key).cast("long").alias("row"), *columns)
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
