@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -21,7 +23,7 @@ KINDS = ("assign", "access", "hex")
 #: What makes the characters after it sensitive, and how far it reaches.
 CONTEXT = re.compile(r"passw|passphrase|pwd|secret|token|credential|authorization|bearer|api.?key|private.?key|access.?key|signature", re.I | re.A)
 REACH = 80
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN, LEAST = re.compile(r"[A-Za-z0-9+/_=-]+"), 16
 
 #: Identifiers that prime the compressor besides the surrounding text.
 IDENTIFIERS = (
@@ -36,14 +38,15 @@ IDENTIFIERS = (
 
 
 class Novelty:
-    """Marginal compressed bytes of a string after its surrounding text, under a primed dictionary."""
+    """Marginal compressed bytes of a string given the text around it, under a primed dictionary."""
 
     def __init__(self, identifiers: str = IDENTIFIERS) -> None:
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zstd = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
 
-    def marginal(self, before: str, candidate: str) -> int:
-        return len(self.zstd.compress((before + candidate).encode())) - len(self.zstd.compress(before.encode()))
+    def marginal(self, before: str, candidate: str, after: str = "") -> int:
+        size = lambda x: len(self.zstd.compress(x.encode()))
+        return size(before + after + candidate) - size(before + after)
 
 
 def _classes(s: str) -> int:
@@ -51,21 +54,34 @@ def _classes(s: str) -> int:
 
 
 def find_spans(text: str, novelty: Novelty, bytes_per_char: float = 0.5, surround: int = 256) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base spans (start, kind number, end) in order, and the novel spans that the method adds."""
+    """Base spans (start, kind number, end) in order, and the novel spans that the method adds; linear in the text and its spans."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    novel, done = [], 0
-    for hint in CONTEXT.finditer(text):
-        at = max(done, hint.end())
-        while (m := CANDIDATE.search(text, at, )) and m.start() <= hint.end() + REACH:
-            at = done = m.end()
-            s = m.group()
-            if _classes(s) < 2 or any(a < m.end() and m.start() < b for a, _, b in base):
+    hints = [m.end() for m in CONTEXT.finditer(text)]
+    if not hints:
+        return base, []
+    runs = [m.span() for m in RUN.finditer(text)]
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))  # of all spans up to each
+    novel, done, first = [], 0, 0
+    for hint in hints:
+        at = max(done, hint)
+        while first < len(runs) and runs[first][1] <= at:
+            first += 1
+        for j in range(first, len(runs)):
+            a, b = max(runs[j][0], at), runs[j][1]
+            if a > hint + REACH:
+                break
+            s = text[a:b]
+            if b - a < LEAST:
                 continue
-            if novelty.marginal(text[max(0, m.start() - surround) : m.start()], s) >= bytes_per_char * len(s):
-                novel.append((m.start(), m.end()))
+            done = b
+            k = bisect_left(starts, b)
+            if _classes(s) < 2 or k and ends[k - 1] > a:
+                continue
+            if novelty.marginal(text[max(0, a - surround) : a], s, text[b : b + surround]) >= bytes_per_char * len(s):
+                novel.append((a, b))
     return base, novel
 
 
@@ -98,7 +114,7 @@ def secret_spans(docs: DataFrame, bytes_per_char: float = 0.5, surround: int = 2
     hex come from fixed patterns. Kind novel: a string of at least 16 characters of two
     or more sorts (lower, upper, digits), shortly after a sensitive word, outside base
     spans, that costs bytes_per_char or more compressed bytes per character after the
-    surround characters before it, under a dictionary of identifiers. A null or empty
+    surround characters on both sides of it, under a dictionary of identifiers. A null or empty
     text has no spans. Repeated rows are reported each; an empty table gives no rows;
     columns but doc_id and text are ignored.
     """
