@@ -147,6 +147,8 @@ def test_quality_odd(odd, empty):
     assert all(got[i].base_failed and not got[i].kept for i in (0, 1, 2, 3, 4, 7))
     assert got[6].n_words == 30_000 and got[7].n_words == 3 and got[0].word_chars == 0
     assert quality.quality_verdict(empty).count() == 0
+    lazy = {r.doc_id: (r.n_words, r.kept) for r in quality.quality_verdict(odd, whole=False).collect()}
+    assert lazy == {i: (r.n_words, r.kept) for i, r in got.items()}
 
 
 def test_quality_order_is_by_rejection_per_cost(spark):
@@ -281,12 +283,23 @@ def test_warc_odd_pages(spark):
     got = {r.page_id: tuple(r)[1:] for r in warc.read_archive(chunks).collect()}
     assert got[1][2:] == ("revisit", 2, True) and got[3][2:] == ("revisit", 4, True) and got[4][0] == 400_000
     assert got[5][2:] == ("response", None, True) and max(len(r.data) for r in chunks.collect()) <= 1000
-    joined = b"".join(bytes(r.data) for r in chunks.where("record_id = 'urn:page:5'").orderBy("chunk_no").collect())
+    joined = b"".join(bytes(r.data) for r in chunks.where(f"record_id = '{warc.record_urn(5, 5)}'").orderBy("chunk_no").collect())
     assert joined.startswith(b"WARC/1.1\r\nWARC-Type: response") and joined.endswith(b"\r\n\r\nWARC/1.1\r\n\r\nx\r\n\r\n")
+    head, http, rest = joined.split(b"\r\n\r\n", 2)
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    assert int(fields["Content-Length"]) == len(http) + 4 + len(rest) - 4 and fields.keys() >= {"WARC-Date", "WARC-Record-ID", "Content-Type"}
     assert warc.read_archive(warc.write_archive(pages.limit(0))).count() == 0
     assert all(r.record_type == "response" for r in warc.read_archive(warc.write_archive(pages, least=10_000_000)).collect())
 
 
+def test_warc_repeated_and_null_page_ids(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "u", "other"), (2, "v", "same"), (None, "w", "other"), (None, "w", None), (None, "w", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.verified) for r in warc.read_archive(warc.write_archive(pages)).collect())
+    want = [(1, 4, "revisit", 2, True)] * 2 + [(1, 5, "response", None, True), (2, 4, "response", None, True), (None, 5, "revisit", 1, True), (None, 0, "response", None, True), (None, 0, "revisit", None, True)]
+    assert got == collections.Counter(want)
+
+
 def article(page):
     """The given pages mark their text with article; a direct reading of that."""
     body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
