@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The verdicts are written first: a filter on them would be pushed below the rules'
     expressions and repeat these many times over.
     """
-    judged = quality_verdict(docs.select(F.struct(*docs.columns).alias("__row"), "text")).select("__row", "kept")
+    judged = quality_verdict(docs.select(F.struct(*docs.columns).alias("__row"), "text"), whole=False).select("__row", "kept")
     return staged(judged, "verdicts").where("kept").select("__row.*")
 
 
