@@ -2,51 +2,156 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
+from ledgerscope.operators.order import row_numbers
 
+#: Fixed value: what every alert says.
+CAVEAT = "screening signal only — no determination of guilt"
 
-def conflicts(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs better, worse (ranks) of alerts whose member sets have a Jaccard similarity above threshold; members has rank, node_id."""
-    m = members.distinct()
+
+def overlaps(members: DataFrame, least: float) -> DataFrame:
+    """Pairs better, worse (ranks) of alerts whose member sets have a Jaccard similarity (jaccard) above least; members has rank, node_id.
+
+    Of sets so alike the rarest members, all but a share least of a set, have one in
+    common. Pairs are looked for by those alone, so a node in many alerts joins few; the
+    sets of the pairs found are then compared whole.
+    """
+    m = members.select("rank", "node_id").distinct()
     size = m.groupBy("rank").agg(F.count("*").alias("n"))
-    met = m.join(m.withColumnRenamed("rank", "worse"), "node_id").where("rank < worse").groupBy(F.col("rank").alias("better"), "worse").agg(F.count("*").alias("both"))
-    met = met.join(size.withColumnsRenamed({"rank": "better", "n": "n1"}), "better").join(size.withColumnsRenamed({"rank": "worse", "n": "n2"}), "worse")
-    return met.where(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")) > threshold).select("better", "worse")
+    known = m.join(m.groupBy("node_id").agg(F.count("*").alias("met")), "node_id").join(size, "rank")
+    place = F.row_number().over(Window.partitionBy("rank").orderBy("met", "node_id"))
+    rare = known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("rank", "node_id", "n")
+    b = rare.select(F.col("rank").alias("worse"), "node_id", F.col("n").alias("n2"))
+    alike = F.least("n", "n2") > least * F.greatest("n", "n2")
+    pairs = rare.join(b, "node_id").where((F.col("rank") < F.col("worse")) & alike).select(F.col("rank").alias("better"), "worse", "n", "n2").distinct()
+    both = pairs.join(m.withColumnRenamed("rank", "better"), "better").join(m.withColumnRenamed("rank", "worse"), ["worse", "node_id"])
+    both = both.groupBy("better", "worse", "n", "n2").agg(F.count("*").alias("both"))
+    return both.select("better", "worse", (F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") > least)
 
 
-def greedy_dedup(alerts: DataFrame, members: DataFrame, threshold: float = 0.5, max_rounds: int = 1000) -> DataFrame:
-    """alerts (rank, ...) with kept and overlap_group, as if walked in rank order.
+def conflicts(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs better, worse of overlaps() above threshold."""
+    return overlaps(members, threshold).select("better", "worse")
 
-    An alert is suppressed if its overlap with an accepted better one is above
-    threshold; its group is that of the best such one. In each round alerts without an
-    undecided or accepted better conflict are accepted and their conflicts suppressed.
+
+def settled(alerts: DataFrame, pairs: DataFrame, keys: list[str], max_rounds: int = 1000) -> DataFrame:
+    """keys, rank and kept of alerts under pairs (keys, better, worse), as if walked in rank order for each value of keys.
+
+    In each round alerts without an undecided or accepted better conflict are accepted
+    and their conflicts suppressed. Only undecided alerts and their pairs go on to the
+    next round, so the rounds shrink; a chain of overlaps takes one for every two alerts.
     """
-    pairs = staged(conflicts(members, threshold), "conflicts")
-    state = staged(alerts.select("rank", F.lit(None).cast("boolean").alias("kept")), "state")
+    pairs = staged(pairs.select(*keys, "better", "worse"), "conflicts")
+    undecided, done = staged(alerts.select(*keys, "rank"), "undecided"), []
     for _ in range(max_rounds):
-        known = pairs.join(state.withColumnsRenamed({"rank": "better", "kept": "k"}), "better")
-        worst = known.groupBy(F.col("worse").alias("rank")).agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.bool_or(F.col("k").isNull()).alias("open"))
-        new = state.join(worst, "rank", "left")
-        kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = staged(new.select("rank", kept.alias("kept")), "state")
-        if state.where("kept IS NULL").isEmpty():
+        held = pairs.select(*keys, F.col("worse").alias("rank")).distinct()
+        accepted = staged(undecided.join(held, [*keys, "rank"], "left_anti"), "accepted")
+        out = staged(pairs.join(accepted.withColumnRenamed("rank", "better"), [*keys, "better"], "left_semi").select(*keys, F.col("worse").alias("rank")).distinct(), "suppressed")
+        done += [accepted.withColumn("kept", F.lit(True)), out.withColumn("kept", F.lit(False))]
+        both = accepted.union(out)
+        undecided = staged(undecided.join(both, [*keys, "rank"], "left_anti"), "undecided")
+        if undecided.isEmpty():
             break
+        pairs = staged(pairs.join(out.withColumnRenamed("rank", "worse"), [*keys, "worse"], "left_anti").join(both.withColumnRenamed("rank", "better"), [*keys, "better"], "left_anti"), "conflicts")
     else:
         raise RuntimeError(f"alerts did not settle in {max_rounds} rounds")
-    accepted = state.where("kept").select("rank", (F.row_number().over(Window.orderBy("rank")) - 1).alias("g"))
+    return reduce(DataFrame.union, done)
+
+
+def greedy_dedup(alerts: DataFrame, members: DataFrame, threshold: float = 0.5, most: int = 100, max_rounds: int = 1000) -> DataFrame:
+    """alerts (rank, ...) of at most most members with kept and overlap_group, as if walked in rank order.
+
+    An alert is suppressed if its overlap with an accepted better one is above
+    threshold; its group is that of the best such one, accepted ones are numbered from
+    0. Larger alerts leave first; dedup_report() counts them.
+    """
+    size = members.select("rank", "node_id").distinct().groupBy("rank").agg(F.count("*").alias("n"))
+    few = size.where(F.col("n") <= most).select("rank")
+    alerts, members = alerts.join(few, "rank", "left_semi"), members.join(few, "rank", "left_semi")
+    pairs = staged(conflicts(members, threshold), "overlaps")
+    state = settled(alerts, pairs, [], max_rounds)
+    accepted = row_numbers(state.where("kept").select("rank"), ["rank"], "g").withColumn("g", F.col("g") - 1)
     owner = pairs.join(accepted.withColumnsRenamed({"rank": "better", "g": "owner"}), "better").groupBy(F.col("worse").alias("rank")).agg(F.min("owner").alias("owner"))
     out = alerts.join(state, "rank").join(accepted, "rank", "left").join(owner, "rank", "left")
     return out.withColumn("overlap_group", F.when(F.col("kept"), F.col("g")).otherwise(F.col("owner"))).drop("g", "owner")
 
 
-def hit_rule(members: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
-    """Per alert: members, illicit and confirmed ones, and whether at least least are illicit; unknown is neither."""
+def dedup_report(alerts: DataFrame, deduped: DataFrame) -> DataFrame:
+    """One row: alerts, those too large, kept and suppressed ones."""
+    n = deduped.agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_suppressed"))
+    return alerts.agg(F.count("*").alias("n_input")).join(F.broadcast(n)).select("n_input", (F.col("n_input") - F.col("n_kept") - F.col("n_suppressed")).alias("n_oversized"), "n_kept", "n_suppressed")
+
+
+def hit_rule(members: DataFrame, labels: DataFrame, least: int = 2, share: float | None = None) -> DataFrame:
+    """Per alert: members, illicit and confirmed ones, and whether at least least are illicit, and share of the confirmed ones if given; unknown is neither."""
     df = members.join(labels, "node_id", "left")
     g = df.groupBy("rank").agg(F.count("*").alias("n_members"), F.count_if(F.col("label") == "illicit").alias("n_illicit"), F.count_if(F.col("label").isin("illicit", "licit")).alias("n_confirmed"))
-    return g.withColumn("is_hit", F.col("n_illicit") >= least)
+    hit = F.col("n_illicit") >= least
+    return g.withColumn("is_hit", hit if share is None else hit & (F.col("n_illicit") >= share * F.col("n_confirmed")))
+
+
+def build_alerts(communities: DataFrame, nodes: DataFrame, dataset: str, run: str, most: int = 100) -> DataFrame:
+    """Ranked alerts from communities (community_id, score, member_node_ids) of at most most members.
+
+    Best score first, ties by community_id; the window spans the times at which members
+    were first seen. A screening signal is for review, which every alert says.
+    """
+    ranked = row_numbers(communities.where(F.size("member_node_ids") <= most), [F.desc("score"), "community_id"])
+    times = ranked.select("community_id", F.explode("member_node_ids").alias("node_id")).join(nodes.select("node_id", "time_first_seen"), "node_id")
+    spans = times.groupBy("community_id").agg(F.min("time_first_seen").alias("time_window_start"), F.max("time_first_seen").alias("time_window_end"))
+    return ranked.join(spans, "community_id", "left").select(
+        F.concat(F.lit(f"{dataset}:{run}:"), F.col("rank").cast("string")).alias("alert_id"), "rank", F.col("score").alias("risk_score"), "community_id", "member_node_ids",
+        "time_window_start", "time_window_end", F.size("member_node_ids").alias("n_members"), F.lit(CAVEAT).alias("caveats"),
+    )
+
+
+def queue_metrics(hits: DataFrame, budgets: list[int]) -> DataFrame:
+    """Per budget over a queue (rank, is_hit): hits, precision and false-alert rate among the first k alerts; k is cut at their number."""
+    place = row_numbers(hits.select("rank", "is_hit"), ["rank"], "place")
+    total = place.agg(F.count("*").alias("n")).where("n > 0")
+    k = total.select(F.explode(F.array(*(F.lit(b).cast("long") for b in budgets))).alias("budget"), "n").withColumn("k_effective", F.least("budget", "n"))
+    g = place.join(F.broadcast(k), F.col("place") <= F.col("k_effective")).groupBy("budget", "k_effective").agg(F.count_if("is_hit").alias("n_hits"))
+    precision = F.col("n_hits") / F.col("k_effective")
+    return g.select("budget", "k_effective", "n_hits", precision.alias("precision"), (1 - precision).alias("false_alert_rate"))
+
+
+def percent_budgets(budgets: list[int | str], n: Column | str) -> list[Column]:
+    """Budgets as columns: "N%" is the rounded (half to even) share of n, 1 at least; numbers stay."""
+    out = []
+    for b in budgets:
+        if isinstance(b, str):
+            share = float(b.removesuffix("%")) if b.endswith("%") else 0.0
+            if not 0 < share <= 100:
+                raise ValueError(f"budget {b!r} is no percentage in (0, 100]")
+            out.append(F.greatest(F.lit(1), F.bround(F.col(n) * share / 100).cast("long")).cast("long"))
+        else:
+            out.append(F.lit(int(b)).cast("long"))
+    return out
+
+
+def sensitivity(alerts: DataFrame, members: DataFrame, labels: DataFrame, thresholds: list[float], shares: list[float | None], most: int = 100) -> DataFrame:
+    """Per threshold and share: alerts kept and suppressed, and hits among the kept.
+
+    Overlaps are found once, above the least threshold; the walks of all thresholds go
+    through the same rounds.
+    """
+    size = members.select("rank", "node_id").distinct().groupBy("rank").agg(F.count("*").alias("n"))
+    few = size.where(F.col("n") <= most).select("rank")
+    grid = F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold")
+    pairs = overlaps(members.join(few, "rank", "left_semi"), min(thresholds)).select("better", "worse", "jaccard", grid).where(F.col("jaccard") > F.col("threshold"))
+    state = settled(alerts.join(few, "rank", "left_semi").select("rank", grid), pairs, ["threshold"])
+    hits = hit_rule(members, labels, 1).select("rank", "n_illicit", "n_confirmed")
+    rule = F.explode(F.array(*(F.lit(-1.0 if x is None else x) for x in shares))).alias("share")
+    df = state.join(hits, "rank", "left").select("threshold", "kept", "n_illicit", "n_confirmed", rule)
+    hit = (F.col("n_illicit") >= 1) & (F.col("n_illicit") >= F.col("share") * F.col("n_confirmed"))
+    return df.groupBy("threshold", F.when(F.col("share") >= 0, F.col("share")).alias("share")).agg(
+        F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_suppressed"), F.count_if(F.col("kept") & hit).alias("n_hits")
+    )
 
 
 def illicit_coverage(members: DataFrame, labels: DataFrame, budgets: list[int]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.staging import staged
+from ledgerscope.operators.components import connected_components
+
 
 def zero(column: str):
     return F.coalesce(F.col(column), F.lit(0)).alias(column)
@@ -19,8 +22,8 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mutual_degree(edges: DataFrame) -> DataFrame:
-    """Distinct partners in both directions, for nodes that have any; a self-loop is its own partner."""
-    pairs = edges.select("src", "dst").distinct()
+    """Distinct partners in both directions of directed edges, for nodes that have any; a self-loop is its own partner."""
+    pairs = (edges.where("directed") if "directed" in edges.columns else edges).select("src", "dst").distinct()
     back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return pairs.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("mutual_degree"))
 
@@ -63,11 +66,13 @@ def incident_events(edges: DataFrame) -> DataFrame:
 
 
 def direction_stats(edges: DataFrame, end: str, prefix: str, base: float = 100.0) -> DataFrame:
-    """Per node at one end of the payments: count, sum (null if none is known), share of round amounts, first and last time."""
-    return edges.groupBy(F.col(end).alias("node_id")).agg(
+    """Per node at one end of the payments: count, sum (null if none is known), share of round amounts, first and last time, burstiness."""
+    stats = edges.groupBy(F.col(end).alias("node_id")).agg(
         F.count("*").alias(f"{prefix}_count"), F.sum("amount").alias(f"{prefix}_sum"),
         F.avg((F.col("amount") % base == 0).cast("double")).alias(f"{prefix}_round_share"), F.min("timestamp").alias(f"{prefix}_first"), F.max("timestamp").alias(f"{prefix}_last"),
     )
+    bursts = burstiness(edges.select(F.col(end).alias("node_id"), "timestamp")).withColumnRenamed("burstiness", f"{prefix}_burstiness")
+    return stats.join(bursts, "node_id", "left")
 
 
 def holding_time(edges: DataFrame) -> DataFrame:
@@ -120,11 +125,6 @@ def zscores(features: DataFrame, columns: list[str], fill_null: bool = True) ->
     return features.join(F.broadcast(stats)).select("node_id", *(z(c).alias(c) for c in columns))
 
 
-def simple_projection(edges: DataFrame) -> DataFrame:
-    """Undirected pairs u < v without loops and repeats."""
-    return edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-
-
 def both_directions(edges: DataFrame) -> DataFrame:
     """Every edge and its reverse, with direction 0 or 1 and a relation number: the place of the type, plus the number of types for reverses."""
     types = edges.agg(F.array_sort(F.collect_set("edge_type")).alias("types"))
@@ -149,3 +149,135 @@ def frozen_zscores(fit: DataFrame, df: DataFrame, columns: list[str]) -> DataFra
     stats = fit.agg(*(f(c).alias(f"__{k}_{c}") for c in columns for k, f in (("m", F.avg), ("d", F.stddev_samp))))
     z = {c: F.when(F.col(f"__d_{c}") > 0, F.coalesce((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__d_{c}"), F.lit(0.0))).otherwise(0.0) for c in columns}
     return df.join(F.broadcast(stats)).withColumns(z).select(*df.columns)
+
+
+def k_core(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Core index (node_id, core) of every node of the simple projection.
+
+    Each round a node's value becomes the largest h such that h neighbours have a value
+    of at least h; from the degrees these values fall to the core indices. Neighbours
+    are counted by value first, none above the node's own, so a hub's rows are few.
+    """
+    pairs = simple_pairs(edges)
+    both = staged(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "pairs")
+    value = staged(both.groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("core")), "cores")
+    before = None
+    for _ in range(max_rounds):
+        met = both.join(value.select(F.col("node_id").alias("v"), F.col("core").alias("other")), "v").join(value.select(F.col("node_id").alias("u"), "core"), "u")
+        counts = met.groupBy(F.col("u").alias("node_id"), F.least("core", "other").alias("value")).agg(F.count("*").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("node_id").orderBy(F.desc("value")))
+        value = staged(counts.withColumn("above", above).groupBy("node_id").agg(F.max(F.least("value", "above")).alias("core")), "cores")
+        total = value.agg(F.sum("core")).first()[0]
+        if total == before:
+            return value
+        before = total
+    raise RuntimeError(f"core indices did not settle in {max_rounds} rounds")
+
+
+def community_stats(degrees: DataFrame, communities: DataFrame) -> DataFrame:
+    """Size of each node's community and its degree over the community's mean, 1 where that is 0.
+
+    degrees has node_id and degree, communities node_id and community_id; nodes without
+    a community share one group.
+    """
+    df = degrees.select("node_id", "degree").join(communities.select("node_id", "community_id"), "node_id", "left")
+    own = df.groupBy("community_id").agg(F.count("*").alias("community_size"), F.avg("degree").alias("mean"))
+    both = df.join(own, df.community_id.eqNullSafe(own.community_id))
+    return both.select("node_id", "community_size", F.when(F.col("mean") > 0, F.col("degree") / F.col("mean")).otherwise(1.0).alias("degree_rel_community"))
+
+
+#: Columns of the structural template.
+TEMPLATE = ["in_degree", "out_degree", "degree", "mutual_degree", "clustering", "core", "triangles", "burstiness", "community_size", "degree_rel_community"]
+
+
+def structural_template(nodes: DataFrame, edges: DataFrame, communities: DataFrame | None = None) -> DataFrame:
+    """All structural features (node_id and TEMPLATE), one row per node; components stand in for communities."""
+    nodes = nodes.select("node_id").distinct()
+    if communities is None:
+        parts = connected_components(edges, "src", "dst").select(F.col("node").alias("node_id"), "component")
+        communities = nodes.join(parts, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("community_id"))
+    d = staged(degrees(nodes, edges), "degrees")
+    df = d.join(mutual_degree(edges), "node_id", "left").join(triangles(edges).drop("simple_degree"), "node_id", "left").join(k_core(edges), "node_id", "left")
+    df = df.join(burstiness(incident_events(edges.where("timestamp IS NOT NULL"))), "node_id", "left").join(community_stats(d, communities), "node_id")
+    filled = {c: F.coalesce(c, F.lit(0)) for c in ("mutual_degree", "triangles", "core")} | {"clustering": F.coalesce("clustering", F.lit(0.0))}
+    return df.withColumns(filled).select("node_id", *TEMPLATE)
+
+
+def group_of(column: str = "node_id"):
+    """The second part of a type:group:id identifier; null if there is none."""
+    return F.get(F.split(column, ":"), F.lit(1))
+
+
+def within_groups(edges: DataFrame) -> DataFrame:
+    """Edges whose ends are in one group."""
+    return edges.where(group_of("src") == group_of("dst"))
+
+
+def grouped_zscores(features: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns standardised inside each node's group; 0 for nulls and for no variance."""
+    df = features.withColumn("group", group_of())
+    stats = df.groupBy("group").agg(*(F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"__{c}") for c in columns))
+    z = lambda c: F.when(F.col(f"__{c}.s") > 0, F.coalesce((F.col(c) - F.col(f"__{c}.m")) / F.col(f"__{c}.s"), F.lit(0.0))).otherwise(0.0)
+    return df.join(stats, "group").select("node_id", "group", *(z(c).alias(c) for c in columns))
+
+
+def structural_floor(template: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per node the mean over its standardised features of what lies above the mean."""
+    columns = TEMPLATE if columns is None else columns
+    z = zscores(template, columns)
+    return z.select("node_id", (sum((F.greatest(F.col(c), F.lit(0.0)) for c in columns[1:]), F.greatest(F.col(columns[0]), F.lit(0.0))) / len(columns)).alias("score"))
+
+
+def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """One row (modularity) of a partition (node_id, community_id) of the undirected projection weighted by parallels."""
+    w = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).groupBy("u", "v").agg(F.count("*").alias("w"))
+    c = communities.select("node_id", "community_id")
+    df = w.join(c.toDF("u", "cu"), "u").join(c.toDF("v", "cv"), "v")
+    inside = df.agg(F.sum("w").alias("m"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0)).alias("own"))
+    degree = df.select(F.col("cu").alias("c"), "w").union(df.select("cv", "w")).groupBy("c").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("k2"))
+    return inside.join(F.broadcast(degree)).select((F.col("own") / F.col("m") - F.col("k2") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, least: int = 2, rounds: int = 6, levels: int = 3) -> DataFrame:
+    """Communities (node_id, community_id) of at least least nodes of the undirected projection weighted by parallels.
+
+    In each round half of the nodes, by hash, may move to the neighbouring community with
+    the largest gain of modularity. After rounds rounds communities become nodes and the
+    next level begins. Communities are then cut into connected parts; a part bears its
+    least node id. Ties fall to the least community, so a run repeats.
+    """
+    w = edges.where("src <> dst AND src IS NOT NULL AND dst IS NOT NULL")
+    base = staged(w.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).groupBy("u", "v").agg(F.sum(F.lit(1.0)).alias("w")), "weighted")
+    two_m = 2 * (base.agg(F.sum("w")).first()[0] or 0.0)
+    owner = staged(base.select(F.col("u").alias("node_id")).union(base.select("v")).distinct().select("node_id", F.col("node_id").alias("community_id")), "owners")
+    links = base
+    for level in range(levels):
+        both = staged(links.select("u", "v", "w").union(links.where("u <> v").select("v", "u", "w")), "links")
+        degree = both.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
+        state = staged(degree.select("u", "k", F.col("u").alias("c")), "state")
+        moved = 0
+        for turn in range(rounds):
+            total = state.groupBy("c").agg(F.sum("k").alias("kc"))
+            near = both.where("u <> v").join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("wc"))
+            own = state.select("u", "k", F.col("c").alias("now"))
+            may = near.unionByName(own.select("u", F.col("now").alias("c"), F.lit(0.0).alias("wc"))).groupBy("u", "c").agg(F.sum("wc").alias("wc"))
+            gain = F.col("wc") - resolution * F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / two_m
+            scored = may.join(own, "u").join(total, "c").select("u", "k", "now", "c", F.round(gain, 9).alias("gain"), (F.col("c") == F.col("now")).alias("stays"))
+            best = scored.groupBy("u", "k", "now").agg(F.min_by("c", F.struct((-F.col("gain")).alias("g"), (~F.col("stays")).alias("s"), "c")).alias("best"))
+            turns = F.pmod(F.xxhash64("u", F.lit(level * rounds + turn)), F.lit(2)) == 0
+            state = staged(best.select("u", "k", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("c"), (turns & (F.col("best") != F.col("now"))).alias("moves")), "state")
+            changed = state.where("moves").count()
+            moved += changed
+            state = state.drop("moves")
+            if turn and not changed:
+                break
+        owner = staged(owner.join(state.select(F.col("u").alias("community_id"), "c"), "community_id").select("node_id", F.col("c").alias("community_id")), "owners")
+        if not moved:
+            break
+        c = state.select("u", "c")
+        up = links.join(c.withColumnRenamed("c", "a"), "u").join(c.toDF("v", "b"), "v")
+        links = staged(up.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w")), "weighted")
+    inner = base.join(owner.toDF("u", "cu"), "u").join(owner.toDF("v", "cv"), "v").where("cu = cv")
+    parts = connected_components(inner, "u", "v").select(F.col("node").alias("node_id"), F.col("component").alias("community_id"))
+    large = parts.groupBy("community_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("community_id")
+    return parts.join(large, "community_id", "left_semi")

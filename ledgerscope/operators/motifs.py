@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.staging import staged
+
 
 def fans(edges: DataFrame, least: int = 5) -> DataFrame:
     """Nodes with at least least distinct sources (fan_in) or targets (fan_out)."""
@@ -29,10 +33,177 @@ def cover_bids(bids: DataFrame, losing: int = 2, above: float = 1.06) -> DataFra
 
 
 def pass_through_hops(edges: DataFrame, share: float = 0.9, ticks: int = 2) -> DataFrame:
-    """Payments followed within ticks by one that forwards at least share of the amount, and not more than all."""
-    a, b = edges.alias("a"), edges.alias("b")
+    """Pairs of consecutive payments of which the second forwards at least share of the first within ticks.
+
+    Amounts and times must be known, and the first amount not 0. Payments are looked up
+    by node and by blocks of ticks + 1 units of time, so a busy account is split.
+    """
+    e = edges.where("amount IS NOT NULL AND timestamp IS NOT NULL").select("src", "dst", "timestamp", "amount", *(c for c in ("alert_id",) if c in edges.columns))
+    block = lambda t: F.floor(t / (ticks + 1)).cast("long")
+    a = e.where("amount <> 0").withColumn("block", F.explode(F.array(block(F.col("timestamp")), block(F.col("timestamp")) + 1))).alias("a")
+    b = e.withColumn("block", block(F.col("timestamp"))).alias("b")
     later = (F.col("b.timestamp") >= F.col("a.timestamp")) & (F.col("b.timestamp") <= F.col("a.timestamp") + ticks)
-    enough = (F.col("b.amount") >= share * F.col("a.amount")) & (F.col("b.amount") <= F.col("a.amount"))
-    return a.join(b, (F.col("a.dst") == F.col("b.src")) & later & enough).select(
-        F.col("a.src").alias("from"), F.col("a.dst").alias("via"), F.col("b.dst").alias("to"), F.col("a.timestamp").alias("t1"), F.col("b.timestamp").alias("t2"), F.col("a.amount").alias("amount_in"), F.col("b.amount").alias("amount_out")
+    same = (F.col("a.alert_id") == F.col("b.alert_id")) if "alert_id" in e.columns else F.lit(True)
+    own = [F.col("a.alert_id")] if "alert_id" in e.columns else []
+    return a.join(b, (F.col("a.dst") == F.col("b.src")) & (F.col("a.block") == F.col("b.block")) & same & later & (F.col("b.amount") / F.col("a.amount") >= share)).select(
+        *own, F.col("a.src").alias("from"), F.col("a.dst").alias("via"), F.col("b.dst").alias("to"), F.col("a.timestamp").alias("t1"), F.col("b.timestamp").alias("t2"), F.col("a.amount").alias("amount_in"), F.col("b.amount").alias("amount_out")
+    )
+
+
+def pass_through_chains(edges: DataFrame, least: int = 3, share: float = 0.9, ticks: int = 2, max_rounds: int = 1000) -> DataFrame:
+    """Maximal chains of at least least payments, each hop as in pass_through_hops(): (head_src, head_dst, hops, nodes).
+
+    Parallel payments are collapsed first. A chain begins at a payment that no other
+    forwards to; at a fork the largest amount goes on, the least target of equals. Where
+    amounts and times allow a loop, the chain ends at the first payment met again.
+    edges may bear alert_id; then each alert's chains are found by themselves.
+    """
+    own = [c for c in ("alert_id",) if c in edges.columns]
+    last = F.max_by(F.struct("timestamp", "amount"), F.struct("timestamp", "amount"))
+    e = edges.groupBy(*own, "src", "dst").agg(last.alias("x")).select(*own, "src", "dst", "x.timestamp", "x.amount")
+    hops = staged(pass_through_hops(e, share, ticks), "hops")
+    first = ["from", "via"]
+    to = F.min_by("to", F.struct((-F.col("amount_out")).alias("less"), "to"))
+    follow = staged(hops.groupBy(*own, *first).agg(to.alias("to")), "follow")
+    fed = hops.select(*own, F.col("via").alias("from"), F.col("to").alias("via")).distinct()
+    heads = follow.select(*own, *first).join(fed, [*own, *first], "left_anti")
+    chains = staged(heads.select(*own, F.col("from").alias("head_src"), F.col("via").alias("head_dst"), F.array("from", "via").alias("nodes"), *first), "chains")
+    done = []
+    for _ in range(max_rounds):
+        on = chains.join(follow, [*own, *first])
+        edge = F.exists(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: (F.element_at("nodes", i) == F.col("via")) & (F.element_at("nodes", i + 1) == F.col("to")))
+        on = staged(on.where(~edge).select(*own, "head_src", "head_dst", F.concat("nodes", F.array("to")).alias("nodes"), F.col("via").alias("from"), F.col("to").alias("via")), "chains")
+        done.append(chains.join(on.select(*own, "head_src", "head_dst"), [*own, "head_src", "head_dst"], "left_anti"))
+        if on.isEmpty():
+            break
+        chains = on
+    else:
+        raise RuntimeError(f"chains did not end in {max_rounds} rounds")
+    every = reduce(DataFrame.union, done).select(*own, "head_src", "head_dst", (F.size("nodes") - 1).alias("hops"), "nodes")
+    return every.where(F.col("hops") >= least)
+
+
+def cycles(edges: DataFrame, longest: int = 8, shortest: int = 3, most: int | None = 100) -> DataFrame:
+    """Directed cycles of shortest to longest distinct nodes in each alert's edges (alert_id, src, dst): (alert_id, nodes).
+
+    A cycle begins at its least node and is grown along edges to larger ones, so it is
+    found once. Of an alert's cycles the first most, by length and nodes, are reported,
+    which is the feature's cap; an alert that has them grows no longer paths, so a dense
+    one ends early. None reports all.
+    """
+    e = staged(edges.where("src <> dst").select("alert_id", "src", "dst").distinct(), "cycle-edges")
+    step = e.toDF("alert_id", "last", "next")
+    paths, found = e.where("src < dst").select("alert_id", F.array("src", "dst").alias("nodes"), F.col("dst").alias("last")), []
+    for n in range(2, longest + 1):
+        on = paths.join(step, ["alert_id", "last"])
+        if n >= shortest:
+            found.append(staged(on.where(F.col("next") == F.element_at("nodes", 1)).select("alert_id", "nodes"), "cycles"))
+            if most is not None:
+                full = reduce(DataFrame.union, found).groupBy("alert_id").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+                on = on.join(full.select("alert_id"), "alert_id", "left_anti")
+        if n < longest:
+            grown = on.where((F.col("next") > F.element_at("nodes", 1)) & ~F.array_contains("nodes", F.col("next")))
+            paths = staged(grown.select("alert_id", F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("last")), "paths")
+            if paths.isEmpty():
+                break
+    out = reduce(DataFrame.union, found) if found else paths.select("alert_id", "nodes").limit(0)
+    if most is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.size("nodes"), "nodes"))
+    return out.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
+def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
+    """Maximal cliques of at least least nodes of each alert's undirected edges (alert_id, src, dst): (alert_id, nodes).
+
+    Cliques grow by larger common neighbours, a table of (clique, candidates) at a time,
+    so no alert's graph is held in one task; a clique no node extends is maximal.
+    """
+    e = edges.where("src <> dst").select("alert_id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    both = e.union(e.select("alert_id", "v", "u"))
+    near = staged(both.groupBy("alert_id", F.col("u").alias("node")).agg(F.collect_set("v").alias("near")), "neighbours")
+    now = near.select("alert_id", F.array("node").alias("nodes"), F.col("near").alias("common"), "node")
+    found = None
+    while True:
+        full = now.where((F.size("common") == 0) & (F.size("nodes") >= least)).select("alert_id", F.array_sort("nodes").alias("nodes"))
+        found = full if found is None else found.union(full)
+        grown = now.select("alert_id", "nodes", "common", F.explode("common").alias("next")).where(F.col("next") > F.array_max("nodes"))
+        now = staged(grown.join(near.toDF("alert_id", "next", "near"), ["alert_id", "next"]).select("alert_id", F.concat("nodes", F.array("next")).alias("nodes"), F.array_intersect("common", "near").alias("common")), "cliques")
+        if now.isEmpty():
+            return found
+
+
+def market_partition(awards: DataFrame, buys: DataFrame, least: int = 2) -> DataFrame:
+    """Alerts with at least least buyers, each with least firms or more, none of which wins from two: (alert_id, n_buyers, nodes).
+
+    awards has alert_id, tender, firm; buys alert_id, buyer, tender.
+    """
+    pairs = awards.join(buys, ["alert_id", "tender"]).select("alert_id", "buyer", "firm").distinct()
+    firms = pairs.groupBy("alert_id", "firm").agg(F.count("*").alias("n")).groupBy("alert_id").agg(F.bool_and(F.col("n") == 1).alias("apart"), F.collect_list("firm").alias("firms"))
+    buyers = pairs.groupBy("alert_id", "buyer").agg(F.count("*").alias("n")).groupBy("alert_id").agg(F.bool_and(F.col("n") >= least).alias("wide"), F.count("*").alias("n_buyers"), F.collect_list("buyer").alias("buyers"))
+    both = firms.join(buyers, "alert_id").where("apart AND wide").where(F.col("n_buyers") >= least)
+    return both.select("alert_id", "n_buyers", F.array_sort(F.concat("buyers", "firms")).alias("nodes"))
+
+
+def coordinated_cluster(bids: DataFrame, firms: int = 3, tenders: int = 2, cv: float = 0.05) -> DataFrame:
+    """Alerts in which at least firms firms meet another in tenders bid rows or more, and all tenders they bid on have prices of a CV of at most cv.
+
+    bids has alert_id, tender, firm, amount; rows are (alert_id, n_firms, max_cv, nodes). Pairs are counted as products
+    of the two firms' bid rows in a tender.
+    """
+    b = bids.where("amount IS NOT NULL")
+    n = b.groupBy("alert_id", "tender", "firm").agg(F.count("*").alias("n"))
+    pairs = n.join(n.withColumnsRenamed({"firm": "other", "n": "m"}), ["alert_id", "tender"]).where("firm <> other")
+    shared = pairs.groupBy("alert_id", "firm", "other").agg(F.sum(F.col("n") * F.col("m")).alias("rows")).where(F.col("rows") >= tenders)
+    core = shared.select("alert_id", "firm").distinct()
+    enough = core.groupBy("alert_id").agg(F.count("*").alias("n_firms"), F.collect_list("firm").alias("core")).where(F.col("n_firms") >= firms)
+    spread = b.join(core, ["alert_id", "firm"], "left_semi").groupBy("alert_id", "tender").agg((F.stddev_samp("amount") / F.avg("amount")).alias("cv"))
+    close = spread.groupBy("alert_id").agg(F.max("cv").alias("max_cv"), F.collect_list("tender").alias("tenders")).where(F.col("max_cv") <= cv)
+    return enough.join(close, "alert_id").select("alert_id", "n_firms", "max_cv", F.array_sort(F.concat("core", "tenders")).alias("nodes"))
+
+
+def induced_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with both ends among an alert's members, for all alerts at once: alert_id and the columns of edges."""
+    m = members.select("alert_id", "node_id").distinct()
+    one = edges.join(m.toDF("alert_id", "src"), "src")
+    return one.join(m.toDF("alert_id", "dst"), ["alert_id", "dst"], "left_semi").select("alert_id", *edges.columns)
+
+
+def alert_fans(inner: DataFrame, least: int = 5) -> DataFrame:
+    """Fans of at least least partners among every alert's inner payments: (alert_id, motif_type, nodes)."""
+    pairs = inner.where("edge_type = 'pays'").select("alert_id", "src", "dst").distinct()
+    ins = pairs.groupBy("alert_id", F.col("dst").alias("hub")).agg(F.collect_list("src").alias("others")).select("alert_id", "hub", "others", F.lit("fan_in").alias("motif_type"))
+    outs = pairs.groupBy("alert_id", F.col("src").alias("hub")).agg(F.collect_list("dst").alias("others")).select("alert_id", "hub", "others", F.lit("fan_out").alias("motif_type"))
+    return ins.union(outs).where(F.size("others") >= least).select("alert_id", "motif_type", F.array_sort(F.array_union(F.array("hub"), "others")).alias("nodes"))
+
+
+def alert_motifs(inner: DataFrame, fan_least: int = 5, longest: int = 8) -> DataFrame:
+    """All motifs of payments of every alert's inner edges in one job: (alert_id, motif_type, nodes)."""
+    e = inner.where("edge_type = 'pays'")
+    named = lambda df, name: df.select("alert_id", F.lit(name).alias("motif_type"), F.array_sort(F.array_distinct("nodes")).alias("nodes"))
+    linked = maximal_cliques(inner.where("edge_type = 'linked_to'"))
+    return alert_fans(inner, fan_least).union(named(cycles(e, longest), "cycle")).union(named(pass_through_chains(e), "pass_through")).union(named(linked, "common_control"))
+
+
+#: The indicators that motifs point to, by framework.
+INDICATORS = [
+    ("FATF", "FATF-STRUCT-01", "fan_in"), ("FATF", "FATF-LAYER-01", "fan_out"), ("FATF", "FATF-LAYER-02", "pass_through"), ("FATF", "FATF-CIRC-01", "cycle"), ("FATF", "FATF-SHELL-01", "common_control"),
+    ("OECD", "OECD-ROT-01", "rotation"), ("OECD", "OECD-COVER-01", "cover_bid"), ("OECD", "OECD-ALLOC-01", "partition"), ("OECD", "OECD-CLUST-01", "clique"), ("OECD", "OECD-LINK-01", "common_control"),
+]
+
+
+def red_flags(motifs: DataFrame, framework: str) -> DataFrame:
+    """One citation per alert and indicator of the framework, with the first nodes that matched and the number of matches."""
+    table = motifs.sparkSession.createDataFrame([x for x in INDICATORS if x[0] == framework], "framework string, indicator_id string, motif_type string")
+    g = motifs.join(F.broadcast(table), "motif_type").groupBy("alert_id", "framework", "indicator_id")
+    return g.agg(F.count("*").alias("instances"), F.min("nodes").alias("first_nodes"))
+
+
+def evidence(members: DataFrame, inner: DataFrame, motifs: DataFrame) -> DataFrame:
+    """One record per alert: members, inner edges, time span, amounts where known, and the largest motif (ties by type and nodes)."""
+    n = members.groupBy("alert_id").agg(F.countDistinct("node_id").alias("n_members"))
+    e = inner.groupBy("alert_id").agg(F.count("*").alias("n_edges"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.sum("amount").alias("amount_total"), F.max("amount").alias("amount_max"))
+    top = motifs.groupBy("alert_id").agg(F.min(F.struct((-F.size("nodes")).alias("n"), "motif_type", "nodes")).alias("m"))
+    return n.join(e, "alert_id", "left").join(top, "alert_id", "left").select(
+        "alert_id", "n_members", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "first", "last", "amount_total", "amount_max", F.col("m.motif_type").alias("motif_type"), F.col("m.nodes").alias("motif_nodes")
     )

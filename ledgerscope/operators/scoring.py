@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.operators.order import running_sums
+
 
 def rule_scores(features: DataFrame, train: DataFrame, rules: dict[str, float]) -> DataFrame:
-    """Share of rules triggered: a column above the given percentile of it in train; null never triggers."""
+    """Share of rules triggered: a column above the given percentile of it in train; null never triggers, a column without any value is an error."""
     cuts = train.agg(*(F.percentile(c, F.lit(q)).alias(f"__{c}") for c, q in rules.items()))
-    hit = [F.coalesce((F.col(c) > F.col(f"__{c}")).cast("double"), F.lit(0.0)) for c in rules]
-    return features.join(F.broadcast(cuts)).select("node_id", (sum(hit[1:], hit[0]) / len(hit)).alias("score"))
+    known = cuts.first()
+    if empty := [c for c in rules if known[f"__{c}"] is None]:
+        raise ValueError(f"no value in train for {empty}")
+    hit = [F.coalesce((F.col(c) > F.lit(known[f"__{c}"])).cast("double"), F.lit(0.0)) for c in rules]
+    return features.select("node_id", (sum(hit[1:], hit[0]) / len(hit)).alias("score"))
 
 
 def mean_of_known(columns: list[str]):
@@ -23,19 +28,22 @@ def mean_of_known(columns: list[str]):
 def rank_percentiles(scores: DataFrame) -> DataFrame:
     """Average rank over n. Scores are counted by value first; ranks are running sums over the distinct values."""
     counts = scores.groupBy("score").agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn("below", F.coalesce(below, F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    ranks = running_sums(counts, ["score"], below="c")
+    ranks = ranks.join(F.broadcast(ranks.agg(F.sum("c").alias("n"))))
     pct = (F.col("below") + (F.col("c") + 1) / 2) / F.col("n")
     return scores.join(ranks.select("score", pct.alias("percentile")), "score").select("node_id", "percentile")
 
 
-def rank_fusion(members: dict[str, DataFrame]) -> DataFrame:
-    """Mean percentile over the members that score a node."""
+def rank_fusion(members: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
+    """Weighted mean percentile over the members that score a node; weights are 1 where not given."""
+    weights = weights or {}
+    if not members or set(weights) - set(members):
+        raise ValueError("rank fusion needs members, and weights only of these")
     every = None
-    for df in members.values():
-        one = rank_percentiles(df)
+    for name, df in members.items():
+        one = rank_percentiles(df).withColumn("w", F.lit(float(weights.get(name, 1.0))))
         every = one if every is None else every.unionByName(one)
-    return every.groupBy("node_id").agg(F.avg("percentile").alias("score"), F.count("*").alias("members"))
+    return every.groupBy("node_id").agg((F.sum(F.col("percentile") * F.col("w")) / F.sum("w")).alias("score"), F.count("*").alias("members"))
 
 
 def community_scores(members: DataFrame, scores: DataFrame, top_share: float = 0.2) -> DataFrame:
@@ -49,8 +57,7 @@ def community_scores(members: DataFrame, scores: DataFrame, top_share: float = 0
 def by_score(labelled: DataFrame) -> DataFrame:
     """Distinct scores from the best down with their counts and running counts (n, hits, n_above, hits_above)."""
     g = labelled.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return g.withColumns({"n_above": F.coalesce(F.sum("n").over(w), F.lit(0)), "hits_above": F.coalesce(F.sum("hits").over(w), F.lit(0))})
+    return running_sums(g, [F.desc("score")], n_above="n", hits_above="hits")
 
 
 def budget_metrics(labelled: DataFrame, budgets: list[int]) -> DataFrame:

@@ -56,3 +56,23 @@ def co_bidding(bids: DataFrame) -> DataFrame:
     pairs = bids.select("tender", "firm").where("firm IS NOT NULL").distinct()
     met = pairs.join(pairs.withColumnRenamed("firm", "other"), "tender").where("firm <> other").groupBy("firm", "other").agg(F.count("*").alias("n"))
     return met.groupBy("firm").agg(F.count("*").alias("co_bidders"), F.max("n").alias("max_repeat"))
+
+
+#: Screens that bids and awards may bear in their attributes.
+BID_KEYS = ["cv", "spd", "diffp", "rd", "kurt", "skew", "kstest", "number_bids"]
+AWARD_COLUMNS = ["pc_lot_bidscount_mean", "pc_lot_bidscount_min", "pc_relative_value_mean"]
+
+
+def precomputed_screens(edges: DataFrame, bid_keys: list[str] | None = None) -> DataFrame:
+    """Screens that a data set brings along, per firm and tender (node_id, AWARD_COLUMNS, pc_<key>); nodes without any value have no row."""
+    keys = BID_KEYS if bid_keys is None else bid_keys
+    value = lambda k: F.get_json_object("raw_attrs", f"$.{k}").try_cast("double")
+    e = edges.where("raw_attrs IS NOT NULL")
+    won = e.where("edge_type = 'awarded'").select("src", "dst", value("lot_bidscount").alias("n"), value("relative_value").alias("v"))
+    measures = [F.avg("n").alias("pc_lot_bidscount_mean"), F.min("n").alias("pc_lot_bidscount_min"), F.avg("v").alias("pc_relative_value_mean")]
+    firms = won.groupBy(F.col("dst").alias("node_id")).agg(*measures)
+    tenders = won.groupBy(F.col("src").alias("node_id")).agg(*measures)
+    bids = e.where("edge_type = 'bids_on'").groupBy(F.col("dst").alias("node_id")).agg(*(F.avg(value(k)).alias(f"pc_{k}") for k in keys))
+    every = firms.unionByName(tenders.join(bids, "node_id", "full"), allowMissingColumns=True)
+    columns = [*AWARD_COLUMNS, *(f"pc_{k}" for k in keys)]
+    return every.where(F.coalesce(*columns).isNotNull()).select("node_id", *columns)

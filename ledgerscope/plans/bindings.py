@@ -21,7 +21,7 @@ def key(kind: str, *parts: str):
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges src, dst, edge_type, timestamp (days since 1970), amount."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice")
     return orders.join(items, orders.o_orderkey == items.l_orderkey).select(
         key("acct", "o_custkey").alias("src"), key("acct", "l_partkey").alias("dst"), F.lit("pays").alias("edge_type"),
         F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long").alias("timestamp"), F.col("l_extendedprice").alias("amount"),
@@ -52,7 +52,7 @@ def account_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAYMENTS = """e AS (SELECT 'acct:' || o_custkey AS src, 'acct:' || l_partkey AS dst, 'pays' AS edge_type,
   date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS ts, l_extendedprice AS amount
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1)"""
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 NODES = "n AS (SELECT node_id, min(ts) AS t FROM (SELECT src AS node_id, ts FROM e UNION ALL SELECT dst, ts FROM e) GROUP BY 1)"
 BIDS = """b AS (SELECT 'tender:' || c_nationkey || ':' || o_orderkey AS tender, s_nationkey AS market, 'firm:' || s_nationkey || ':' || s_suppkey AS firm,
   'buyer:' || c_nationkey || ':' || c_custkey AS buyer, year(o_orderdate) AS year, l_extendedprice / l_quantity AS amount,

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.operators import alerts, graph, motifs, profiles, scoring, screens, temporal, text
+from ledgerscope.functions.staging import staged
 from ledgerscope.operators.components import connected_components
+from ledgerscope.operators.order import row_numbers
 from ledgerscope.plans.bindings import BIDS, LABELS, NODES, PAYMENTS, account_labels, bids, payments, table
 
-T0 = 9800
+#: A day by which about half of the accounts of the standard tables have been seen.
+T0 = 9160
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -36,17 +39,25 @@ def sized(spark, sf_dir):
     return temporal.nodes_of(e), e
 
 
-def queue(spark, sf_dir, most: int = 100):
+def queue(spark, sf_dir):
     """Alerts (rank) by sum of outflows over accounts that pay three or more others, and their members."""
     e = payments(spark, sf_dir)
-    out = e.groupBy("src").agg(F.sum("amount").alias("total"), F.countDistinct("dst").alias("n")).where(F.col("n").between(3, most - 1))
-    ranked = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "src")).cast("long"))
+    out = e.groupBy("src").agg(F.sum("amount").alias("total"), F.countDistinct("dst").alias("n")).where("n >= 3")
+    ranked = staged(row_numbers(out, [F.desc("total"), "src"]).select("rank", "src", "total"), "queue")
     members = ranked.select("rank", F.col("src").alias("node_id")).union(ranked.join(e.select("src", "dst"), "src").select("rank", "dst")).distinct()
-    return ranked.select("rank", "src", "total"), members
+    return ranked, members
 
 
-QUEUE = f"""{PAYMENTS}, q AS (SELECT src, sum(amount) AS total, row_number() OVER (ORDER BY sum(amount) DESC, src) AS rank FROM e GROUP BY src HAVING count(DISTINCT dst) BETWEEN 3 AND 99),
+QUEUE = f"""{PAYMENTS}, q AS (SELECT src, sum(amount) AS total, row_number() OVER (ORDER BY sum(amount) DESC, src) AS rank FROM e GROUP BY src HAVING count(DISTINCT dst) >= 3),
  m AS (SELECT rank, src AS node_id FROM q UNION SELECT rank, dst FROM q JOIN e USING (src))"""
+#: Pairs of alerts whose members overlap by more than 0.04.
+PAIRS = f"""{QUEUE}, mn AS (SELECT rank, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.rank AS better, b.rank AS worse, count(*) AS c FROM m a JOIN m b ON a.node_id = b.node_id AND a.rank < b.rank GROUP BY 1, 2),
+ pr AS (SELECT better, worse, c / (a.n + b.n - c) AS jaccard FROM x JOIN mn a ON better = a.rank JOIN mn b ON worse = b.rank WHERE c / (a.n + b.n - c) > 0.04)"""
+#: The walk in rank order, which appends to the list of accepted alerts.
+WALK = f"""RECURSIVE {PAIRS}, cf AS (SELECT worse, list(better) AS bs FROM pr GROUP BY 1),
+ k AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS acc UNION ALL SELECT r + 1, CASE WHEN list_has_any(acc, coalesce(bs, []::BIGINT[])) THEN acc ELSE list_append(acc, r + 1) END FROM k LEFT JOIN cf ON worse = r + 1 WHERE r < (SELECT count(*) FROM q)),
+ acc AS (SELECT unnest(acc) AS rank, generate_subscripts(acc, 1) - 1 AS g FROM (SELECT acc FROM k ORDER BY r DESC LIMIT 1)),
+ st AS (SELECT q.rank, acc.rank IS NOT NULL AS kept, coalesce(acc.g, (SELECT min(o.g) FROM pr JOIN acc o ON o.rank = pr.better WHERE pr.worse = q.rank))::BIGINT AS overlap_group FROM q LEFT JOIN acc ON q.rank = acc.rank)"""
 
 
 @query(f"""WITH {PAYMENTS}, {NODES}, f AS (SELECT * FROM e WHERE ts <= {T0})
@@ -57,10 +68,10 @@ def b4_as_of(spark, sf_dir):
     return kept.groupBy("src").agg(F.count("*").alias("n_edges"), F.round(F.sum("amount"), 2).alias("total"))
 
 
-@query(f"""WITH {PAYMENTS}, {NODES} SELECT CASE WHEN t IS NULL THEN 'unplaced' WHEN t <= {T0} THEN 'train' WHEN t >= {T0 + 300} THEN 'test' ELSE 'gap' END AS role, count(*) AS n FROM n GROUP BY 1""")
+@query(f"""WITH {PAYMENTS}, {NODES} SELECT CASE WHEN t IS NULL THEN 'unplaced' WHEN t <= {T0} THEN 'train' WHEN t >= {T0 + 40} THEN 'test' ELSE 'gap' END AS role, count(*) AS n FROM n GROUP BY 1""")
 def d1_strict_split(spark, sf_dir):
     n, e = sized(spark, sf_dir)
-    return temporal.strict_split(n, e, T0, T0 + 300).groupBy("role").agg(F.count("*").alias("n"))
+    return temporal.strict_split(n, e, T0, T0 + 40).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {BIDS}, g AS (SELECT split_part(firm, ':', 2) AS a, split_part(tender, ':', 2) AS c FROM b),
@@ -90,7 +101,9 @@ def j4_triangles(spark, sf_dir):
     return rounded(graph.triangles(payments(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAYMENTS}, p AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst UNION SELECT DISTINCT dst, src FROM e WHERE src <> dst),
+c AS (SELECT DISTINCT src AS node_id, src AS component, 0 AS i FROM p UNION ALL SELECT node_id, min(c), i FROM (SELECT c.node_id, c.component AS c, c.i + 1 AS i FROM c WHERE i < 16 UNION ALL SELECT p.dst, c.component, c.i + 1 FROM c JOIN p ON p.src = c.node_id WHERE i < 16) GROUP BY node_id, i)
+SELECT node_id, component FROM c WHERE i = 16""")
 def j7_components(spark, sf_dir):
     return connected_components(payments(spark, sf_dir), "src", "dst").withColumnsRenamed({"node": "node_id"})
 
@@ -101,8 +114,9 @@ def j9_burstiness(spark, sf_dir):
     return rounded(graph.burstiness(graph.incident_events(payments(spark, sf_dir))))
 
 
-@query(f"""WITH {PAYMENTS} SELECT dst AS node_id, count(*) AS in_count, round(sum(amount), 2) AS in_sum, round(avg(CASE WHEN amount % 10 = 0 THEN 1.0 ELSE 0.0 END), 6) AS in_round_share,
-min(ts) AS in_first, max(ts) AS in_last FROM e GROUP BY 1""")
+@query(f"""WITH {PAYMENTS}, g AS (SELECT dst AS node_id, ts - lag(ts) OVER (PARTITION BY dst ORDER BY ts) AS gap FROM e), s AS (SELECT node_id, stddev_samp(gap) AS sd, avg(gap) AS m FROM g GROUP BY 1),
+d AS (SELECT dst AS node_id, count(*) AS in_count, round(sum(amount), 2) AS in_sum, round(avg(CASE WHEN amount % 10 = 0 THEN 1.0 ELSE 0.0 END), 6) AS in_round_share, min(ts) AS in_first, max(ts) AS in_last FROM e GROUP BY 1)
+SELECT d.*, round(CASE WHEN sd + m > 0 THEN (sd - m) / (sd + m) END, 6) AS in_burstiness FROM d JOIN s USING (node_id)""")
 def j14_direction_stats(spark, sf_dir):
     df = graph.direction_stats(payments(spark, sf_dir), "dst", "in", base=10.0)
     return rounded(df.withColumn("in_sum", F.round("in_sum", 2)))
@@ -122,9 +136,9 @@ def j15_payment_features(spark, sf_dir):
     return rounded(graph.payment_features(*sized(spark, sf_dir)))
 
 
-@query(f"""WITH {PAYMENTS}, x AS (SELECT src, dst FROM e WHERE src <> dst), i AS (SELECT dst AS node_id, count(*) AS i FROM x GROUP BY 1), o AS (SELECT src AS node_id, count(*) AS o FROM x GROUP BY 1),
-b AS (SELECT coalesce(i.node_id, o.node_id) AS node_id, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM i FULL JOIN o ON i.node_id = o.node_id),
-u AS (SELECT dst AS node_id, avg(b.i) AS m, max(b.i) AS k FROM x JOIN b ON x.src = b.node_id GROUP BY 1), d AS (SELECT src AS node_id, avg(b.o) AS m, max(b.o) AS k FROM x JOIN b ON x.dst = b.node_id GROUP BY 1)
+@query(f"""WITH {PAYMENTS}, x AS MATERIALIZED (SELECT src, dst FROM e WHERE src <> dst), i AS MATERIALIZED (SELECT dst AS node_id, count(*) AS i FROM x GROUP BY 1), o AS MATERIALIZED (SELECT src AS node_id, count(*) AS o FROM x GROUP BY 1),
+b AS MATERIALIZED (SELECT coalesce(i.node_id, o.node_id) AS node_id, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM i FULL JOIN o ON i.node_id = o.node_id),
+u AS MATERIALIZED (SELECT dst AS node_id, avg(b.i) AS m, max(b.i) AS k FROM x JOIN b ON x.src = b.node_id GROUP BY 1), d AS MATERIALIZED (SELECT src AS node_id, avg(b.o) AS m, max(b.o) AS k FROM x JOIN b ON x.dst = b.node_id GROUP BY 1)
 SELECT b.node_id, i * o AS flow, round(ln(1 + i * o), 6) AS flow_log, round(i * o / (i + o), 6) AS pass_ratio, round(u.m, 6) AS up_mean, u.k AS up_max, round(d.m, 6) AS down_mean, d.k AS down_max
 FROM b LEFT JOIN u ON b.node_id = u.node_id LEFT JOIN d ON b.node_id = d.node_id""")
 def j17_line_graph_flow(spark, sf_dir):
@@ -167,8 +181,8 @@ SELECT s.tender, n AS n_bids, round(CASE WHEN n >= 2 THEN sd / nullif(mean, 0) E
 round(CASE WHEN n >= 2 THEN (second - lo) / nullif(lo, 0) END, 6) AS diffp, round(CASE WHEN n >= 3 THEN (second - lo) / nullif(rest, 0) END, 4) AS rd,
 round(CASE WHEN n >= 3 AND sd > 0 THEN m3 / pow(m2, 1.5) END, 4) AS skew, round(CASE WHEN n >= 4 AND sd > 0 THEN m4 / (m2 * m2) - 3 END, 4) AS kurtosis FROM s JOIN c ON s.tender = c.tender""")
 def k3_bid_screens(spark, sf_dir):
-    df = rounded(screens.bid_screens(bids(spark, sf_dir)))
-    return df.withColumns({c: F.round(c, 4) for c in ("rd", "skew", "kurtosis")})
+    df = screens.bid_screens(bids(spark, sf_dir))
+    return df.select("tender", "n_bids", *(F.round(c, 4 if c in ("rd", "skew", "kurtosis") else 6).alias(c) for c in df.columns[2:]))
 
 
 @query(f"""WITH {BIDS}, p AS (SELECT DISTINCT tender, firm FROM b), x AS (SELECT a.firm, z.firm AS other, count(*) AS n FROM p a JOIN p z ON a.tender = z.tender AND a.firm <> z.firm GROUP BY 1, 2)
@@ -186,13 +200,16 @@ def l1_rule_scores(spark, sf_dir):
 
 COMPOSITE = f"""{FEATURES}, s AS (SELECT avg(velocity) AS m, stddev_samp(velocity) AS d, avg(holding_time_median) AS m2, stddev_samp(holding_time_median) AS d2 FROM f),
 z AS (SELECT node_id, CASE WHEN velocity IS NOT NULL THEN (velocity - m) / d END AS a, CASE WHEN holding_time_median IS NOT NULL THEN -(holding_time_median - m2) / d2 END AS b FROM f, s),
-y AS (SELECT node_id, round((coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 6) AS score FROM z WHERE a IS NOT NULL OR b IS NOT NULL)"""
+y0 AS (SELECT node_id, (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) AS score FROM z WHERE a IS NOT NULL OR b IS NOT NULL),
+y AS (SELECT node_id, round(score, 6) AS score FROM y0)"""
 
 
-def composite(spark, sf_dir) -> DataFrame:
+def composite(spark, sf_dir, places: int | None = 6) -> DataFrame:
+    """Composite scores; rounded to places where ties and ranks are to agree with SQL."""
     z = graph.zscores(graph.payment_features(*sized(spark, sf_dir)), ["velocity", "holding_time_median"], fill_null=False)
     z = z.withColumn("holding_time_median", -F.col("holding_time_median"))
-    return z.select("node_id", F.round(scoring.mean_of_known(["velocity", "holding_time_median"]), 6).alias("score")).where("score IS NOT NULL")
+    score = scoring.mean_of_known(["velocity", "holding_time_median"])
+    return z.select("node_id", (score if places is None else F.round(score, places)).alias("score")).where("score IS NOT NULL")
 
 
 @query(f"WITH {COMPOSITE} SELECT * FROM y")
@@ -216,11 +233,11 @@ def l11_rank_fusion(spark, sf_dir):
 
 
 @query(f"""WITH {COMPOSITE}, {QUEUE.removeprefix(PAYMENTS + ", ")},
-k AS (SELECT m.rank AS community_id, y.score, row_number() OVER (PARTITION BY m.rank ORDER BY y.score DESC, m.node_id) AS k, count(*) OVER (PARTITION BY m.rank) AS n FROM m JOIN y USING (node_id))
-SELECT community_id, round((max(score) + avg(CASE WHEN k <= greatest(1, ceil(0.2 * n)) THEN score END)) / 2, 5) AS score, count(*) AS n_scored FROM k GROUP BY 1""")
+k AS (SELECT m.rank AS community_id, y0.score, row_number() OVER (PARTITION BY m.rank ORDER BY y0.score DESC, m.node_id) AS k, count(*) OVER (PARTITION BY m.rank) AS n FROM m JOIN y0 USING (node_id))
+SELECT community_id, round((max(score) + avg(CASE WHEN k <= greatest(1, ceil(0.2 * n)) THEN score END)) / 2, 6) AS score, count(*) AS n_scored FROM k GROUP BY 1""")
 def l12_community_scores(spark, sf_dir):
     _, members = queue(spark, sf_dir)
-    return rounded(scoring.community_scores(members.withColumnRenamed("rank", "community_id"), composite(spark, sf_dir)), 5)
+    return rounded(scoring.community_scores(members.withColumnRenamed("rank", "community_id"), composite(spark, sf_dir, None)))
 
 
 @query(f"WITH {QUEUE} SELECT q.rank, src, round(total, 2) AS total, (SELECT count(*) FROM m WHERE m.rank = q.rank) AS n_members, (SELECT min(ts) FROM e WHERE e.src = q.src) AS window_start, (SELECT max(ts) FROM e WHERE e.src = q.src) AS window_end FROM q")
@@ -230,16 +247,15 @@ def m1_alerts(spark, sf_dir):
     return ranked.join(members.groupBy("rank").agg(F.count("*").alias("n_members")), "rank").join(spans, "src").withColumn("total", F.round("total", 2))
 
 
-@query(f"""WITH {QUEUE}, n AS (SELECT rank, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.rank AS better, b.rank AS worse, count(*) AS c FROM m a JOIN m b ON a.node_id = b.node_id AND a.rank < b.rank GROUP BY 1, 2)
-SELECT better, worse FROM x JOIN n a ON better = a.rank JOIN n b ON worse = b.rank WHERE c / (a.n + b.n - c) > 0.1""")
+@query(f"WITH {PAIRS} SELECT better, worse, round(jaccard, 6) AS jaccard FROM pr")
 def m2_overlaps(spark, sf_dir):
-    return alerts.conflicts(queue(spark, sf_dir)[1], 0.1)
+    return rounded(alerts.overlaps(queue(spark, sf_dir)[1], 0.04))
 
 
-@query()
+@query(f"WITH {WALK} SELECT rank, kept, overlap_group FROM st JOIN mn USING (rank) WHERE n <= 1000000")
 def m3_greedy_dedup(spark, sf_dir):
     ranked, members = queue(spark, sf_dir)
-    return alerts.greedy_dedup(ranked.select("rank"), members, 0.1)
+    return alerts.greedy_dedup(ranked, members, 0.04, most=1_000_000).select("rank", "kept", "overlap_group")
 
 
 @query(f"""WITH {QUEUE}, {LABELS} SELECT rank, count(*) AS n_members, count(*) FILTER (label = 'illicit') AS n_illicit, count(*) FILTER (label IN ('illicit', 'licit')) AS n_confirmed,
@@ -293,12 +309,26 @@ def n2_fans(spark, sf_dir):
     return motifs.fans(payments(spark, sf_dir))
 
 
+#: Payments without parallels, the latest kept, and the pairs of which the second forwards 0.9 of the first within two days.
+HOPS = f"""{PAYMENTS}, c AS (SELECT src, dst, (max({{'ts': ts, 'amount': amount}})).ts AS ts, (max({{'ts': ts, 'amount': amount}})).amount AS amount FROM e GROUP BY 1, 2),
+ h AS (SELECT a.src AS a, a.dst AS b, z.dst AS c, a.ts AS t1, z.ts AS t2, a.amount AS x, z.amount AS y FROM c a JOIN c z ON a.dst = z.src AND z.ts BETWEEN a.ts AND a.ts + 2 AND a.amount <> 0 AND z.amount / a.amount >= 0.9)"""
+
+
 @query(f"""WITH {PAYMENTS} SELECT a.src AS "from", a.dst AS via, b.dst AS "to", a.ts AS t1, b.ts AS t2, round(a.amount, 2) AS amount_in, round(b.amount, 2) AS amount_out
-FROM e a JOIN e b ON a.dst = b.src AND b.ts BETWEEN a.ts AND a.ts + 2 AND b.amount >= 0.9 * a.amount AND b.amount <= a.amount""")
+FROM e a JOIN e b ON a.dst = b.src AND b.ts BETWEEN a.ts AND a.ts + 2 AND a.amount <> 0 AND b.amount / a.amount >= 0.9""")
 def n4_pass_through_hops(spark, sf_dir):
     return rounded(motifs.pass_through_hops(payments(spark, sf_dir)), 2)
 
 
+@query(f"""WITH RECURSIVE {HOPS}, f AS (SELECT a, b, (min({{'y': -y, 'c': c}})).c AS c FROM h GROUP BY 1, 2), s AS (SELECT f.a, f.b FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.b = f.a AND h.c = f.b)),
+w AS (SELECT a AS head_src, b AS head_dst, [a, b] AS nodes, a, b FROM s UNION ALL SELECT head_src, head_dst, list_append(nodes, f.c), f.b, f.c FROM w JOIN f ON w.a = f.a AND w.b = f.b
+ WHERE NOT list_contains(list_transform(range(1, len(nodes)), lambda i: nodes[i] || '>' || nodes[i + 1]), f.b || '>' || f.c)),
+g AS (SELECT *, row_number() OVER (PARTITION BY head_src, head_dst ORDER BY len(nodes) DESC) AS k FROM w)
+SELECT head_src, head_dst, (len(nodes) - 1)::BIGINT AS hops, array_to_string(nodes, ',') AS nodes FROM g WHERE k = 1 AND len(nodes) >= 4""")
+def n4_pass_through_chains(spark, sf_dir):
+    return rounded(motifs.pass_through_chains(payments(spark, sf_dir))).withColumn("nodes", F.array_join("nodes", ","))
+
+
 @query(f"""WITH {AWARDS}, n AS (SELECT market, firm, count(*) AS w FROM w GROUP BY 1, 2 HAVING count(*) >= 2) SELECT market::BIGINT AS market, count(*) AS firms, sum(w)::BIGINT AS wins FROM n GROUP BY 1 HAVING count(*) >= 3""")
 def n6_rotation(spark, sf_dir):
     return rounded(motifs.rotation(bids(spark, sf_dir).where("won")))
@@ -310,8 +340,8 @@ def n7_cover_bids(spark, sf_dir):
     return motifs.cover_bids(bids(spark, sf_dir), above=1.5)
 
 
-@query(r"""WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
-s AS (SELECT count(*) AS n, avg(len(w)) AS al FROM d), u AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d), p AS (SELECT term, doc_id, len, count(*) AS tf FROM u WHERE term IN (SELECT term FROM t) GROUP BY 1, 2, 3),
+@query(r"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS al FROM d), u AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d), p AS MATERIALIZED (SELECT term, doc_id, len, count(*) AS tf FROM u WHERE term IN (SELECT term FROM t) GROUP BY 1, 2, 3),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), x AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))), 9) AS score FROM p JOIN f USING (term) JOIN t USING (term), s GROUP BY 1, 2),
 y AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS place FROM x WHERE score > 0) SELECT item_id, doc_id, round(score, 4) AS score, place FROM y WHERE place <= 5""")
 def o1_bm25(spark, sf_dir):
@@ -339,7 +369,7 @@ def f16_time_histogram(spark, sf_dir):
     return e.join(F.broadcast(span)).groupBy(place.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PAYMENTS}, {NODES}, a AS (SELECT * FROM n WHERE t <= {T0 + 100}), z AS (SELECT * FROM n WHERE t >= {T0 + 50}), x AS (SELECT * FROM e WHERE ts <= {T0 + 150})
+@query(f"""WITH {PAYMENTS}, {NODES}, a AS (SELECT * FROM n WHERE t <= {T0 + 20}), z AS (SELECT * FROM n WHERE t >= {T0 + 10}), x AS (SELECT * FROM e WHERE ts <= {T0 + 30})
 SELECT 'late_nodes' AS "check", count(*) AS n FROM a WHERE t > {T0} UNION ALL SELECT 'late_edges', count(*) FROM x WHERE ts > {T0}
 UNION ALL SELECT 'ends_outside', count(*) FROM (SELECT src AS node_id FROM x UNION ALL SELECT dst FROM x) WHERE node_id NOT IN (SELECT node_id FROM a)
 UNION ALL SELECT 'shared_nodes', count(*) FROM a WHERE node_id IN (SELECT node_id FROM z)""")
@@ -347,7 +377,7 @@ def d4_leakage_counts(spark, sf_dir):
     """The checks on a split that is loose on purpose."""
     n, e = sized(spark, sf_dir)
     seen = F.col("time_first_seen")
-    return temporal.leakage_counts(n.where(seen <= T0 + 100), e.where(F.col("timestamp") <= T0 + 150), n.where(seen >= T0 + 50), T0)
+    return temporal.leakage_counts(n.where(seen <= T0 + 20), e.where(F.col("timestamp") <= T0 + 30), n.where(seen >= T0 + 10), T0)
 
 
 @query("""SELECT 'acct:' || o_custkey AS node_id, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'illicit' ELSE 'licit' END AS label FROM orders
@@ -371,7 +401,7 @@ def i4_time_encoding(spark, sf_dir):
 
 @query(f"WITH {PAYMENTS} SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e WHERE src <> dst")
 def j3_simple_projection(spark, sf_dir):
-    return graph.simple_projection(payments(spark, sf_dir))
+    return graph.simple_pairs(payments(spark, sf_dir))
 
 
 @query(f"""WITH {FEATURES}, s AS (SELECT avg(velocity) AS m, stddev_samp(velocity) AS d, avg(holding_time_median) AS m2, stddev_samp(holding_time_median) AS d2 FROM f JOIN n USING (node_id) WHERE t <= {T0})
