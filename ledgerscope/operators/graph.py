@@ -265,11 +265,11 @@ def communities(edges: DataFrame, resolution: float = 1.0, least: int = 2, round
             scored = may.join(own, "u").join(total, "c").select("u", "k", "now", "c", F.round(gain, 9).alias("gain"), (F.col("c") == F.col("now")).alias("stays"))
             best = scored.groupBy("u", "k", "now").agg(F.min_by("c", F.struct((-F.col("gain")).alias("g"), (~F.col("stays")).alias("s"), "c")).alias("best"))
             turns = F.pmod(F.xxhash64("u", F.lit(level * rounds + turn)), F.lit(2)) == 0
-            state = staged(best.select("u", "k", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("c"), (turns & (F.col("best") != F.col("now"))).alias("moves")), "state")
-            changed = state.where("moves").count()
+            state = staged(best.select("u", "k", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("c"), (turns & (F.col("best") != F.col("now"))).alias("moves"), (F.col("best") != F.col("now")).alias("wants")), "state")
+            wanted, changed = state.agg(F.count_if("wants"), F.count_if("moves")).first()
             moved += changed
-            state = state.drop("moves")
-            if turn and not changed:
+            state = state.select("u", "k", "c")
+            if not wanted:
                 break
         owner = staged(owner.join(state.select(F.col("u").alias("community_id"), "c"), "community_id").select("node_id", F.col("c").alias("community_id")), "owners")
         if not moved:

@@ -34,7 +34,7 @@ def o3_hybrid_fusion(spark, sf_dir):
     return rounded(text.hybrid_fusion(lists), 9)
 
 
-@query("SELECT doc_id, 1::BIGINT AS place, 1::BIGINT AS section_num, 'Full document' AS title, length(trim(coalesce(text, ''), ' ')) AS n FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?m)^[ \\t]*[0-9]{1,2}\\.[ \\t]+[A-Z][^\\n]*$')".replace("\\\\", "\\"))
+@query(r"SELECT doc_id, 1::BIGINT AS place, 1::BIGINT AS section_num, 'Full document' AS title, length(regexp_replace(coalesce(text, ''), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')) AS n FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '(?m)^[ \t]*[0-9]{1,2}\.[ \t]+[A-Z][^\n]*$')")
 def o4_sections(spark, sf_dir):
     """Sections of all documents; the given ones have no numbered headings, so each is whole."""
     return text.sections(table(spark, sf_dir, "documents")).select("doc_id", "place", "section_num", "title", F.length("body").cast("long").alias("n"))
