@@ -21,10 +21,11 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article, and words in class, id or role that say so.
 ASIDE = frozenset("aside button dialog footer form head header label menu nav option select title".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disqus|dialog|footer|footnav|form|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|promo|promoted|promotion|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|topbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+STRONG = "ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disqus|footer|footnav|masthead|menu|modal|nav|navbar|navigation|newsletter|pager|pagination|popup|promo|promoted|promotion|sidebar|signup|sponsor|sponsored|subscribe|toolbar|topbar"
+#: Words that say so only by themselves or before one of the words for a part of a page: related-posts, but not related-work.
+SOFT = "dialog|form|header|notice|notification|related|replies|reply|respond|search|share|sharing|skip|social|tags|widget"
+PARTS = "area|articles?|bar|block|box|buttons?|container|content|icons?|inner|items?|links?|list|media|nav|panel|posts?|section|stories|to|widget|wrap|wrapper"
+MARKED = re.compile(rf"(?:^|[\s_-])(?:(?:{STRONG})(?:$|[\s_-])|(?:{SOFT})(?:$|\s|[_-](?:{PARTS})(?:$|[\s_-])))", re.I)
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Words that tell what an element goes with, not what it is; and those of the marks that tell readers' comments.
 MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-][^\s]*", re.I)
@@ -132,7 +133,8 @@ def label_counts(page: str) -> dict[str, list[int]] | None:
 def fit_weights(pages: DataFrame, sample_rows: int = 2000, most: float = 4.0) -> dict[str, float]:
     """Weights from labelled pages: those that mark their content with article or main.
 
-    At most sample_rows labelled pages are read, a bound on a fit and not on results.
+    About sample_rows pages, drawn from all partitions, are read, a bound on a fit and not
+    on results.
     A feature's weight is its smoothed log odds; words weigh at least 0.2 and tags at
     most -0.02. What lies in excluded elements counts nothing. Without labelled pages
     the defaults of score_of() hold.
@@ -148,7 +150,9 @@ def fit_weights(pages: DataFrame, sample_rows: int = 2000, most: float = 4.0) ->
                     x[1] += b
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.int64())], names=["name", "outside", "inside"])
 
-    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html").limit(sample_rows)
+    n = pages.count()
+    drawn = pages.sample(min(1.0, sample_rows / max(n, 1)), seed=5) if n > sample_rows else pages
+    labelled = drawn.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html")
     counts = labelled.mapInArrow(run, "name string, outside bigint, inside bigint").groupBy("name").agg(F.sum("outside").alias("o"), F.sum("inside").alias("i"))
     found = counts.orderBy(F.desc(F.col("o") + F.col("i")), "name").limit(500).collect()
     out = {}

@@ -337,6 +337,14 @@ def test_html_marked_wrappers_and_comments(spark):
     assert {k: t.removeprefix("Home").strip() for k, t in got.items()} == {k: want for k in range(len(pages))}
 
 
+def test_html_soft_words(spark):
+    """related-work and social-science are topics, related-posts and social a part of the page."""
+    story = "<p>The story of the day is told here in quite some words.</p>"
+    page = f'<body><div>{story}<div class="related-work"><p>Others found the same thing in the year before.</p></div><section class="social-science"><p>It is a matter of the social sciences too.</p></section><div class="related-posts"><p>Read this one.</p></div><div class="social"><p>Follow us now.</p></div></div>'
+    got = html_text.extract_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), {}).first()
+    assert got.text == "The story of the day is told here in quite some words.\n\nOthers found the same thing in the year before.\n\nIt is a matter of the social sciences too."
+
+
 def test_html_without_labels(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "<p>", "x"), (4, "u", "plain <b>words", "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
