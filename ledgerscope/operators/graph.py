@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
 from ledgerscope.operators.components import connected_components
+from ledgerscope.operators.temporal import group_of
 
 
 def zero(column: str):
@@ -203,11 +204,6 @@ def structural_template(nodes: DataFrame, edges: DataFrame, communities: DataFra
     return df.withColumns(filled).select("node_id", *TEMPLATE)
 
 
-def group_of(column: str = "node_id"):
-    """The second part of a type:group:id identifier; null if there is none."""
-    return F.get(F.split(column, ":"), F.lit(1))
-
-
 def within_groups(edges: DataFrame) -> DataFrame:
     """Edges whose ends are in one group."""
     return edges.where(group_of("src") == group_of("dst"))
@@ -215,7 +211,7 @@ def within_groups(edges: DataFrame) -> DataFrame:
 
 def grouped_zscores(features: DataFrame, columns: list[str]) -> DataFrame:
     """Columns standardised inside each node's group; 0 for nulls and for no variance."""
-    df = features.withColumn("group", group_of())
+    df = features.withColumn("group", group_of("node_id"))
     stats = df.groupBy("group").agg(*(F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"__{c}") for c in columns))
     z = lambda c: F.when(F.col(f"__{c}.s") > 0, F.coalesce((F.col(c) - F.col(f"__{c}.m")) / F.col(f"__{c}.s"), F.lit(0.0))).otherwise(0.0)
     return df.join(stats, "group").select("node_id", "group", *(z(c).alias(c) for c in columns))
