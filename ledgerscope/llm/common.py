@@ -44,9 +44,11 @@ def own_rows(docs: DataFrame, *columns, key: str = "doc_id") -> DataFrame:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches of about limit bytes of text, each with its texts as bytes."""
+    """Slices of the batches of about limit bytes of text, each with its texts as bytes, null as empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        if column.null_count:
+            column = column.fill_null(b"")
         ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset + 1 : column.offset + len(column) + 1]
         at = 0
         while at < len(column):

@@ -503,3 +503,22 @@ def test_quality_stage_keeps_rows_and_columns(spark, odd, empty):
     assert sorted((r[0] is None, r[0] or 0) for r in rows) == [(False, 6), (False, 6), (True, 0)]
     assert all(r[1] == "x" and r[2] > 200_000 for r in rows)
     assert corpus_pipeline.quality(spark, empty, "").collect() == []
+
+
+def test_later_stages_keep_odd_rows(spark, sf, odd, empty):
+    """Null texts and ids, repeated rows and clashing columns, in every stage after the first; empty tables."""
+    import corpus_pipeline
+
+    F = corpus_pipeline.F
+    more = odd.union(odd.where("doc_id in (4, 7)")).union(odd.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    count = lambda df: collections.Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    for stage in (corpus_pipeline.decontaminated, corpus_pipeline.secrets):
+        got = stage(spark, more, sf)
+        assert got.columns == odd.columns and count(got) == count(more)
+        assert stage(spark, empty, sf).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, more, sf)
+    assert kept.columns == odd.columns and collections.Counter(r.text for r in kept.collect()) == collections.Counter(dict.fromkeys([r.text for r in odd.where("doc_id <> 5").collect()], 1))
+    assert corpus_pipeline.near_duplicates(spark, empty, sf).count() == 0
+    packed = corpus_pipeline.packing(spark, more, sf).where("piece = 0")
+    assert collections.Counter(r.doc_id for r in packed.collect()) == collections.Counter(r.doc_id for r in more.collect())
+    assert corpus_pipeline.packing(spark, empty, sf).count() == 0
