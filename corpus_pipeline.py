@@ -17,7 +17,7 @@ from ledgerscope.llm.secrets import redacted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects.
+    """Documents that no rule rejects; a null text has no words and goes, repeated rows are judged alike, an empty table gives no rows.
 
     The verdicts are written first: a filter on them would be pushed below the rules'
     expressions and repeat these many times over.
@@ -27,26 +27,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates one row, the first with the least doc_id; null and repeated doc_ids are compared by text."""
+    """Of each class of near-duplicates one row, the first with the least doc_id; null and repeated doc_ids are compared by text. Other columns pass through; an empty table gives no rows."""
     own = own_rows(docs, F.struct(*docs.columns).alias("doc"))
     kept = near_duplicate_rows(own.select("row", "doc.doc_id", "doc.text")).where("row = first_row").select("row")
     return own.join(kept, "row", "left_semi").select("doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item leaks."""
+    """Rows in which no benchmark item leaks; told by row, so null and repeated doc_ids and null texts stay as they are, and an empty table or benchmark takes nothing."""
     own = own_rows(docs, F.struct(*docs.columns).alias("doc"))
     leaks = benchmark_leaks(own.select(F.col("row").alias("doc_id"), "doc.text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
     return own.join(staged(leaks, "leaks"), "row", "left_anti").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark."""
+    """All documents, with secrets in their texts replaced by a mark; a null text stays null, repeated rows and other columns stay."""
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and offsets."""
+    """Token pieces with their sequences and offsets; every row has one at least, a null text that of its end, also under null or repeated doc_ids."""
     return pack(token_pieces(docs))
 
 
