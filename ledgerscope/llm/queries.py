@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from ledgerscope.llm.alignment import op12_token_alignment
 from ledgerscope.llm.decontam import op4_benchmark_leaks
 from ledgerscope.llm.html_text import op5_html_extraction
+from ledgerscope.llm.lexical import op11_ranked_search
+from ledgerscope.llm.licenses import op13_license_scan
 from ledgerscope.llm.lm_score import op7_lm_scores
 from ledgerscope.llm.near_dup import op2_near_duplicates
 from ledgerscope.llm.packing import op6_best_fit_packing
@@ -17,12 +20,26 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_near_duplicates, op3_suffix_array_dedup, op4_benchmark_leaks, op5_html_extraction,
-        op6_best_fit_packing, op7_lm_scores, op8_token_counts, op9_quality_rules, op10_warc,
+        op6_best_fit_packing, op7_lm_scores, op8_token_counts, op9_quality_rules, op10_warc, op11_ranked_search,
+        op12_token_alignment, op13_license_scan,
     )
 }
 
 #: Rule of op9 in SQL; the repeated-window count has the form of the contract.
 SQL: dict[str, str] = {
+    "op11_ranked_search": r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM cut) GROUP BY 1, 2),
+s AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM cut),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY 1),
+m AS (SELECT doc_id, 25 + (75 * len(w)::BIGINT * nn) // ll AS m FROM cut, s),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+x AS (SELECT item_id, tf.doc_id, sum(floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tf ON q.term = tf.term JOIN df ON df.term = q.term JOIN m ON m.doc_id = tf.doc_id, s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""",
     "op9_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
