@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.staging import staged
+from ledgerscope.functions.staging import shared_folder, staged
+from ledgerscope.operators.components import connected_components
 from ledgerscope.operators.order import row_numbers
 
 #: Fixed value: what every alert says.
@@ -17,21 +19,34 @@ CAVEAT = "screening signal only — no determination of guilt"
 def overlaps(members: DataFrame, least: float) -> DataFrame:
     """Pairs better, worse (ranks) of alerts whose member sets have a Jaccard similarity (jaccard) above least; members has rank, node_id.
 
-    Of sets so alike the rarest members, all but a share least of a set, have one in
-    common. Pairs are looked for by those alone, so a node in many alerts joins few; the
-    sets of the pairs found are then compared whole.
+    Sets of n and m members are so alike only if they share more than
+    least / (1 + least) * (n + m). Members are ordered from the rarest; all but the last
+    least * n of a set, its prefix, hold one that is shared. Prefixes are joined by
+    member. A met pair is dropped where the members before and after its places can't
+    be enough, then counted; after its last places p and q it shares at most
+    min(n - p, m - q) more, so that what can't reach the need is dropped unseen. Counts
+    are exact where nothing is left after a prefix; the other pairs are counted over
+    whole sets.
     """
-    m = members.select("rank", "node_id").distinct()
+    m = staged(members.select("rank", "node_id").distinct(), "members")
     size = m.groupBy("rank").agg(F.count("*").alias("n"))
     known = m.join(m.groupBy("node_id").agg(F.count("*").alias("met")), "node_id").join(size, "rank")
     place = F.row_number().over(Window.partitionBy("rank").orderBy("met", "node_id"))
-    rare = known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("rank", "node_id", "n")
-    b = rare.select(F.col("rank").alias("worse"), "node_id", F.col("n").alias("n2"))
-    alike = F.least("n", "n2") > least * F.greatest("n", "n2")
-    pairs = rare.join(b, "node_id").where((F.col("rank") < F.col("worse")) & alike).select(F.col("rank").alias("better"), "worse", "n", "n2").distinct()
-    both = pairs.join(m.withColumnRenamed("rank", "better"), "better").join(m.withColumnRenamed("rank", "worse"), ["worse", "node_id"])
-    both = both.groupBy("better", "worse", "n", "n2").agg(F.count("*").alias("both"))
-    return both.select("better", "worse", (F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") > least)
+    prefix = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
+    rare = known.withColumn("p", place).where((F.col("met") > 1) & (F.col("p") <= prefix)).select("rank", "node_id", "n", "p")
+    rare = staged(rare, "prefixes")
+    b = rare.select(F.col("rank").alias("worse"), "node_id", F.col("n").alias("m"), F.col("p").alias("q"))
+    need = F.floor(least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9) + 1
+    after = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    met = rare.join(b, "node_id").where((F.col("rank") < F.col("worse")) & (F.least("n", "m") > least * F.greatest("n", "m")) & (F.least("p", "q") + after >= need))
+    met = met.groupBy(F.col("rank").alias("better"), "worse", "n", "m").agg(F.count("*").alias("both"), F.max("p").alias("p"), F.max("q").alias("q"))
+    beyond = lambda size: size - F.least(size - F.ceil(least * size - 1e-9) + 1, size)
+    open_ends = beyond(F.col("n")) + beyond(F.col("m"))
+    met = staged(met.where(F.col("both") + F.least(after, open_ends) >= need).withColumn("exact", open_ends == 0), "met")
+    rest = met.where("NOT exact").select("better", "worse", "n", "m")
+    counted = rest.join(m.withColumnRenamed("rank", "better"), "better").join(m.withColumnRenamed("rank", "worse"), ["worse", "node_id"]).groupBy("better", "worse", "n", "m").agg(F.count("*").alias("both"))
+    both = met.where("exact").select("better", "worse", "n", "m", "both").unionByName(counted)
+    return both.select("better", "worse", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") > least)
 
 
 def conflicts(members: DataFrame, threshold: float) -> DataFrame:
@@ -39,31 +54,78 @@ def conflicts(members: DataFrame, threshold: float) -> DataFrame:
     return overlaps(members, threshold).select("better", "worse")
 
 
-def settled(alerts: DataFrame, pairs: DataFrame, keys: list[str], max_rounds: int = 1000) -> DataFrame:
+def _walked(pairs: pd.DataFrame) -> pd.Series:
+    """The better and worse ranks of some pairs, walked in rank order: rank and whether it is kept."""
+    held: dict[int, list[int]] = {}
+    for better, worse in zip(pairs["better"].tolist(), pairs["worse"].tolist(), strict=True):
+        held.setdefault(worse, []).append(better)
+    kept: dict[int, bool] = {}
+    for rank in sorted(set(pairs["better"].tolist()) | held.keys()):
+        kept[rank] = not any(kept[b] for b in held.get(rank, ()))
+    return pd.Series(kept, dtype=bool)
+
+
+def settled(alerts: DataFrame, pairs: DataFrame, keys: list[str], one_task: int = 500_000) -> DataFrame:
     """keys, rank and kept of alerts under pairs (keys, better, worse), as if walked in rank order for each value of keys.
 
-    In each round alerts without an undecided or accepted better conflict are accepted
-    and their conflicts suppressed. Only undecided alerts and their pairs go on to the
-    next round, so the rounds shrink; a chain of overlaps takes one for every two alerts.
+    Alerts without a pair are kept. The others are walked, each connected part of the
+    pairs in one task if it has at most one_task pairs; if all pairs of a value of keys
+    are as few, they are one part. In larger parts, alerts without a better conflict are
+    accepted and their conflicts suppressed, until what is left falls into parts that fit.
     """
+    spark = alerts.sparkSession
     pairs = staged(pairs.select(*keys, "better", "worse"), "conflicts")
-    undecided, done = staged(alerts.select(*keys, "rank"), "undecided"), []
-    for _ in range(max_rounds):
-        held = pairs.select(*keys, F.col("worse").alias("rank")).distinct()
-        accepted = staged(undecided.join(held, [*keys, "rank"], "left_anti"), "accepted")
-        out = staged(pairs.join(accepted.withColumnRenamed("rank", "better"), [*keys, "better"], "left_semi").select(*keys, F.col("worse").alias("rank")).distinct(), "suppressed")
-        done += [accepted.withColumn("kept", F.lit(True)), out.withColumn("kept", F.lit(False))]
-        both = accepted.union(out)
-        undecided = staged(undecided.join(both, [*keys, "rank"], "left_anti"), "undecided")
-        if undecided.isEmpty():
-            break
-        pairs = staged(pairs.join(out.withColumnRenamed("rank", "worse"), [*keys, "worse"], "left_anti").join(both.withColumnRenamed("rank", "better"), [*keys, "better"], "left_anti"), "conflicts")
-    else:
-        raise RuntimeError(f"alerts did not settle in {max_rounds} rounds")
-    return reduce(DataFrame.union, done)
-
-
-def greedy_dedup(alerts: DataFrame, members: DataFrame, threshold: float = 0.5, most: int = 100, max_rounds: int = 1000) -> DataFrame:
+    kind = dict(alerts.dtypes)["rank"]
+    names = [*keys, "part"]
+    schema = ", ".join([*(f"`{k}` {dict(alerts.dtypes)[k]}" for k in keys), f"rank {kind}, kept boolean"])
+
+    def walk(df: pd.DataFrame) -> pd.DataFrame:
+        kept = _walked(df)
+        return pd.DataFrame({**{k: df[k].iloc[0] for k in keys}, "rank": kept.index.to_numpy(), "kept": kept.to_numpy()})[[*keys, "rank", "kept"]]
+
+    ends = pairs.select(*keys, F.explode(F.array("better", "worse")).alias("rank")).distinct()
+    path, number = f"{shared_folder(spark)}/walk-{uuid.uuid4().hex}", 0
+
+    def add(df: DataFrame) -> None:
+        """Write to the next part of the result; parts are read as one table."""
+        nonlocal number
+        df.select(*keys, "rank", "kept").write.parquet(f"{path}/part={number}")
+        number += 1
+
+    add(alerts.join(ends, [*keys, "rank"], "left_anti").withColumn("kept", F.lit(True)))
+    left, whole = pairs, True
+    while not left.isEmpty():
+        if whole:
+            parts = left.withColumn("part", F.lit(0))
+        else:
+            a, b = (F.struct(*keys, F.col(c).alias("rank")) for c in ("better", "worse"))
+            part = connected_components(left.select(a.alias("a"), b.alias("b"))).select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.rank").alias("better"), F.col("component.rank").alias("part"))
+            parts = staged(left.join(part, [*keys, "better"]).select(*keys, "better", "worse", "part"), "parts")
+        size = parts.groupBy(*names).agg(F.count("*").alias("n"))
+        small = parts.join(size.where(F.col("n") <= one_task).select(*names), names, "left_semi")
+        add(small.groupBy(*names).applyInPandas(walk, schema))
+        left = staged(parts.join(size.where(F.col("n") > one_task).select(*names), names, "left_semi").select(*keys, "better", "worse"), "conflicts")
+        if whole:
+            whole = False
+            continue
+        for _ in range(8):
+            held = left.select(*keys, F.col("worse").alias("rank")).distinct()
+            accepted = staged(left.select(*keys, F.col("better").alias("rank")).distinct().join(held, [*keys, "rank"], "left_anti"), "accepted")
+            out = staged(left.join(accepted.withColumnRenamed("rank", "better"), [*keys, "better"], "left_semi").select(*keys, F.col("worse").alias("rank")).distinct(), "suppressed")
+            add(accepted.withColumn("kept", F.lit(True)).union(out.withColumn("kept", F.lit(False))))
+            both = accepted.union(out)
+            rest = left.join(out.withColumnRenamed("rank", "worse"), [*keys, "worse"], "left_anti").join(both.withColumnRenamed("rank", "better"), [*keys, "better"], "left_anti")
+            rest = staged(rest.select(*keys, "better", "worse"), "conflicts")
+            # What no pair holds any more is neither suppressed nor to be suppressed.
+            free = left.select(*keys, F.explode(F.array("better", "worse")).alias("rank")).distinct().join(both, [*keys, "rank"], "left_anti")
+            add(free.join(rest.select(*keys, F.explode(F.array("better", "worse")).alias("rank")).distinct(), [*keys, "rank"], "left_anti").withColumn("kept", F.lit(True)))
+            left = rest
+            if left.isEmpty():
+                break
+    return spark.read.schema(schema).parquet(path).select(*keys, "rank", "kept")
+
+
+def greedy_dedup(alerts: DataFrame, members: DataFrame, threshold: float = 0.5, most: int = 100, one_task: int = 500_000) -> DataFrame:
     """alerts (rank, ...) of at most most members with kept and overlap_group, as if walked in rank order.
 
     An alert is suppressed if its overlap with an accepted better one is above
@@ -74,7 +136,7 @@ def greedy_dedup(alerts: DataFrame, members: DataFrame, threshold: float = 0.5,
     few = size.where(F.col("n") <= most).select("rank")
     alerts, members = alerts.join(few, "rank", "left_semi"), members.join(few, "rank", "left_semi")
     pairs = staged(conflicts(members, threshold), "overlaps")
-    state = settled(alerts, pairs, [], max_rounds)
+    state = settled(alerts, pairs, [], one_task)
     accepted = row_numbers(state.where("kept").select("rank"), ["rank"], "g").withColumn("g", F.col("g") - 1)
     owner = pairs.join(accepted.withColumnsRenamed({"rank": "better", "g": "owner"}), "better").groupBy(F.col("worse").alias("rank")).agg(F.min("owner").alias("owner"))
     out = alerts.join(state, "rank").join(accepted, "rank", "left").join(owner, "rank", "left")

@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
 from ledgerscope.operators import alerts as queue
 from ledgerscope.operators import scoring
-from ledgerscope.operators.order import row_numbers
+from ledgerscope.operators.order import row_numbers, running_sums
 from ledgerscope.operators.temporal import confirmed, in_hash_order
 
 
 def average_precision_by(labelled: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Average precision, prevalence and counts of (keys, score, y) for each value of keys; auc_pr is null without both classes.
 
-    Rows are counted by score first, so what a key's window sorts is its distinct scores.
+    Rows are counted by score first; the distinct scores of a key are summed up in ranges, so that no task holds a key.
     """
     w = F.col(weight) if weight else F.lit(1)
     g = labelled.groupBy(*keys, "score").agg(F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("hits"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    g = g.withColumns({"n_upto": F.sum("n").over(down), "hits_upto": F.sum("hits").over(down)})
-    p = F.when(F.col("n_upto") > 0, F.col("hits_upto") / F.col("n_upto"))
+    g = running_sums(g, [F.desc("score")], keys, n_above="n", hits_above="hits")
+    p = F.try_divide(F.col("hits_above") + F.col("hits"), F.col("n_above") + F.col("n"))
     out = g.groupBy(*keys).agg(F.sum(F.col("hits") * p).alias("ap"), F.sum("hits").alias("n_illicit"), F.sum("n").alias("n_confirmed"))
     both = (F.col("n_illicit") > 0) & (F.col("n_illicit") < F.col("n_confirmed"))
     return out.select(*keys, "n_confirmed", "n_illicit", F.when(both, F.col("ap") / F.col("n_illicit")).alias("auc_pr"), (F.col("n_illicit") / F.col("n_confirmed")).alias("prevalence"))
@@ -66,41 +67,104 @@ def evaluation_report(alerts: DataFrame, members: DataFrame, labels: DataFrame,
     ])
 
 
-def resampled(labelled: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """For each replicate the rows drawn of labelled (node_id, y, ...) with the number of draws; each class is drawn as often as it has rows.
+def draws_of_range(totals: np.ndarray, at: int, n_boot: int, seed: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of totals[k] rows of class y in each range, drawn as often as there are rows, for every replicate the draws that fall on range at, and on those before it.
 
-    A draw is a row number inside its class, from a hash; rows are numbered without a
-    task that holds them all, and rows of a class are drawn apart from the other's.
+    Draws go down a tree of ranges: at each node a binomial, whose generator is seeded by
+    the node, splits them between its halves. Every task walks the path to its own range.
     """
-    out = None
-    for y in (0, 1):
-        own = row_numbers(labelled.where(F.col("y") == y), in_hash_order(seed), "place")
-        n = own.count()
-        if not n:
-            continue
-        draws = own.select(F.col("place").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-        place = (F.pmod(F.xxhash64(F.lit(seed), F.lit(y), "replicate", "turn"), F.lit(n)) + 1).alias("place")
-        times = draws.select("replicate", place).groupBy("replicate", "place").agg(F.count("*").alias("times"))
-        part = times.join(own, "place").drop("place")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    low, high = 0, len(totals)
+    draws, before = np.full(n_boot, totals.sum()), np.zeros(n_boot, np.int64)
+    while high - low > 1:
+        mid, both = (low + high) // 2, totals[low:high].sum()
+        left = np.random.default_rng([seed, y, low, high]).binomial(draws, totals[low:mid].sum() / both if both else 0.0)
+        if at < mid:
+            draws, high = left, mid
+        else:
+            before, draws, low = before + left, draws - left, mid
+    return draws, before
+
+
+def drawn(counts: np.ndarray, draws: np.ndarray, seed: int, y: int, at: int) -> np.ndarray:
+    """For every replicate the draws of each row of range at (counts of equal rows), of draws in all."""
+    if not counts.sum():
+        return np.zeros((len(draws), len(counts)), np.int64)
+    return np.random.default_rng([seed, 2 + y, at]).multinomial(draws, counts / counts.sum())
+
+
+def _ranged(counts: DataFrame, order: list[Column], per_range: int) -> tuple[DataFrame, np.ndarray]:
+    """counts (..., n0, n1) in ranges (at) of order, written, and the ranges' totals of both classes, which are as few as the ranges."""
+    counts = staged(counts, "counts")
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // per_range))
+    dealt = staged(counts.repartitionByRange(parts, *order).withColumn("at", F.spark_partition_id()), "ranges")
+    totals = np.zeros((2, parts), np.int64)
+    for r in dealt.groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
+        totals[:, r["at"]] = r.n0, r.n1
+    if not totals.sum():
         raise ValueError("no labelled rows to draw")
-    return out
+    return dealt, totals
+
+
+def replicate_precision(labelled: DataFrame, n_boot: int, seed: int = 0, per_range: int = 20_000) -> DataFrame:
+    """Rows (replicate, auc_pr) of labelled (score, y) under a bootstrap in which each class is drawn as often as it has rows; null without both classes.
+
+    Rows are counted by score. A task takes a range of scores and draws how often each
+    is met in every replicate (draws_of_range, drawn), with what was drawn above it, so
+    that only one sum for each range and replicate is shuffled.
+    """
+    counts = labelled.groupBy("score").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    dealt, totals = _ranged(counts, [F.desc("score")], per_range)
+    both = bool(totals.sum(1).all())
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df, at = df.sort_values("score", ascending=False), int(df["at"].iloc[0])
+        (m0, above0), (m1, above1) = (draws_of_range(totals[y], at, n_boot, seed, y) for y in (0, 1))
+        sums = np.zeros(n_boot)
+        none, hit = (drawn(df[f"n{y}"].to_numpy(), m, seed, y, at) for y, m in ((0, m0), (1, m1)))
+        hits = above1[:, None] + np.cumsum(hit, 1)
+        met = above0[:, None] + np.cumsum(none, 1) + hits
+        np.sum(hit * np.divide(hits, met, out=np.zeros(hits.shape), where=met > 0), 1, out=sums)
+        return pd.DataFrame({"replicate": np.arange(n_boot), "ap": sums})
+
+    sums = dealt.groupBy("at").applyInPandas(run, "replicate long, ap double").groupBy("replicate").agg(F.sum("ap").alias("ap"))
+    return sums.select("replicate", (F.col("ap") / int(totals[1].sum()) if both else F.lit(None).cast("double")).alias("auc_pr"))
 
 
 def bootstrap_interval(labelled: DataFrame, n_boot: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """One row: auc_pr and prevalence of labelled (node_id, score, y) and the stratified percentile interval of auc_pr."""
-    runs = average_precision_by(resampled(labelled.select("node_id", "score", "y"), n_boot, seed), ["replicate"], "times")
+    runs = replicate_precision(labelled, n_boot, seed)
     ends = runs.agg(F.percentile("auc_pr", F.lit(alpha / 2)).alias("ci_low"), F.percentile("auc_pr", F.lit(1 - alpha / 2)).alias("ci_high"), F.count("*").alias("n_boot"))
     return scoring.average_precision(labelled).join(F.broadcast(ends))
 
 
-def paired_bootstrap(labelled: DataFrame, n_boot: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """One row: auc_pr of score_a and score_b over the same nodes, their difference, its interval, and a two-sided p-value with one added to each count."""
-    drawn = staged(resampled(labelled.select("node_id", "score_a", "score_b", "y"), n_boot, seed), "draws")
-    both = drawn.select("replicate", "y", "times", F.explode(F.array(F.struct(F.lit("a").alias("who"), F.col("score_a").alias("score")), F.struct(F.lit("b").alias("who"), F.col("score_b").alias("score")))).alias("s"))
-    runs = average_precision_by(both.select("replicate", "y", "times", "s.who", "s.score"), ["replicate", "who"], "times")
-    delta = runs.groupBy("replicate").agg(F.sum(F.when(F.col("who") == "a", F.col("auc_pr")).otherwise(-F.col("auc_pr"))).alias("d"))
+def paired_bootstrap(labelled: DataFrame, n_boot: int = 200, alpha: float = 0.05, seed: int = 0, per_range: int = 5_000) -> DataFrame:
+    """One row: auc_pr of score_a and score_b over the same nodes, their difference, its interval, and a two-sided p-value with one added to each count.
+
+    Rows are counted by pairs of scores, which are drawn in ranges as in
+    replicate_precision(). Both sides see the same draws, summed by score inside the
+    range before they are shuffled: at most distinct pairs times replicates.
+    """
+    counts = labelled.groupBy("score_a", "score_b").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    dealt, totals = _ranged(counts, [F.desc("score_a"), F.desc("score_b")], per_range)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df, at = df.sort_values(["score_a", "score_b"], ascending=False), int(df["at"].iloc[0])
+        none, hit = (drawn(df[f"n{y}"].to_numpy(), draws_of_range(totals[y], at, n_boot, seed, y)[0], seed, y, at) for y in (0, 1))
+        out = []
+        for who in "ab":
+            names, place = np.unique(df[f"score_{who}"].to_numpy(), return_inverse=True)
+            n, hits = np.zeros((len(names), n_boot), np.int64), np.zeros((len(names), n_boot), np.int64)
+            np.add.at(n, place, (none + hit).T)
+            np.add.at(hits, place, hit.T)
+            some = n > 0
+            score, replicate = np.nonzero(some)
+            out.append(pd.DataFrame({"replicate": replicate, "who": who, "score": names[score], "n": n[some], "hits": hits[some]}))
+        return pd.concat(out)
+
+    met = dealt.groupBy("at").applyInPandas(run, "replicate long, who string, score double, n long, hits long")
+    g = running_sums(met.groupBy("replicate", "who", "score").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")), [F.desc("score")], ["replicate", "who"], n_above="n", hits_above="hits")
+    ap = F.sum(F.col("hits") * (F.col("hits_above") + F.col("hits")) / (F.col("n_above") + F.col("n"))) / F.sum("hits")
+    delta = g.groupBy("replicate", "who").agg(ap.alias("auc_pr")).groupBy("replicate").agg(F.sum(F.when(F.col("who") == "a", F.col("auc_pr")).otherwise(-F.col("auc_pr"))).alias("d"))
     one = lambda who: scoring.average_precision(labelled.select("node_id", F.col(f"score_{who}").alias("score"), "y")).select(F.col("auc_pr").alias(f"auc_pr_{who}"))
     side = lambda c: (1 + F.count_if(c)) / (F.count("*") + 1)
     p = F.least(F.lit(1.0), 2 * F.least(side(F.col("d") <= 0), side(F.col("d") >= 0)))

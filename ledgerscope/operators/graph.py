@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
 from ledgerscope.operators.components import connected_components
+from ledgerscope.operators.cores import k_core, numbered_pairs, simple_pairs
+from ledgerscope.operators.order import running_last
 from ledgerscope.operators.temporal import group_of
 
 
@@ -29,37 +31,41 @@ def mutual_degree(edges: DataFrame) -> DataFrame:
     return pairs.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("mutual_degree"))
 
 
-def simple_pairs(edges: DataFrame) -> DataFrame:
-    """Undirected pairs u < v without loops and parallels."""
-    return edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-
-
 def triangles(edges: DataFrame) -> DataFrame:
     """Triangles, simple degree and clustering (0 below degree 2) per node of a simple projection.
 
-    Pairs point from the smaller to the larger (degree, id), so a hub starts few wedges.
+    Pairs are written once with long ids. They point from the smaller to the larger
+    (degree, id), so a hub starts few wedges.
     """
-    pairs = simple_pairs(edges)
-    ends = pairs.select(F.col("u").alias("node_id")).union(pairs.select("v"))
-    size = ends.groupBy("node_id").agg(F.count("*").alias("simple_degree"))
-    ranked = pairs.join(size.withColumnsRenamed({"node_id": "u", "simple_degree": "du"}), "u").join(size.withColumnsRenamed({"node_id": "v", "simple_degree": "dv"}), "v")
+    pairs, names = numbered_pairs(edges)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    size = staged(ends.groupBy("id").agg(F.count("*").alias("simple_degree")), "sizes")
+    ranked = pairs.join(size.withColumnsRenamed({"id": "u", "simple_degree": "du"}), "u").join(size.withColumnsRenamed({"id": "v", "simple_degree": "dv"}), "v")
     low, high = F.struct(F.col("du"), F.col("u")), F.struct(F.col("dv"), F.col("v"))
-    arcs = ranked.select(F.when(low < high, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low < high, F.col("v")).otherwise(F.col("u")).alias("y"))
+    arcs = staged(ranked.select(F.when(low < high, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low < high, F.col("v")).otherwise(F.col("u")).alias("y")), "arcs")
     wedges = arcs.join(arcs.select("x", F.col("y").alias("z")), "x").where("y < z")
     found = wedges.join(pairs, (wedges.y == pairs.u) & (wedges.z == pairs.v), "left_semi")
-    corners = found.select(F.explode(F.array("x", "y", "z")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("triangles"))
+    corners = found.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
     d = F.col("simple_degree")
-    return size.join(corners, "node_id", "left").select("node_id", "simple_degree", zero("triangles")).withColumn(
+    return size.join(corners, "id", "left").join(names, "id").select("node_id", "simple_degree", zero("triangles")).withColumn(
         "clustering", F.when(d < 2, 0.0).otherwise(F.try_divide(2.0 * F.col("triangles"), d * (d - 1)))
     )
 
 
 def burstiness(events: DataFrame, node: str = "node_id", time: str = "timestamp") -> DataFrame:
-    """(sd - mean) / (sd + mean) of the gaps between a node's dated events; null below two gaps or if both are 0."""
-    gap = F.col(time) - F.lag(time).over(Window.partitionBy(node).orderBy(time))
-    stats = events.where(F.col(time).isNotNull()).withColumn("gap", gap).groupBy(node).agg(F.stddev_samp("gap").alias("sd"), F.avg("gap").alias("mean"))
-    total = F.col("sd") + F.col("mean")
-    return stats.select(node, F.when(total > 0, (F.col("sd") - F.col("mean")) / total).alias("burstiness"))
+    """(sd - mean) / (sd + mean) of the gaps between a node's dated events; null below two gaps or if both are 0.
+
+    Events are counted by node and time first; what is left of a hub is cut into ranges
+    of time, over whose edges its last time is carried. Events at one time are 0 apart.
+    """
+    times = events.where(F.col(time).isNotNull() & F.col(node).isNotNull()).groupBy(node, time).agg(F.count("*").alias("n"))
+    gap = F.col(time) - F.col("__last")
+    own = running_last(times, [time], [node], time, "__last").groupBy(node).agg(
+        (F.sum("n") - 1).alias("k"), F.sum(gap).cast("double").alias("s"), F.sum(gap.cast("double") * gap).alias("q")
+    )
+    mean = F.col("s") / F.col("k")
+    sd = F.when(F.col("k") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("k") * mean * mean) / (F.col("k") - 1))))
+    return own.select(node, F.when(F.col("k") > 1, F.when(sd + mean > 0, (sd - mean) / (sd + mean))).alias("burstiness"))
 
 
 def incident_events(edges: DataFrame) -> DataFrame:
@@ -77,12 +83,16 @@ def direction_stats(edges: DataFrame, end: str, prefix: str, base: float = 100.0
 
 
 def holding_time(edges: DataFrame) -> DataFrame:
-    """Median over a node's dated outflows of the time since its latest inflow at or before it, ties included."""
+    """Median over a node's dated outflows of the time since its latest inflow at or before it, ties included.
+
+    Flows are counted by node and time first; a hub's times are cut into ranges, over
+    whose edges its last inflow is carried.
+    """
     flows = edges.where("timestamp IS NOT NULL")
-    both = flows.select(F.col("dst").alias("node_id"), "timestamp", F.col("timestamp").alias("t_in")).union(flows.select("src", "timestamp", F.lit(None).cast("long")))
-    latest = Window.partitionBy("node_id").orderBy("timestamp").rangeBetween(Window.unboundedPreceding, 0)
-    held = both.withColumn("latest", F.last("t_in", ignorenulls=True).over(latest)).where("t_in IS NULL AND latest IS NOT NULL")
-    return held.groupBy("node_id").agg(F.median(F.col("timestamp") - F.col("latest")).alias("holding_time_median"))
+    both = flows.select(F.col("dst").alias("node_id"), "timestamp", F.lit(0).alias("n")).union(flows.select("src", "timestamp", F.lit(1))).where("node_id IS NOT NULL")
+    times = both.groupBy("node_id", "timestamp").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") == 0, F.col("timestamp"))).alias("t_in"))
+    held = running_last(times, ["timestamp"], ["node_id"], "t_in", "before").withColumn("latest", F.coalesce("t_in", "before")).where("n > 0 AND latest IS NOT NULL")
+    return held.groupBy("node_id").agg(F.percentile(F.col("timestamp") - F.col("latest"), F.lit(0.5), F.col("n")).alias("holding_time_median"))
 
 
 def payment_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -152,29 +162,6 @@ def frozen_zscores(fit: DataFrame, df: DataFrame, columns: list[str]) -> DataFra
     return df.join(F.broadcast(stats)).withColumns(z).select(*df.columns)
 
 
-def k_core(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Core index (node_id, core) of every node of the simple projection.
-
-    Each round a node's value becomes the largest h such that h neighbours have a value
-    of at least h; from the degrees these values fall to the core indices. Neighbours
-    are counted by value first, none above the node's own, so a hub's rows are few.
-    """
-    pairs = simple_pairs(edges)
-    both = staged(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "pairs")
-    value = staged(both.groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("core")), "cores")
-    before = None
-    for _ in range(max_rounds):
-        met = both.join(value.select(F.col("node_id").alias("v"), F.col("core").alias("other")), "v").join(value.select(F.col("node_id").alias("u"), "core"), "u")
-        counts = met.groupBy(F.col("u").alias("node_id"), F.least("core", "other").alias("value")).agg(F.count("*").alias("n"))
-        above = F.sum("n").over(Window.partitionBy("node_id").orderBy(F.desc("value")))
-        value = staged(counts.withColumn("above", above).groupBy("node_id").agg(F.max(F.least("value", "above")).alias("core")), "cores")
-        total = value.agg(F.sum("core")).first()[0]
-        if total == before:
-            return value
-        before = total
-    raise RuntimeError(f"core indices did not settle in {max_rounds} rounds")
-
-
 def community_stats(degrees: DataFrame, communities: DataFrame) -> DataFrame:
     """Size of each node's community and its degree over the community's mean, 1 where that is 0.
 

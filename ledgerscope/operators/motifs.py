@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.staging import staged
+from ledgerscope.operators.components import connected_components
 
 
 def fans(edges: DataFrame, least: int = 5) -> DataFrame:
@@ -50,37 +51,73 @@ def pass_through_hops(edges: DataFrame, share: float = 0.9, ticks: int = 2) -> D
     )
 
 
-def pass_through_chains(edges: DataFrame, least: int = 3, share: float = 0.9, ticks: int = 2, max_rounds: int = 1000) -> DataFrame:
+def ranked_lists(follow: DataFrame, heads: DataFrame) -> DataFrame:
+    """Lists (head, place, item) that begin at heads (item) and go on by follow (item, next) of one next item at most, to the end or to the first item met again.
+
+    Steps are doubled: after k rounds an item knows what lies 2**k steps on, and each list
+    its first 2**k items, so rounds go by the logarithm of the longest list. Items that
+    still lead on after as many steps as there are items lead into a ring; the place
+    where they end is on it. Lists are cut there, and the ring from its entry is added.
+    """
+    follow = staged(follow.select("item", "next"), "follow")
+    total = follow.count()
+
+    def doubled(steps: DataFrame, lists: DataFrame | None, most: int) -> tuple[DataFrame | None, DataFrame]:
+        """lists with all that follows, and the steps that are left after at most most items."""
+        reach = 1
+        while reach <= most and not steps.isEmpty():
+            if lists is not None:
+                on = lists.join(steps, "item").select("head", (F.col("place") + reach).alias("place"), F.col("next").alias("item"))
+                lists = staged(lists.union(on), "lists")
+            steps = staged(steps.join(steps.toDF("next", "far"), "next").select("item", F.col("far").alias("next")), "steps")
+            reach *= 2
+        return lists, steps
+
+    far = doubled(follow, None, total)[1]
+    begun = heads.select(F.col("item").alias("head"), F.lit(0).alias("place"), "item")
+    if far.isEmpty():
+        return doubled(follow, begun, total)[0]
+    ring = staged(far.select(F.col("next").alias("item")).distinct(), "rings")
+    inside = staged(follow.join(ring, "item", "left_semi"), "ring-steps")
+    parts = staged(connected_components(inside, "item", "next").select(F.col("node").alias("item"), F.col("component").alias("first")), "ring-parts")
+    alone = inside.where("item = next").select("item", F.col("item").alias("first"))
+    parts = parts.union(alone)
+    opened = inside.join(parts.select("first").distinct(), F.col("next") == F.col("first"), "left_anti")
+    placed = staged(doubled(opened, parts.select(F.col("first").alias("head"), F.lit(0).alias("place"), F.col("first").alias("item")).distinct(), total)[0], "ring-places")
+    size = placed.groupBy("head").agg(F.count("*").alias("size"))
+    tails = doubled(follow.join(ring, "item", "left_anti").join(ring.withColumnRenamed("item", "next"), "next", "left_anti").select("item", "next"), begun.join(ring, "item", "left_anti").select("head", "place", "item"), total)[0]
+    tails = staged(tails, "tails")
+    entry = tails.join(follow, "item").join(ring.withColumnRenamed("item", "next"), "next", "left_semi").select("head", (F.col("place") + 1).alias("begin"), F.col("next").alias("item"))
+    entry = entry.union(begun.join(ring, "item", "left_semi").select("head", F.lit(0), "item"))
+    entry = entry.join(placed.select(F.col("head").alias("first"), F.col("place").alias("at"), "item"), "item").select("head", "begin", "first", "at")
+    around = entry.join(placed.select(F.col("head").alias("first"), "place", "item"), "first").join(size.withColumnRenamed("head", "first"), "first")
+    return tails.union(around.select("head", (F.col("begin") + F.pmod(F.col("place") - F.col("at"), F.col("size"))).alias("place"), "item"))
+
+
+def pass_through_chains(edges: DataFrame, least: int = 3, share: float = 0.9, ticks: int = 2) -> DataFrame:
     """Maximal chains of at least least payments, each hop as in pass_through_hops(): (head_src, head_dst, hops, nodes).
 
     Parallel payments are collapsed first. A chain begins at a payment that no other
     forwards to; at a fork the largest amount goes on, the least target of equals. Where
-    amounts and times allow a loop, the chain ends at the first payment met again.
+    amounts and times allow a loop, the chain ends before the first payment met again.
     edges may bear alert_id; then each alert's chains are found by themselves.
     """
     own = [c for c in ("alert_id",) if c in edges.columns]
     last = F.max_by(F.struct("timestamp", "amount"), F.struct("timestamp", "amount"))
     e = edges.groupBy(*own, "src", "dst").agg(last.alias("x")).select(*own, "src", "dst", "x.timestamp", "x.amount")
     hops = staged(pass_through_hops(e, share, ticks), "hops")
-    first = ["from", "via"]
     to = F.min_by("to", F.struct((-F.col("amount_out")).alias("less"), "to"))
-    follow = staged(hops.groupBy(*own, *first).agg(to.alias("to")), "follow")
+    chosen = hops.groupBy(*own, "from", "via").agg(to.alias("to"))
+    ends = chosen.select(*own, "from", "via").union(chosen.select(*own, F.col("via").alias("from"), F.col("to").alias("via"))).distinct()
+    items = staged(ends.withColumn("item", F.monotonically_increasing_id()), "payments")
+    follow = chosen.join(items, [*own, "from", "via"]).join(items.select(*own, F.col("from").alias("via"), F.col("via").alias("to"), F.col("item").alias("next")), [*own, "via", "to"]).select("item", "next")
     fed = hops.select(*own, F.col("via").alias("from"), F.col("to").alias("via")).distinct()
-    heads = follow.select(*own, *first).join(fed, [*own, *first], "left_anti")
-    chains = staged(heads.select(*own, F.col("from").alias("head_src"), F.col("via").alias("head_dst"), F.array("from", "via").alias("nodes"), *first), "chains")
-    done = []
-    for _ in range(max_rounds):
-        on = chains.join(follow, [*own, *first])
-        edge = F.exists(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: (F.element_at("nodes", i) == F.col("via")) & (F.element_at("nodes", i + 1) == F.col("to")))
-        on = staged(on.where(~edge).select(*own, "head_src", "head_dst", F.concat("nodes", F.array("to")).alias("nodes"), F.col("via").alias("from"), F.col("to").alias("via")), "chains")
-        done.append(chains.join(on.select(*own, "head_src", "head_dst"), [*own, "head_src", "head_dst"], "left_anti"))
-        if on.isEmpty():
-            break
-        chains = on
-    else:
-        raise RuntimeError(f"chains did not end in {max_rounds} rounds")
-    every = reduce(DataFrame.union, done).select(*own, "head_src", "head_dst", (F.size("nodes") - 1).alias("hops"), "nodes")
-    return every.where(F.col("hops") >= least)
+    heads = chosen.select(*own, "from", "via").join(fed, [*own, "from", "via"], "left_anti").join(items, [*own, "from", "via"]).select("item")
+    lists = ranked_lists(follow, heads)
+    at = F.struct("place", "via")
+    every = lists.join(items, "item").groupBy("head").agg(F.array_sort(F.collect_list(at)).alias("l"))
+    out = every.join(items.withColumnRenamed("item", "head"), "head").select(*own, F.col("from").alias("head_src"), F.col("via").alias("head_dst"), F.size("l").alias("hops"), F.concat(F.array("from"), F.transform("l", lambda x: x["via"])).alias("nodes"))
+    return out.where(F.col("hops") >= least)
 
 
 def cycles(edges: DataFrame, longest: int = 8, shortest: int = 3, most: int | None = 100) -> DataFrame:

@@ -53,11 +53,19 @@ QUEUE = f"""{PAYMENTS}, q AS (SELECT src, sum(amount) AS total, row_number() OVE
 #: Pairs of alerts whose members overlap by more than 0.04.
 PAIRS = f"""{QUEUE}, mn AS (SELECT rank, count(*) AS n FROM m GROUP BY 1), x AS (SELECT a.rank AS better, b.rank AS worse, count(*) AS c FROM m a JOIN m b ON a.node_id = b.node_id AND a.rank < b.rank GROUP BY 1, 2),
  pr AS (SELECT better, worse, c / (a.n + b.n - c) AS jaccard FROM x JOIN mn a ON better = a.rank JOIN mn b ON worse = b.rank WHERE c / (a.n + b.n - c) > 0.04)"""
-#: The walk in rank order, which appends to the list of accepted alerts.
-WALK = f"""RECURSIVE {PAIRS}, cf AS (SELECT worse, list(better) AS bs FROM pr GROUP BY 1),
- k AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS acc UNION ALL SELECT r + 1, CASE WHEN list_has_any(acc, coalesce(bs, []::BIGINT[])) THEN acc ELSE list_append(acc, r + 1) END FROM k LEFT JOIN cf ON worse = r + 1 WHERE r < (SELECT count(*) FROM q)),
- acc AS (SELECT unnest(acc) AS rank, generate_subscripts(acc, 1) - 1 AS g FROM (SELECT acc FROM k ORDER BY r DESC LIMIT 1)),
- st AS (SELECT q.rank, acc.rank IS NOT NULL AS kept, coalesce(acc.g, (SELECT min(o.g) FROM pr JOIN acc o ON o.rank = pr.better WHERE pr.worse = q.rank))::BIGINT AS overlap_group FROM q LEFT JOIN acc ON q.rank = acc.rank)"""
+#: Members of the largest alert that a queue keeps here, which some alerts of the standard tables exceed.
+MOST = 50
+
+
+def walks(*thresholds: float) -> str:
+    """The walks in rank order over alerts of at most MOST members, each of which appends to a list of accepted alerts: tables st0, st1, ... of rank, kept and overlap_group."""
+    sql = f"""RECURSIVE {PAIRS}, qs AS (SELECT rank, row_number() OVER (ORDER BY rank) AS i FROM mn WHERE n <= {MOST}), ps AS (SELECT * FROM pr WHERE better IN (SELECT rank FROM qs) AND worse IN (SELECT rank FROM qs))"""
+    for k, t in enumerate(thresholds):
+        sql += f""", p{k} AS (SELECT better, worse FROM ps WHERE jaccard > {t}), cf{k} AS (SELECT worse, list(better) AS bs FROM p{k} GROUP BY 1),
+ k{k} AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc UNION ALL SELECT qs.i, CASE WHEN list_has_any(acc, coalesce(bs, []::BIGINT[])) THEN acc ELSE list_append(acc, qs.rank) END FROM k{k} JOIN qs ON qs.i = k{k}.i + 1 LEFT JOIN cf{k} ON worse = qs.rank),
+ acc{k} AS (SELECT unnest(acc) AS rank, generate_subscripts(acc, 1) - 1 AS g FROM (SELECT acc FROM k{k} ORDER BY i DESC LIMIT 1)),
+ st{k} AS (SELECT qs.rank, a.rank IS NOT NULL AS kept, coalesce(a.g, (SELECT min(o.g) FROM p{k} JOIN acc{k} o ON o.rank = p{k}.better WHERE p{k}.worse = qs.rank))::BIGINT AS overlap_group FROM qs LEFT JOIN acc{k} a ON qs.rank = a.rank)"""
+    return sql
 
 
 @query(f"""WITH {PAYMENTS}, {NODES}, f AS (SELECT * FROM e WHERE ts <= {T0})
@@ -252,10 +260,17 @@ def m2_overlaps(spark, sf_dir):
     return rounded(alerts.overlaps(queue(spark, sf_dir)[1], 0.04))
 
 
-@query(f"WITH {WALK} SELECT rank, kept, overlap_group FROM st JOIN mn USING (rank) WHERE n <= 1000000")
+@query(f"WITH {walks(0.04)} SELECT * FROM st0")
 def m3_greedy_dedup(spark, sf_dir):
+    """Alerts of more than MOST members leave first; m3_dedup_report counts them."""
     ranked, members = queue(spark, sf_dir)
-    return alerts.greedy_dedup(ranked, members, 0.04, most=1_000_000).select("rank", "kept", "overlap_group")
+    return alerts.greedy_dedup(ranked, members, 0.04, most=MOST).select("rank", "kept", "overlap_group")
+
+
+@query(f"WITH {walks(0.04)} SELECT (SELECT count(*) FROM q) AS n_input, (SELECT count(*) FROM mn WHERE n > {MOST}) AS n_oversized, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_suppressed FROM st0")
+def m3_dedup_report(spark, sf_dir):
+    ranked, members = queue(spark, sf_dir)
+    return alerts.dedup_report(ranked, alerts.greedy_dedup(ranked, members, 0.04, most=MOST))
 
 
 @query(f"""WITH {QUEUE}, {LABELS} SELECT rank, count(*) AS n_members, count(*) FILTER (label = 'illicit') AS n_illicit, count(*) FILTER (label IN ('illicit', 'licit')) AS n_confirmed,
@@ -433,8 +448,12 @@ def o10_content_ids(spark, sf_dir):
     return profiles.content_ids(table(spark, sf_dir, "documents")).select("doc_id", "content_id")
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[0-9]{2,}') AS n FROM conversations)
-SELECT a.conv_id, a.turn, array_to_string(list_sort(list_distinct(list_filter(a.n, lambda v: NOT list_contains(b.n, v)))), ',') AS unsupported FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
+#: Runs of letters, digits, lines and points stand between two marks, so that a number is a chain of whole runs.
+NUMBERS = r"""list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '([\p{L}\p{N}_.]+)', chr(1) || '\1' || chr(2), 'g'), '\x01\p{Nd}{2,}(?:\x02,\x01\p{Nd}{3})*(?:\.\p{Nd}+)?\x02'), lambda v: translate(v, chr(1) || chr(2), ''))"""
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, {NUMBERS} AS n FROM conversations), y AS (SELECT *, list_concat(n, list_transform(n, lambda v: replace(v, ',', ''))) AS seen FROM x)
+SELECT a.conv_id, a.turn, array_to_string(list_sort(list_distinct(list_filter(a.n, lambda v: NOT list_contains(b.seen, v) AND NOT list_contains(b.seen, replace(v, ',', ''))))), ',') AS unsupported FROM y a JOIN y b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
 def o11_unsupported_numbers(spark, sf_dir):
     """Each turn against the turn before it."""
     c = table(spark, sf_dir, "conversations")

@@ -9,7 +9,7 @@ from ledgerscope.functions.staging import staged
 from ledgerscope.operators import alerts, evaluation, graph, learning, queues, scoring, temporal
 from ledgerscope.plans.bindings import LABELS, NODES, PAYMENTS, account_labels, key, payments, table
 from ledgerscope.plans.graph_queries import buyer_labels, planted
-from ledgerscope.plans.queries import COMPOSITE, QUEUE, T0, WALK, composite, query, queue, rounded, sized
+from ledgerscope.plans.queries import COMPOSITE, MOST, QUEUE, T0, composite, query, queue, rounded, sized, walks
 
 HITS = f"hr AS (SELECT m.rank, count(*) FILTER (label = 'illicit') AS bad, count(*) FILTER (label IN ('illicit', 'licit')) AS known FROM m LEFT JOIN l USING (node_id) GROUP BY 1)"
 LABELLED = "la AS (SELECT node_id, score, (label = 'illicit')::INT AS y FROM y JOIN l USING (node_id) WHERE label <> 'unknown')"
@@ -72,17 +72,23 @@ def m13_evaluation_report(spark, sf_dir):
     return rounded(evaluation.evaluation_report(ranked, members, account_labels(spark, sf_dir), composite(spark, sf_dir), [10, 100]))
 
 
-@query(f"""WITH {WALK}, {LABELS}, {HITS} SELECT 0.04::DOUBLE AS threshold, share, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_suppressed, count(*) FILTER (kept AND bad >= 1 AND bad >= coalesce(share, -1) * known) AS n_hits
-FROM st JOIN hr USING (rank), (SELECT unnest([NULL, 0.1]) AS share) GROUP BY 2""")
+def grid_sql(*thresholds: float) -> str:
+    """A sensitivity grid (table gr) over thresholds and shares null and 0.1."""
+    each = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, * FROM st{k}" for k, t in enumerate(thresholds))
+    return f"""{walks(*thresholds)}, {LABELS}, {HITS}, sa AS ({each}), gr AS (SELECT threshold, share, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_suppressed,
+ count(*) FILTER (kept AND bad >= 1 AND bad >= coalesce(share, -1) * known) AS n_hits FROM sa JOIN hr USING (rank), (SELECT unnest([NULL, 0.1]) AS share) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {grid_sql(0.04, 0.5)} SELECT * FROM gr")
 def m14_sensitivity(spark, sf_dir):
     ranked, members = queue(spark, sf_dir)
-    return alerts.sensitivity(ranked, members, account_labels(spark, sf_dir), [0.04, 0.5], [None, 0.1], most=1_000_000).where("threshold < 0.1")
+    return alerts.sensitivity(ranked, members, account_labels(spark, sf_dir), [0.04, 0.5], [None, 0.1], most=MOST)
 
 
-@query()
+@query(f"WITH {grid_sql(0.04, 0.06, 0.5)} SELECT count(*) AS cells, array_to_string(list_sort(list_distinct(list(n_kept))), ',') AS kept_values, min(n_hits) AS min_hits, max(n_hits) AS max_hits FROM gr")
 def f17_sensitivity_summary(spark, sf_dir):
     ranked, members = queue(spark, sf_dir)
-    grid = alerts.sensitivity(ranked, members, account_labels(spark, sf_dir), [0.04, 0.06, 0.5], [None, 0.1], most=1_000_000)
+    grid = alerts.sensitivity(ranked, members, account_labels(spark, sf_dir), [0.04, 0.06, 0.5], [None, 0.1], most=MOST)
     return queues.sensitivity_summary(grid).withColumn("kept_values", F.concat_ws(",", F.transform("kept_values", lambda x: x.cast("string"))))
 
 

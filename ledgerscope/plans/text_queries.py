@@ -90,7 +90,7 @@ def o12_degenerate(spark, sf_dir):
 SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?i)\b(the)\b') THEN '0' ELSE '' END || CASE WHEN regexp_matches(u, '(?i)\bproves? (that )?\b') THEN '1' ELSE '' END AS rules, md5(rtrim(v, ' ') || chr(10) || chr(10) || '---' || chr(10) || '*CAVEAT*') AS said FROM c""".replace("CAVEAT", CAVEAT))
 def o13_guarded(spark, sf_dir):
     rules = [(r"\b(the)\b", "that"), (r"\bproves? (that )?\b", "is consistent with ")]
-    df = text.guarded(table(spark, sf_dir, "conversations"), rewrites=rules)
+    df = text.guarded(table(spark, sf_dir, "conversations"), rules)
     return df.select("conv_id", "turn", F.array_join(F.transform("rules", lambda x: x.cast("string")), "").alias("rules"), F.md5("text").alias("said"))
 
 

@@ -5,7 +5,9 @@ import gzip
 import itertools
 import json
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,14 +241,69 @@ def test_average_precision_and_bootstraps(spark):
     assert abs(evaluation.average_precision_by(one.withColumn("k", F.lit(1)), ["k"]).first().auc_pr - want / 20) < 1e-12
     b = evaluation.bootstrap_interval(one, 60).first()
     assert b.ci_low <= b.auc_pr <= b.ci_high and b.n_boot == 60
-    draws = evaluation.resampled(df, 5, 1).groupBy("replicate", "y").agg(F.sum("times").alias("n")).collect()
-    assert {(r.y, r.n) for r in draws} == {(0, 60), (1, 20)}
     p = evaluation.paired_bootstrap(df, 60).first()
     assert p.delta > 0 and p.delta_ci_low <= p.delta <= p.delta_ci_high and 0 < p.p_value < 0.2
     same = evaluation.paired_bootstrap(df.withColumn("score_b", F.col("score_a")), 20).first()
     assert same.delta == 0 and same.p_value == 1
 
 
+def test_draws_of_ranges_are_the_same_for_every_task():
+    rng = np.random.default_rng(1)
+    totals = rng.integers(0, 50, 13)
+    each = [evaluation.draws_of_range(totals, k, 40, 7, 1) for k in range(13)]
+    assert np.array_equal(np.sum([d for d, _ in each], 0), np.full(40, totals.sum()))
+    assert all(np.array_equal(before, np.sum([d for d, _ in each[:k]], 0) if k else np.zeros(40)) for k, (_, before) in enumerate(each))
+    assert all((d <= 0).all() for (d, _), n in zip(each, totals, strict=True) if n == 0)
+    inside = evaluation.drawn(np.array([3, 0, 7]), each[0][0], 7, 1, 0)
+    assert np.array_equal(inside.sum(1), each[0][0]) and not inside[:, 1].any()
+
+
+@pytest.mark.parametrize("per_range", [20_000, 7])
+def test_replicates_are_those_of_their_draws(spark, per_range):
+    """Precision of every replicate from the draws that the tree gives, ranges laid out as Spark cut them; their spread is that of a plain bootstrap."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(300) < 0.3).astype(int)
+    score = np.round(rng.normal(y, 1.0), 1)
+    df = spark.createDataFrame([(float(s), int(v)) for s, v in zip(score, y, strict=True)], "score double, y int")
+
+    def precision(s, v, w):
+        order = np.argsort(-s, kind="stable")
+        s, v, w = s[order], v[order], w[order]
+        last = np.append(s[1:] != s[:-1], True)
+        n, h = np.cumsum(w)[last], np.cumsum(w * v)[last]
+        return float(np.sum(np.diff(h, prepend=0) * np.divide(h, n, out=np.zeros(len(n)), where=n > 0)) / h[-1])
+
+    got = {r.replicate: r.auc_pr for r in evaluation.replicate_precision(df, 200, 5, per_range).collect()}
+    counts = df.groupBy("score").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    dealt, totals = evaluation._ranged(counts, [F.desc("score")], per_range)
+    own = dealt.toPandas().sort_values("score", ascending=False)
+    draws = {}
+    for v in (0, 1):
+        draws[v] = np.concatenate([evaluation.drawn(part[f"n{v}"].to_numpy(), evaluation.draws_of_range(totals[v], int(at), 200, 5, v)[0], 5, v, int(at)) for at, part in own.groupby("at", sort=True)], 1)
+    want = {r: precision(np.tile(own["score"].to_numpy(), 2), np.repeat([0, 1], len(own)), np.concatenate([draws[0][r], draws[1][r]])) for r in range(200)}
+    assert got == pytest.approx(want)
+    plain = [precision(score[i], y[i], np.ones(len(i))) for i in (np.concatenate([rng.choice(np.flatnonzero(y == v), (y == v).sum()) for v in (0, 1)]) for _ in range(400))]
+    assert abs(np.mean(list(got.values())) - np.mean(plain)) < 0.01 and abs(np.std(list(got.values())) / np.std(plain) - 1) < 0.25
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "16"])
+def test_sums_and_last_values_inside_a_large_key(spark, parts):
+    """A key that holds most rows is split into ranges; the rows are the same for any number of them."""
+    rng = random.Random(2)
+    rows = [("hub" if rng.random() < 0.7 else f"k{rng.randrange(9)}", i, rng.choice([None, i])) for i in range(400)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "k string, t long, v long")
+        sums = {(r.k, r.t): r.s for r in order.running_sums(df, [F.desc("t")], ["k"], s="t").collect()}
+        last = {(r.k, r.t): r.l for r in order.running_last(df, ["t"], ["k"], "v", "l").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sums == {(k, t): sum(u for q, u, _ in rows if q == k and u > t) for k, t, _ in rows}
+    assert last == {(k, t): max((v for q, u, v in rows if q == k and u < t and v is not None), default=None) for k, t, _ in rows}
+
+
 def test_calibration_and_fusion(spark):
     rows = [(f"n{i}", i / 40, int(i > 20)) for i in range(40)]
     df = spark.createDataFrame(rows, "node_id string, score double, y int")
@@ -384,8 +441,25 @@ def test_texts(spark):
     bad = spark.createDataFrame([(1, "ab" * 16), (2, ""), (3, "abc abd " * 2), (4, "".join("abcdef"[i * i % 6] for i in range(40)) + "a" * 5)], "doc_id long, text string")
     why = {r.doc_id: r.degenerate for r in text.degenerate(bad).collect()}
     assert (why[1], why[2], why[3]) == ("repeated", "empty", None)
-    said = text.guarded(spark.createDataFrame([("He IS GUILTY of it and they are criminals",)], "text string")).first()
-    assert said.text.startswith("He shows flagged patterns consistent with it and they are flagged entities") and said.text.endswith(f"*{alerts.CAVEAT}*") and said.rules == [0, 5]
+    rules = [(r"\bdid it\b", "may have done it"), (r"\bnever\b", "seldom"), (r"\bsurely (\w+)\b", "likely $1")]
+    said = text.guarded(spark.createDataFrame([("He DID IT and surely knew",)], "text string"), rules).first()
+    assert said.text.startswith("He may have done it and likely knew") and said.text.endswith(f"*{alerts.CAVEAT}*") and said.rules == [0, 2]
+    tokens = spark.createDataFrame([(1, "so <UNK> " + "<unk>\n" * 8), (2, "<unk> " * 7), (3, "<|x|> <|yy|>" * 4), (4, "<|x|>" * 7)], "doc_id long, text string")
+    assert {r.doc_id: r.degenerate for r in text.degenerate(tokens).collect()} == {1: "unknown tokens", 2: None, 3: "special tokens", 4: None}
+
+
+NUMBER = re.compile(r"(?<![\w.])\d{2,}(?:,\d{3})*(?:\.\d+)?(?![\w.])")
+
+
+@pytest.mark.parametrize("answer, evidence", [
+    ("12,345", "12345"), ("12345", "12,345"), ("12.50", "12.5 of 50"), ("7 and 42", "none"), ("it was 12,345.", "12"), ("a12 12b 3.14 99.5% 1,234", "234"), ("10,000 20,0000 1234.5.6", ""), (None, "1"), ("55 55", None), ("33", "33,000"),
+])
+def test_numbers_without_support(spark, answer, evidence):
+    seen = set(NUMBER.findall(evidence or ""))
+    seen |= {n.replace(",", "") for n in seen}
+    want = sorted({n for n in NUMBER.findall(answer or "") if n not in seen and n.replace(",", "") not in seen})
+    df = spark.createDataFrame([(answer, evidence)], "a string, e string")
+    assert text.unsupported_numbers(df, "a", "e").first().unsupported == want
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.99, 0.05]), (2, [0.0, 1.0]), (3, [0.98, 0.1]), (4, [0.0, 0.0])], "vec_id long, embedding array<double>")
     pairs = text.close_pairs(v)
     assert {(r.better, r.worse) for r in pairs.collect()} == {(0, 1), (0, 3), (1, 3)}
