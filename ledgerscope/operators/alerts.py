@@ -24,28 +24,30 @@ def overlaps(members: DataFrame, least: float) -> DataFrame:
     least * n of a set, its prefix, hold one that is shared. Prefixes are joined by
     member. A met pair is dropped where the members before and after its places can't
     be enough, then counted; after its last places p and q it shares at most
-    min(n - p, m - q) more, so that what can't reach the need is dropped unseen. Counts
-    are exact where nothing is left after a prefix; the other pairs are counted over
-    whole sets.
+    min(n - p, m - q) more, so that what can't reach the need is dropped unseen. For
+    the pairs that are left the few members after the prefixes are looked up as well.
     """
-    m = staged(members.select("rank", "node_id").distinct(), "members")
+    m = members.select("rank", "node_id").distinct()
     size = m.groupBy("rank").agg(F.count("*").alias("n"))
     known = m.join(m.groupBy("node_id").agg(F.count("*").alias("met")), "node_id").join(size, "rank")
     place = F.row_number().over(Window.partitionBy("rank").orderBy("met", "node_id"))
     prefix = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
-    rare = known.withColumn("p", place).where((F.col("met") > 1) & (F.col("p") <= prefix)).select("rank", "node_id", "n", "p")
-    rare = staged(rare, "prefixes")
+    placed = staged(known.withColumn("p", place).where("met > 1").withColumn("late", F.col("p") > prefix).select("rank", "node_id", "n", "p", "late"), "placed")
+    # The join yields far more than it reads, so its partitions are set and not fitted to its input.
+    rare = placed.where("NOT late").drop("late").repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node_id")
     b = rare.select(F.col("rank").alias("worse"), "node_id", F.col("n").alias("m"), F.col("p").alias("q"))
     need = F.floor(least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9) + 1
     after = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
     met = rare.join(b, "node_id").where((F.col("rank") < F.col("worse")) & (F.least("n", "m") > least * F.greatest("n", "m")) & (F.least("p", "q") + after >= need))
-    met = met.groupBy(F.col("rank").alias("better"), "worse", "n", "m").agg(F.count("*").alias("both"), F.max("p").alias("p"), F.max("q").alias("q"))
+    met = met.groupBy(F.col("rank").alias("better"), "worse").agg(F.count("*").alias("both"), *(F.max(c).alias(c) for c in "nmpq"))
     beyond = lambda size: size - F.least(size - F.ceil(least * size - 1e-9) + 1, size)
     open_ends = beyond(F.col("n")) + beyond(F.col("m"))
     met = staged(met.where(F.col("both") + F.least(after, open_ends) >= need).withColumn("exact", open_ends == 0), "met")
-    rest = met.where("NOT exact").select("better", "worse", "n", "m")
-    counted = rest.join(m.withColumnRenamed("rank", "better"), "better").join(m.withColumnRenamed("rank", "worse"), ["worse", "node_id"]).groupBy("better", "worse", "n", "m").agg(F.count("*").alias("both"))
-    both = met.where("exact").select("better", "worse", "n", "m", "both").unionByName(counted)
+    rest = met.where("NOT exact").select("better", "worse")
+    ends = [placed.select(F.col("rank").alias(c), "node_id", "late") for c in ("better", "worse")]
+    more = rest.join(ends[0].where("late").drop("late"), "better").join(ends[1].drop("late"), ["worse", "node_id"], "left_semi").select("better", "worse")
+    more = more.union(rest.join(ends[1].where("late").drop("late"), "worse").join(ends[0].where("NOT late").drop("late"), ["better", "node_id"], "left_semi").select("better", "worse"))
+    both = met.join(more.groupBy("better", "worse").agg(F.count("*").alias("more")), ["better", "worse"], "left").withColumn("both", F.col("both") + F.coalesce("more", F.lit(0)))
     return both.select("better", "worse", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") > least)
 
 

@@ -43,6 +43,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     ranked = pairs.join(size.withColumnsRenamed({"id": "u", "simple_degree": "du"}), "u").join(size.withColumnsRenamed({"id": "v", "simple_degree": "dv"}), "v")
     low, high = F.struct(F.col("du"), F.col("u")), F.struct(F.col("dv"), F.col("v"))
     arcs = staged(ranked.select(F.when(low < high, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low < high, F.col("v")).otherwise(F.col("u")).alias("y")), "arcs")
+    arcs = arcs.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x")  # wedges are far more than arcs
     wedges = arcs.join(arcs.select("x", F.col("y").alias("z")), "x").where("y < z")
     found = wedges.join(pairs, (wedges.y == pairs.u) & (wedges.z == pairs.v), "left_semi")
     corners = found.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
