@@ -120,34 +120,73 @@ def pass_through_chains(edges: DataFrame, least: int = 3, share: float = 0.9, ti
     return out.where(F.col("hops") >= least)
 
 
-def cycles(edges: DataFrame, longest: int = 8, shortest: int = 3, most: int | None = 100) -> DataFrame:
-    """Directed cycles of shortest to longest distinct nodes in each alert's edges (alert_id, src, dst): (alert_id, nodes).
-
-    A cycle begins at its least node and is grown along edges to larger ones, so it is
-    found once. Of an alert's cycles the first most, by length and nodes, are reported,
-    which is the feature's cap; an alert that has them grows no longer paths, so a dense
-    one ends early. None reports all.
-    """
+def on_closed_walks(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Distinct edges (alert_id, src, dst) without loops, less those that rounds of taking off nodes without a way in or out show to lie on no cycle; written."""
     e = staged(edges.where("src <> dst").select("alert_id", "src", "dst").distinct(), "cycle-edges")
-    step = e.toDF("alert_id", "last", "next")
-    paths, found = e.where("src < dst").select("alert_id", F.array("src", "dst").alias("nodes"), F.col("dst").alias("last")), []
+    n = e.count()
+    for _ in range(rounds):
+        ways_in, ways_out = e.select("alert_id", F.col("dst").alias("src")).distinct(), e.select("alert_id", F.col("src").alias("dst")).distinct()
+        e = staged(e.join(ways_in, ["alert_id", "src"], "left_semi").join(ways_out, ["alert_id", "dst"], "left_semi").select("alert_id", "src", "dst"), "cycle-edges")
+        before, n = n, e.count()
+        if n == before:
+            break
+    return e
+
+
+def counted_cycles(edges: DataFrame, longest: int = 8, shortest: int = 3, most: int | None = 100) -> tuple[DataFrame, DataFrame]:
+    """Directed cycles of shortest to longest distinct nodes in each alert's edges (alert_id, src, dst): (alert_id, nodes), and per alert with a cycle how many were found, reported and cut, and the length to which all were looked for.
+
+    Edges that lie on no closed walk leave first. A cycle is told from its least node s: a
+    path of larger nodes from s of half its length and one back to s of the other half
+    meet in a node and share no other, so paths of at most half of longest are held.
+    Cycles are found by length. Of an alert's cycles the first most, by length and nodes,
+    are reported, which is the feature's cap; an alert that has as many goes to no further
+    length, so a dense one ends early. None reports all.
+    """
+    e = on_closed_walks(edges)
+    spark = e.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = e.toDF("alert_id", "x", "next")
+    ahead = e.where("src < dst").select("alert_id", F.col("src").alias("s"), F.col("dst").alias("x"), F.array("dst").alias("there"))
+    back = e.where("dst < src").select("alert_id", F.col("dst").alias("s"), F.col("src").alias("x"), F.array("src").alias("home"))
+    ahead, back, found = staged(ahead, "paths"), staged(back, "paths"), []
+    rest, n_ahead, n_back = None, 1, 1
     for n in range(2, longest + 1):
-        on = paths.join(step, ["alert_id", "last"])
-        if n >= shortest:
-            found.append(staged(on.where(F.col("next") == F.element_at("nodes", 1)).select("alert_id", "nodes"), "cycles"))
-            if most is not None:
-                full = reduce(DataFrame.union, found).groupBy("alert_id").agg(F.count("*").alias("n")).where(F.col("n") >= most)
-                on = on.join(full.select("alert_id"), "alert_id", "left_anti")
-        if n < longest:
-            grown = on.where((F.col("next") > F.element_at("nodes", 1)) & ~F.array_contains("nodes", F.col("next")))
-            paths = staged(grown.select("alert_id", F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("last")), "paths")
-            if paths.isEmpty():
-                break
-    out = reduce(DataFrame.union, found) if found else paths.select("alert_id", "nodes").limit(0)
-    if most is None:
-        return out
-    place = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.size("nodes"), "nodes"))
-    return out.withColumn("place", place).where(F.col("place") <= most).drop("place")
+        if n_ahead < (n + 1) // 2:
+            grown = ahead.repartition(parts, "alert_id", "x").join(step, ["alert_id", "x"]).where((F.col("next") > F.col("s")) & ~F.array_contains("there", F.col("next")))
+            ahead, n_ahead = staged(grown.select("alert_id", "s", F.col("next").alias("x"), F.concat("there", F.array("next")).alias("there")), "paths"), n_ahead + 1
+        if n_back < n // 2:
+            grown = back.repartition(parts, "alert_id", "x").join(step.toDF("alert_id", "before", "x"), ["alert_id", "x"]).where((F.col("before") > F.col("s")) & ~F.array_contains("home", F.col("before")))
+            back, n_back = staged(grown.select("alert_id", "s", F.col("before").alias("x"), F.concat(F.array("before"), "home").alias("home")), "paths"), n_back + 1
+        if n < shortest:
+            continue
+        met = ahead.join(back, ["alert_id", "s", "x"]).where(~F.arrays_overlap("there", F.slice("home", 2, longest)))
+        found.append(staged(met.select("alert_id", F.concat(F.array("s"), "there", F.slice("home", 2, longest)).alias("nodes"), F.lit(n).alias("length")), "cycles"))
+        if most is not None:
+            full = reduce(DataFrame.union, found).groupBy("alert_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("alert_id")
+            full = staged(full, "full")
+            ahead, back = (df.join(full, "alert_id", "left_anti") for df in (ahead, back))
+            ended = full.withColumn("searched_to", F.lit(n))
+            rest = ended if rest is None else rest.union(ended.join(rest, "alert_id", "left_anti"))
+        if ahead.isEmpty() or back.isEmpty():
+            break
+    if not found:
+        none = e.select("alert_id", F.array("src").alias("nodes"), F.lit(0).alias("length")).limit(0)
+        found.append(none)
+    every = reduce(DataFrame.union, found)
+    place = F.row_number().over(Window.partitionBy("alert_id").orderBy("length", "nodes"))
+    kept = every if most is None else every.withColumn("place", place).where(F.col("place") <= most)
+    report = every.groupBy("alert_id").agg(F.count("*").alias("n_found"))
+    ends = e.select("alert_id", F.lit(longest).alias("searched_to")).limit(0) if rest is None else rest
+    report = report.join(ends.groupBy("alert_id").agg(F.min("searched_to").alias("searched_to")), "alert_id", "left")
+    n = F.col("n_found")
+    reported = n if most is None else F.least(n, F.lit(most))
+    return kept.select("alert_id", "nodes"), report.select("alert_id", n, reported.cast("long").alias("n_reported"), (n - reported).cast("long").alias("n_cut"), F.coalesce("searched_to", F.lit(longest)).cast("long").alias("searched_to"))
+
+
+def cycles(edges: DataFrame, longest: int = 8, shortest: int = 3, most: int | None = 100) -> DataFrame:
+    """The cycles (alert_id, nodes) that counted_cycles() reports."""
+    return counted_cycles(edges, longest, shortest, most)[0]
 
 
 def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:

@@ -201,7 +201,7 @@ def j6_k_core(spark, sf_dir):
     return graph.k_core(payments(spark, sf_dir))
 
 
-@query(f"""WITH {PAYMENTS}, {NODES}, d AS (SELECT x AS node_id, count(*) AS degree FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), c AS (SELECT n.node_id, degree, CASE WHEN hash_less IS NULL THEN NULL ELSE t // 30 END AS g FROM n JOIN d USING (node_id), (SELECT 1 AS hash_less)),
+@query(f"""WITH {PAYMENTS}, {NODES}, d AS (SELECT x AS node_id, count(*) AS degree FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), c AS (SELECT n.node_id, degree, t // 30 AS g FROM n JOIN d USING (node_id)),
 s AS (SELECT g, count(*) AS k, avg(degree) AS m FROM c GROUP BY 1) SELECT node_id, k AS community_size, round(CASE WHEN m > 0 THEN degree / m ELSE 1 END, 6) AS degree_rel_community FROM c JOIN s ON c.g IS NOT DISTINCT FROM s.g""")
 def j8_community_stats(spark, sf_dir):
     n, e = sized(spark, sf_dir)
@@ -247,6 +247,18 @@ def n1_cycles(spark, sf_dir):
     return motifs.cycles(inner(spark, sf_dir), longest=3, most=None).select("alert_id", F.array_join("nodes", ",").alias("nodes"))
 
 
+@query()
+def n1_cycles_to_eight(spark, sf_dir):
+    """Cycles of three to eight accounts inside every alert, a hundred of each at most."""
+    return motifs.cycles(inner(spark, sf_dir)).select("alert_id", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query()
+def n1_cycle_counts(spark, sf_dir):
+    """For every alert with a cycle, those found, reported and cut by the cap of a hundred, and the length to which all were looked for."""
+    return motifs.counted_cycles(inner(spark, sf_dir))[1]
+
+
 @query(f"""WITH RECURSIVE {LINKED}, p AS (SELECT src AS u, dst AS v, nation FROM lk UNION SELECT dst, src, nation FROM lk),
 c AS (SELECT nation, [u] AS nodes, u AS last FROM p GROUP BY nation, u UNION ALL SELECT c.nation, list_append(c.nodes, p.v), p.v FROM c JOIN p ON p.u = c.last AND p.nation = c.nation WHERE p.v > c.last
  AND (SELECT count(*) FROM p z WHERE z.u = p.v AND list_contains(c.nodes, z.v)) = len(c.nodes))
@@ -296,7 +308,7 @@ def n10_alert_fans(spark, sf_dir):
 @query()
 def n10_alert_motifs(spark, sf_dir):
     """All motifs of every alert in one job, counted."""
-    found = motifs.alert_motifs(inner(spark, sf_dir), longest=4)
+    found = motifs.alert_motifs(inner(spark, sf_dir))
     return found.groupBy("alert_id", "motif_type").agg(F.count("*").alias("n"))
 
 

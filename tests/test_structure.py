@@ -155,3 +155,43 @@ def test_lists_end_at_rings(spark, seed):
         assert r.place not in got[r.head]
         got[r.head][r.place] = r.item
     assert {h: [x[i] for i in range(len(x))] for h, x in got.items()} == want
+
+
+def test_cycles_to_eight_with_a_cap_and_what_it_cut(spark):
+    rng = random.Random(6)
+    graphs = {"thin": {(rng.randrange(9), rng.randrange(9)) for _ in range(22)} | {(i, i + 1) for i in range(20, 60)}, "ring": {(i, (i + 1) % 8) for i in range(8)}, "none": {(1, 2), (2, 3), (1, 3)}, "dense": {(a, b) for a in range(7) for b in range(7)}}
+
+    def brute(edges):
+        out, step = [], collections.defaultdict(list)
+        for a, b in edges:
+            if a != b:
+                step[a].append(b)
+
+        def walk(path):
+            for b in step[path[-1]]:
+                if b == path[0] and len(path) >= 3:
+                    out.append(tuple(map(str, path)))
+                if b > path[0] and b not in path and len(path) < 8:
+                    walk([*path, b])
+
+        for a in list(step):
+            walk([a])
+        return sorted(out, key=lambda c: (len(c), c))
+
+    want = {k: brute(g) for k, g in graphs.items()}
+    df = spark.createDataFrame([(k, str(a), str(b)) for k, g in graphs.items() for a, b in g], "alert_id string, src string, dst string")
+    every, counts = motifs.counted_cycles(df, most=None)
+    got = collections.defaultdict(list)
+    for r in every.collect():
+        got[r.alert_id].append(tuple(r.nodes))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if v}
+    capped, counts = motifs.counted_cycles(df, most=40)
+    first = collections.defaultdict(set)
+    for r in capped.collect():
+        first[r.alert_id].add(tuple(r.nodes))
+    assert dict(first) == {k: set(v[:40]) for k, v in want.items() if v}
+    report = {r.alert_id: (r.n_found, r.n_reported, r.n_cut, r.searched_to) for r in counts.collect()}
+    assert report["ring"] == (1, 1, 0, 8) and "none" not in report
+    to = next(n for n in range(3, 9) if sum(len(c) <= n for c in want["dense"]) >= 40)
+    found = sum(len(c) <= to for c in want["dense"])
+    assert report["dense"] == (found, 40, found - 40, to)
