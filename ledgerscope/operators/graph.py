@@ -222,46 +222,74 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(degree)).select((F.col("own") / F.col("m") - F.col("k2") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, least: int = 2, rounds: int = 6, levels: int = 3) -> DataFrame:
+def weighted_pairs(edges: DataFrame) -> DataFrame:
+    """Undirected pairs u < v without loops, weighted by their parallels (w); written."""
+    e = edges.where("src <> dst AND src IS NOT NULL AND dst IS NOT NULL")
+    return staged(e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).groupBy("u", "v").agg(F.sum(F.lit(1.0)).alias("w")), "weighted")
+
+
+def label_propagation(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """Communities (node_id, community_id) in which half of the nodes, by hash, take in each of rounds rounds the heaviest label around them, their own of equals, else the least; a base line."""
+    base = weighted_pairs(edges)
+    both = staged(base.union(base.select("v", "u", "w")), "links")
+    state = staged(both.select("u").distinct().select("u", F.col("u").alias("c")), "labels")
+    for turn in range(rounds):
+        near = both.join(state.toDF("v", "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w")).join(state.toDF("u", "now"), "u")
+        best = near.groupBy("u", "now").agg(F.min_by("c", F.struct((-F.col("w")).alias("w"), (F.col("c") != F.col("now")).alias("other"), "c")).alias("best"))
+        state = staged(best.select("u", F.when(F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0, F.col("best")).otherwise(F.col("now")).alias("c")), "labels")
+    return state.toDF("node_id", "community_id")
+
+
+def _moved(both: DataFrame, degree: DataFrame, two_m: float, resolution: float, tolerance: float, rounds: int, salt: int) -> tuple[DataFrame, int]:
+    """Communities (u, k, c) of the nodes of links both (u, v, w) of degrees (u, k) after moves, and how many nodes moved in all."""
+    state, total_moves, least = staged(degree.select("u", "k", F.col("u").alias("c")), "state"), 0, tolerance * two_m
+    for turn in range(rounds):
+        total = state.groupBy("c").agg(F.sum("k").alias("kc"))
+        near = both.where("u <> v").join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("wc"))
+        own = state.select("u", "k", F.col("c").alias("now"))
+        may = near.unionByName(own.select("u", F.col("now").alias("c"), F.lit(0.0).alias("wc"))).groupBy("u", "c").agg(F.sum("wc").alias("wc"))
+        gain = F.col("wc") - resolution * F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / two_m
+        scored = may.join(own, "u").join(total, "c").select("u", "k", "now", "c", F.round(gain, 9).alias("gain"), (F.col("c") == F.col("now")).alias("stays"))
+        best = scored.groupBy("u", "k", "now").agg(
+            F.min_by("c", F.struct((-F.col("gain")).alias("g"), (~F.col("stays")).alias("s"), "c")).alias("best"), (F.max("gain") - F.max(F.when(F.col("stays"), F.col("gain")))).alias("more")
+        )
+        # Fewer nodes move at a time as rounds go on, so that neighbours don't go on swapping.
+        turns = F.pmod(F.xxhash64("u", F.lit(salt + turn)), F.lit(2 + turn // 8)) == 0
+        state = staged(best.select("u", "k", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("c"), "more", (turns & (F.col("best") != F.col("now"))).alias("moves")), "state")
+        wanted, changed = state.agg(F.coalesce(F.sum("more"), F.lit(0.0)), F.count_if("moves")).first()
+        state, total_moves = state.select("u", "k", "c"), total_moves + changed
+        if wanted <= least:
+            return state, total_moves
+    raise RuntimeError(f"nodes still gain more than the tolerance after {rounds} rounds of moves")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, least: int = 2, tolerance: float = 5e-3, rounds: int = 80, levels: int = 20) -> DataFrame:
     """Communities (node_id, community_id) of at least least nodes of the undirected projection weighted by parallels.
 
-    In each round half of the nodes, by hash, may move to the neighbouring community with
-    the largest gain of modularity. After rounds rounds communities become nodes and the
-    next level begins. Communities are then cut into connected parts; a part bears its
-    least node id. Ties fall to the least community, so a run repeats.
+    In each round part of the nodes, by hash, may move to the neighbouring community with
+    the largest gain of modularity, until all nodes together could gain no more than
+    tolerance of the edges' weight. Communities are then cut into connected parts, which
+    become nodes, and the next level begins, until none moves. A community bears its least
+    node id. Ties fall to the least community, so a run repeats. RuntimeError if rounds or
+    levels do not suffice.
     """
-    w = edges.where("src <> dst AND src IS NOT NULL AND dst IS NOT NULL")
-    base = staged(w.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).groupBy("u", "v").agg(F.sum(F.lit(1.0)).alias("w")), "weighted")
+    base = weighted_pairs(edges)
     two_m = 2 * (base.agg(F.sum("w")).first()[0] or 0.0)
     owner = staged(base.select(F.col("u").alias("node_id")).union(base.select("v")).distinct().select("node_id", F.col("node_id").alias("community_id")), "owners")
     links = base
     for level in range(levels):
         both = staged(links.select("u", "v", "w").union(links.where("u <> v").select("v", "u", "w")), "links")
         degree = both.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
-        state = staged(degree.select("u", "k", F.col("u").alias("c")), "state")
-        moved = 0
-        for turn in range(rounds):
-            total = state.groupBy("c").agg(F.sum("k").alias("kc"))
-            near = both.where("u <> v").join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("wc"))
-            own = state.select("u", "k", F.col("c").alias("now"))
-            may = near.unionByName(own.select("u", F.col("now").alias("c"), F.lit(0.0).alias("wc"))).groupBy("u", "c").agg(F.sum("wc").alias("wc"))
-            gain = F.col("wc") - resolution * F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) / two_m
-            scored = may.join(own, "u").join(total, "c").select("u", "k", "now", "c", F.round(gain, 9).alias("gain"), (F.col("c") == F.col("now")).alias("stays"))
-            best = scored.groupBy("u", "k", "now").agg(F.min_by("c", F.struct((-F.col("gain")).alias("g"), (~F.col("stays")).alias("s"), "c")).alias("best"))
-            turns = F.pmod(F.xxhash64("u", F.lit(level * rounds + turn)), F.lit(2)) == 0
-            state = staged(best.select("u", "k", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("c"), (turns & (F.col("best") != F.col("now"))).alias("moves"), (F.col("best") != F.col("now")).alias("wants")), "state")
-            wanted, changed = state.agg(F.count_if("wants"), F.count_if("moves")).first()
-            moved += changed
-            state = state.select("u", "k", "c")
-            if not wanted:
-                break
-        owner = staged(owner.join(state.select(F.col("u").alias("community_id"), "c"), "community_id").select("node_id", F.col("c").alias("community_id")), "owners")
-        if not moved:
+        state, moves = _moved(both, degree, two_m, resolution, tolerance, rounds, level * rounds)
+        if not moves:
             break
-        c = state.select("u", "c")
-        up = links.join(c.withColumnRenamed("c", "a"), "u").join(c.toDF("v", "b"), "v")
+        inside = links.where("u <> v").join(state.select("u", F.col("c").alias("a")), "u").join(state.select(F.col("u").alias("v"), F.col("c").alias("b")), "v").where("a = b")
+        joined = connected_components(inside, "u", "v").select(F.col("node").alias("u"), F.col("component").alias("c"))
+        part = staged(state.select("u").join(joined, "u", "left").select("u", F.coalesce("c", "u").alias("c")), "parts")
+        owner = staged(owner.join(part.select(F.col("u").alias("community_id"), "c"), "community_id").select("node_id", F.col("c").alias("community_id")), "owners")
+        up = links.join(part.withColumnRenamed("c", "a"), "u").join(part.toDF("v", "b"), "v")
         links = staged(up.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("w").alias("w")), "weighted")
-    inner = base.join(owner.toDF("u", "cu"), "u").join(owner.toDF("v", "cv"), "v").where("cu = cv")
-    parts = connected_components(inner, "u", "v").select(F.col("node").alias("node_id"), F.col("component").alias("community_id"))
-    large = parts.groupBy("community_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("community_id")
-    return parts.join(large, "community_id", "left_semi")
+    else:
+        raise RuntimeError(f"communities still grow after {levels} levels")
+    large = owner.groupBy("community_id").agg(F.count("*").alias("n"), F.min("node_id").alias("first")).where(F.col("n") >= least)
+    return owner.join(large, "community_id").select("node_id", F.col("first").alias("community_id"))

@@ -247,7 +247,11 @@ def n1_cycles(spark, sf_dir):
     return motifs.cycles(inner(spark, sf_dir), longest=3, most=None).select("alert_id", F.array_join("nodes", ",").alias("nodes"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {INNER}, x AS MATERIALIZED (SELECT DISTINCT rank, src, dst FROM inn WHERE src <> dst),
+t3 AS MATERIALIZED (SELECT a.rank, count(*) AS n FROM x a JOIN x b ON a.rank = b.rank AND a.dst = b.src AND b.dst > a.src JOIN x c ON c.rank = a.rank AND c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src <> b.dst GROUP BY 1 HAVING count(*) >= 100),
+p AS (SELECT rank, [src, dst] AS nodes, dst AS last FROM x WHERE src < dst UNION ALL SELECT p.rank, list_append(nodes, x.dst), x.dst FROM p JOIN x ON p.rank = x.rank AND p.last = x.src WHERE x.dst > nodes[1] AND NOT list_contains(nodes, x.dst) AND len(nodes) < CASE WHEN p.rank IN (SELECT rank FROM t3) THEN 3 ELSE 8 END),
+cy AS (SELECT p.rank, nodes, row_number() OVER (PARTITION BY p.rank ORDER BY len(nodes), nodes) AS k FROM p JOIN x ON p.rank = x.rank AND p.last = x.src AND x.dst = nodes[1] WHERE len(nodes) >= 3)
+SELECT rank::VARCHAR AS alert_id, array_to_string(nodes, ',') AS nodes FROM cy WHERE k <= 100""")
 def n1_cycles_to_eight(spark, sf_dir):
     """Cycles of three to eight accounts inside every alert, a hundred of each at most."""
     return motifs.cycles(inner(spark, sf_dir)).select("alert_id", F.array_join("nodes", ",").alias("nodes"))

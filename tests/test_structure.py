@@ -195,3 +195,39 @@ def test_cycles_to_eight_with_a_cap_and_what_it_cut(spark):
     to = next(n for n in range(3, 9) if sum(len(c) <= n for c in want["dense"]) >= 40)
     found = sum(len(c) <= to for c in want["dense"])
     assert report["dense"] == (found, 40, found - 40, to)
+
+
+def test_communities_are_no_worse_than_label_propagation_and_connected(spark):
+    """Ten seeded graphs with planted groups of several sizes and mixing, as one table, whose modularity is compared."""
+    pairs = []
+    for seed in range(10):
+        rng = random.Random(seed)
+        group = [rng.randrange(3 + seed % 4) for _ in range(24)]
+        pairs += [(f"{seed}-{a}", f"{seed}-{b}") for a, b in itertools.combinations(range(24), 2) if rng.random() < (0.6 if group[a] == group[b] else 0.03 + 0.01 * (seed % 5))]
+    e = pairs_table(spark, pairs)
+    got = {r.node_id: r.community_id for r in graph.communities(e).collect()}
+    plain = {r.node_id: r.community_id for r in graph.label_propagation(e).collect()}
+
+    def modularity(part):
+        degree = collections.Counter(itertools.chain(*pairs))
+        total = collections.Counter()
+        for v, k in degree.items():
+            total[part[v]] += k
+        return sum(part[a] == part[b] for a, b in pairs) / len(pairs) - sum(k * k for k in total.values()) / (2 * len(pairs)) ** 2
+
+    own, base = modularity(got), modularity(plain)
+    print("MODULARITY", own, base)
+    assert own >= base and own == pytest.approx(graph.modularity(e, spark.createDataFrame(list(got.items()), "node_id string, community_id string")).first()[0])
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        if got[a] == got[b]:
+            near[a].add(b)
+            near[b].add(a)
+    for c in set(got.values()):
+        members = {v for v, x in got.items() if x == c}
+        seen, todo = {c}, [c]
+        while todo:
+            for u in near[todo.pop()] - seen:
+                seen.add(u)
+                todo.append(u)
+        assert seen == members and c == min(members)
