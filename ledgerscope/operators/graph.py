@@ -263,7 +263,7 @@ def _moved(both: DataFrame, degree: DataFrame, two_m: float, resolution: float,
     raise RuntimeError(f"nodes still gain more than the tolerance after {rounds} rounds of moves")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, least: int = 2, tolerance: float = 5e-3, rounds: int = 80, levels: int = 20) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, least: int = 2, tolerance: float = 2e-3, rounds: int = 80, levels: int = 20) -> DataFrame:
     """Communities (node_id, community_id) of at least least nodes of the undirected projection weighted by parallels.
 
     In each round part of the nodes, by hash, may move to the neighbouring community with
