@@ -212,14 +212,18 @@ y0 AS (SELECT node_id, (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT
 y AS (SELECT node_id, round(score, 6) AS score FROM y0)"""
 
 
-def composite(spark, sf_dir, places: int | None = 6) -> DataFrame:
+def composite_of(nodes: DataFrame, edges: DataFrame, places: int | None = 6) -> DataFrame:
     """Composite scores; rounded to places where ties and ranks are to agree with SQL."""
-    z = graph.zscores(graph.payment_features(*sized(spark, sf_dir)), ["velocity", "holding_time_median"], fill_null=False)
+    z = graph.zscores(graph.payment_features(nodes, edges), ["velocity", "holding_time_median"], fill_null=False)
     z = z.withColumn("holding_time_median", -F.col("holding_time_median"))
     score = scoring.mean_of_known(["velocity", "holding_time_median"])
     return z.select("node_id", (score if places is None else F.round(score, places)).alias("score")).where("score IS NOT NULL")
 
 
+def composite(spark, sf_dir, places: int | None = 6) -> DataFrame:
+    return composite_of(*sized(spark, sf_dir), places)
+
+
 @query(f"WITH {COMPOSITE} SELECT * FROM y")
 def l4_screen_composite(spark, sf_dir):
     return composite(spark, sf_dir)

@@ -9,7 +9,7 @@ from ledgerscope.functions.staging import staged
 from ledgerscope.operators import alerts, evaluation, graph, learning, queues, scoring, temporal
 from ledgerscope.plans.bindings import LABELS, NODES, PAYMENTS, account_labels, key, payments, table
 from ledgerscope.plans.graph_queries import buyer_labels, planted
-from ledgerscope.plans.queries import COMPOSITE, MOST, QUEUE, T0, composite, query, queue, rounded, sized, walks
+from ledgerscope.plans.queries import COMPOSITE, MOST, QUEUE, T0, composite, composite_of, query, queue, rounded, sized, walks
 
 HITS = f"hr AS (SELECT m.rank, count(*) FILTER (label = 'illicit') AS bad, count(*) FILTER (label IN ('illicit', 'licit')) AS known FROM m LEFT JOIN l USING (node_id) GROUP BY 1)"
 LABELLED = "la AS (SELECT node_id, score, (label = 'illicit')::INT AS y FROM y JOIN l USING (node_id) WHERE label <> 'unknown')"
@@ -151,27 +151,56 @@ def m23_alert_queue(spark, sf_dir):
     return rounded(alerts.build_alerts(scored.join(members, "community_id"), n, "ledger", "calibrated", most=10_000).drop("member_node_ids"))
 
 
+def strict(spark, sf_dir) -> tuple[tuple[DataFrame, DataFrame], DataFrame, tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
+    """The graph as of T0 and the labels of its nodes; the whole graph, its nodes first seen later and their labels. No node is on both sides."""
+    n, e = sized(spark, sf_dir)
+    y = temporal.confirmed(account_labels(spark, sf_dir))
+    early = tuple(staged(x, "train-graph") for x in temporal.train_graph(n, e, T0))
+    late = staged(n.where(F.col("time_first_seen") > T0).select("node_id"), "test-nodes")
+    return early, y.join(early[0].select("node_id"), "node_id", "left_semi"), (n, e), late, y.join(late, "node_id", "left_semi")
+
+
+def split_scores(spark, sf_dir) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame, DataFrame]:
+    """Composite and degree of the nodes seen after T0, the same of the graph as of T0, and the labels of these and of those."""
+    early, y, whole, late, y_late = strict(spark, sf_dir)
+    scores = lambda n, e: {"composite": composite_of(n, e), "degree": graph.degrees(n, e).select("node_id", F.col("degree").cast("double").alias("score"))}
+    tests = {k: staged(v.join(late, "node_id", "left_semi"), k) for k, v in scores(*whole).items()}
+    return tests, {k: staged(v, k) for k, v in scores(*early).items()}, y, y_late
+
+
+def trees(features: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
+    return learning.tree_scores(features, train, columns, trees=10)
+
+
 @query()
 def m24_ensemble(spark, sf_dir):
-    a, b, l = composite(spark, sf_dir), degree_scores(spark, sf_dir), account_labels(spark, sf_dir)
-    y = temporal.confirmed(l)
-    members = {"composite": staged(a, "a"), "degree": staged(b, "b")}
-    fused = {"calibrated_fusion": learning.calibrated_fusion(members, members, y), "rank_fusion": scoring.rank_fusion(members).select("node_id", "score")}
-    return rounded(evaluation.member_metrics(members | {k: staged(v, k) for k, v in fused.items()}, l, [10, 100]))
+    """Members and fusions on the nodes first seen after T0; what is fitted is fitted on the graph and labels as of T0."""
+    tests, known, y, y_late = split_scores(spark, sf_dir)
+    fused = {"calibrated_fusion": learning.calibrated_fusion(tests, known, y), "rank_fusion": scoring.rank_fusion(tests).select("node_id", "score")}
+    labels = y_late.select("node_id", F.when(F.col("y") == 1, "illicit").otherwise("licit").alias("label"))
+    return rounded(evaluation.member_metrics(tests | {k: staged(v, k) for k, v in fused.items()}, labels, [10, 100]))
 
 
 @query()
 def l2_tree_scores(spark, sf_dir):
-    return rounded(learning.tree_scores(features(spark, sf_dir), temporal.confirmed(account_labels(spark, sf_dir)), COLUMNS, trees=10))
+    """Nodes first seen after T0, by trees learned on the graph and labels as of T0."""
+    early, y, whole, late, _ = strict(spark, sf_dir)
+    test = graph.payment_features(*whole).join(late, "node_id", "left_semi")
+    return rounded(learning.held_out_scores(trees, graph.payment_features(*early), y, test, COLUMNS))
 
 
 @query()
 def l3_tree_scores_with_neighbours(spark, sf_dir):
-    f = features(spark, sf_dir)
-    near = graph.neighbour_means(payments(spark, sf_dir), f, COLUMNS)
-    flow = graph.line_graph_flow(payments(spark, sf_dir)).select("node_id", "flow_log", "pass_ratio")
-    wide = f.join(near, "node_id").join(flow, "node_id", "left")
-    return rounded(learning.tree_scores(wide, temporal.confirmed(account_labels(spark, sf_dir)), [c for c in wide.columns if c != "node_id"], trees=10))
+    """As l2, with means over neighbours and flows, those of the graph as of T0 for learning."""
+    early, y, whole, late, _ = strict(spark, sf_dir)
+
+    def wide(n: DataFrame, e: DataFrame) -> DataFrame:
+        f = staged(graph.payment_features(n, e), "features")
+        flow = graph.line_graph_flow(e).select("node_id", "flow_log", "pass_ratio")
+        return f.join(graph.neighbour_means(e, f, COLUMNS), "node_id").join(flow, "node_id", "left")
+
+    fit = wide(*early)
+    return rounded(learning.held_out_scores(trees, fit, y, wide(*whole).join(late, "node_id", "left_semi"), [c for c in fit.columns if c != "node_id"]))
 
 
 @query()
@@ -197,14 +226,16 @@ def l7_reconstruction(spark, sf_dir):
 
 @query()
 def l8_calibrated(spark, sf_dir):
-    scores = composite(spark, sf_dir)
-    return rounded(learning.calibrated(scores, labelled(spark, sf_dir)))
+    """Composite scores of the nodes first seen after T0, calibrated on scores and labels as of T0."""
+    tests, known, y, _ = split_scores(spark, sf_dir)
+    return rounded(learning.calibrated(tests["composite"], known["composite"].join(y, "node_id")))
 
 
 @query()
 def l9_calibrated_fusion(spark, sf_dir):
-    members = {"composite": composite(spark, sf_dir), "degree": degree_scores(spark, sf_dir)}
-    return rounded(learning.calibrated_fusion(members, members, temporal.confirmed(account_labels(spark, sf_dir)), {"degree": 0.5}))
+    """As l8, fused with the degree."""
+    tests, known, y, _ = split_scores(spark, sf_dir)
+    return rounded(learning.calibrated_fusion(tests, known, y, {"degree": 0.5}))
 
 
 @query()
@@ -220,7 +251,7 @@ def l14_fold_matrix(spark, sf_dir):
     """Per nation of buyers, scores learned from all other nations' buyers, on their orders and balances' signs as labels."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price"))
     f = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select(key("buyer", "c_nationkey", "c_custkey").alias("node_id"), F.coalesce("orders", F.lit(0)).cast("double").alias("orders"), F.coalesce("mean_price", F.lit(0.0)).alias("mean_price"))
-    groups = [str(r[0]) for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").limit(4).collect()]
+    groups = [str(r[0]) for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     return rounded(learning.fold_matrix(staged(f, "buyers"), temporal.confirmed(buyer_labels(spark, sf_dir)), ["orders", "mean_price"], groups))
 
 

@@ -304,6 +304,18 @@ def test_sums_and_last_values_inside_a_large_key(spark, parts):
     assert last == {(k, t): max((v for q, u, v in rows if q == k and u < t and v is not None), default=None) for k, t, _ in rows}
 
 
+def test_held_out_scores_see_no_later_row(spark):
+    """Scores of later nodes follow what was learned early, whatever their own features and labels would teach."""
+    early = spark.createDataFrame([(f"n{i}", float(i % 2), float(i)) for i in range(40)], "node_id string, a double, b double")
+    y = spark.createDataFrame([(f"n{i}", i % 2) for i in range(40)], "node_id string, y int")
+    late = spark.createDataFrame([("n1", 0.0, 3.0), ("m1", 1.0, 2.0), ("m0", 0.0, 5.0)], "node_id string, a double, b double")
+    once = {r.node_id: r.score for r in learning.held_out_scores(learning.linear_scores, early, y, late, ["a", "b"]).collect()}
+    assert set(once) == {"n1", "m1", "m0"} and once["m1"] > 0.8 > 0.2 > once["m0"] and once["n1"] < 0.2
+    more = early.union(spark.createDataFrame([("later", 1.0, 1.0)], "node_id string, a double, b double"))
+    again = {r.node_id: r.score for r in learning.held_out_scores(learning.linear_scores, more, y, late, ["a", "b"]).collect()}
+    assert again == pytest.approx(once)
+
+
 def test_calibration_and_fusion(spark):
     rows = [(f"n{i}", i / 40, int(i > 20)) for i in range(40)]
     df = spark.createDataFrame(rows, "node_id string, score double, y int")
