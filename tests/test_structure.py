@@ -98,9 +98,9 @@ def walked(ranks, pairs):
     return kept
 
 
-@pytest.mark.parametrize("one_task", [500_000, 11, 1])
+@pytest.mark.parametrize("one_task", [500_000, 1])
 def test_conflicts_settle_in_parts_and_rounds(spark, one_task):
-    """One task for all pairs, one for each connected part, and rounds for parts that are too large."""
+    """One task for all pairs; rounds, and connected parts that fit, where they are too many."""
     rng = random.Random(one_task)
     pairs = {(a, a + 1) for a in range(1, 12)} | {(100 + a, 100 + b) for a, b in itertools.combinations(range(6), 2) if rng.random() < 0.4} | {(200 + 2 * a, 201 + 2 * a) for a in range(20)}
     ranks = range(1, 260)
@@ -136,13 +136,11 @@ def test_a_chain_of_many_hops(spark):
     assert (got.head_src, got.head_dst, got.hops) == ("0", "1", n) and list(got.nodes) == [str(i) for i in range(n + 1)]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", [1, 2])
 def test_lists_end_at_rings(spark, seed):
     rng = random.Random(seed)
     follow = {i: rng.randrange(60) for i in range(60) if rng.random() < 0.95}
-    if seed == 0:
-        follow = {i: i + 1 for i in range(10)}
-    elif seed == 1:
+    if seed == 1:
         follow |= {0: 0, 1: 0, 2: 1}
     heads = list(dict.fromkeys([i for i in range(60) if i not in follow.values()] + [next(iter(follow))]))
     want = {}
