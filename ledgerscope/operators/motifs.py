@@ -239,10 +239,20 @@ def coordinated_cluster(bids: DataFrame, firms: int = 3, tenders: int = 2, cv: f
 
 
 def induced_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both ends among an alert's members, for all alerts at once: alert_id and the columns of edges."""
-    m = members.select("alert_id", "node_id").distinct()
-    one = edges.join(m.toDF("alert_id", "src"), "src")
-    return one.join(m.toDF("alert_id", "dst"), ["alert_id", "dst"], "left_semi").select("alert_id", *edges.columns)
+    """Edges with both ends among an alert's members, for all alerts at once: alert_id and the columns of edges.
+
+    An edge is met only with the alerts of that end which is in fewer, and not at all
+    where an end is in none, so a hub of payments or of alerts is not multiplied by the other.
+    Repeated edges stay; an edge without an end has no alert.
+    """
+    m = staged(members.select("alert_id", "node_id").where("node_id IS NOT NULL").distinct(), "members")
+    n = m.groupBy("node_id").agg(F.count("*").alias("__n"))
+    e = edges.join(n.toDF("src", "__of_src"), "src").join(n.toDF("dst", "__of_dst"), "dst")
+
+    def met(few: DataFrame, near: str, far: str) -> DataFrame:
+        return few.join(m.toDF("alert_id", near), near).join(m.toDF("alert_id", far), ["alert_id", far], "left_semi").select("alert_id", *edges.columns)
+
+    return met(e.where("__of_src <= __of_dst"), "src", "dst").union(met(e.where("__of_src > __of_dst"), "dst", "src"))
 
 
 def alert_fans(inner: DataFrame, least: int = 5) -> DataFrame:
@@ -261,6 +271,53 @@ def alert_motifs(inner: DataFrame, fan_least: int = 5, longest: int = 8) -> Data
     return alert_fans(inner, fan_least).union(named(cycles(e, longest), "cycle")).union(named(pass_through_chains(e), "pass_through")).union(named(linked, "common_control"))
 
 
+def alert_rotations(awards: DataFrame, firms: int = 3, wins: int = 2) -> DataFrame:
+    """Per alert and market in which at least firms firms win wins times or more: these firms and all tenders of the market, (alert_id, nodes).
+
+    awards has alert_id, market, tender, firm, one row per award.
+    """
+    n = awards.groupBy("alert_id", "market", "firm").agg(F.count("*").alias("w")).where(F.col("w") >= wins)
+    turns = n.groupBy("alert_id", "market").agg(F.collect_list("firm").alias("firms")).where(F.size("firms") >= firms)
+    sold = awards.groupBy("alert_id", "market").agg(F.collect_set("tender").alias("tenders"))
+    both = turns.alias("a").join(sold.alias("b"), (F.col("a.alert_id") == F.col("b.alert_id")) & F.col("a.market").eqNullSafe(F.col("b.market")))
+    return both.select("a.alert_id", F.array_sort(F.array_union("firms", "tenders")).alias("nodes"))
+
+
+def alert_cover_bids(bids: DataFrame, losing: int = 2, above: float = 1.06) -> DataFrame:
+    """Tenders of an alert with one lowest bid and at least losing others, all at most above times as high: the tender and its bidders, (alert_id, nodes).
+
+    bids has alert_id, tender, firm, amount. Equal amounts are counted before tenders are
+    compared, so no task sorts a tender's bids.
+    """
+    n = bids.where("amount IS NOT NULL").groupBy("alert_id", "tender", "amount").agg(F.count("*").alias("n"), F.collect_set("firm").alias("firms"))
+    g = n.groupBy("alert_id", "tender").agg(F.sum("n").alias("n"), F.min_by("n", "amount").alias("lowest"), F.min("amount").alias("lo"), F.max("amount").alias("hi"), F.array_distinct(F.flatten(F.collect_list("firms"))).alias("firms"))
+    close = g.where((F.col("lowest") == 1) & (F.col("n") > losing) & (F.col("hi") <= F.col("lo") * above))
+    return close.select("alert_id", F.array_sort(F.array_union(F.array("tender"), "firms")).alias("nodes"))
+
+
+def alert_tender_motifs(inner: DataFrame, above: float = 1.06, cv: float = 0.05) -> DataFrame:
+    """All motifs of tenders of every alert's inner edges in one job: (alert_id, motif_type, nodes).
+
+    Awards go from tender to firm, bids from firm to tender, purchases from buyer to
+    tender; a firm's market is the second part of its id. An alert without such edges has
+    no row.
+    """
+    own = lambda kind, src, dst: inner.where(F.col("edge_type") == kind).select("alert_id", F.col("src").alias(src), F.col("dst").alias(dst), "amount")
+    awards = own("awarded", "tender", "firm").withColumn("market", F.get(F.split("firm", ":"), F.lit(1)))
+    bids, buys = own("bids_on", "firm", "tender"), own("buys_from", "buyer", "tender")
+    found = {
+        "rotation": alert_rotations(awards), "cover_bid": alert_cover_bids(bids, above=above), "partition": market_partition(awards, buys.select("alert_id", "buyer", "tender").distinct()),
+        "clique": coordinated_cluster(bids, cv=cv), "common_control": maximal_cliques(inner.where("edge_type = 'linked_to'")),
+    }
+    return reduce(DataFrame.union, (df.select("alert_id", F.lit(k).alias("motif_type"), F.array_sort(F.array_distinct("nodes")).alias("nodes")) for k, df in found.items()))
+
+
+def largest_motif(found: DataFrame) -> DataFrame:
+    """The motif of each alert with most nodes, ties by type and nodes: (alert_id, motif_type, nodes)."""
+    top = found.groupBy("alert_id").agg(F.min(F.struct((-F.size("nodes")).alias("less"), "motif_type", "nodes")).alias("m"))
+    return top.select("alert_id", "m.motif_type", "m.nodes")
+
+
 #: The indicators that motifs point to, by framework.
 INDICATORS = [
     ("FATF", "FATF-STRUCT-01", "fan_in"), ("FATF", "FATF-LAYER-01", "fan_out"), ("FATF", "FATF-LAYER-02", "pass_through"), ("FATF", "FATF-CIRC-01", "cycle"), ("FATF", "FATF-SHELL-01", "common_control"),

@@ -316,6 +316,43 @@ def n10_alert_motifs(spark, sf_dir):
     return found.groupBy("alert_id", "motif_type").agg(F.count("*").alias("n"))
 
 
+TENDER_MOTIFS = f"""{BIDS}, g AS (SELECT *, split_part(tender, ':', 2) || '/' || year AS alert_id FROM b),
+rn AS (SELECT alert_id, market, list(firm) AS fs FROM (SELECT alert_id, market, firm FROM g WHERE won GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1, 2 HAVING count(*) >= 3),
+rt AS (SELECT alert_id, market, list(DISTINCT tender) AS ts FROM g WHERE won GROUP BY 1, 2),
+lo AS (SELECT alert_id, tender, count(*) AS n, min(amount) AS lo, max(amount) AS hi, list(DISTINCT firm) AS fs FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND max(amount) <= min(amount) * 1.5),
+bf AS (SELECT DISTINCT a.alert_id, z.buyer, a.firm FROM g a JOIN g z ON a.alert_id = z.alert_id AND a.tender = z.tender WHERE a.won),
+pf AS (SELECT alert_id, max(n) AS n, list(firm) AS fs FROM (SELECT alert_id, firm, count(*) AS n FROM bf GROUP BY 1, 2) GROUP BY 1 HAVING max(n) = 1),
+pb AS (SELECT alert_id, list(buyer) AS bs FROM (SELECT alert_id, buyer, count(*) AS n FROM bf GROUP BY 1, 2) GROUP BY 1 HAVING min(n) >= 2 AND count(*) >= 2),
+co AS (SELECT DISTINCT alert_id, firm FROM (SELECT x.alert_id, x.firm, z.firm AS other FROM g x JOIN g z ON x.tender = z.tender AND x.alert_id = z.alert_id AND x.firm <> z.firm GROUP BY 1, 2, 3 HAVING count(*) >= 2)),
+cf AS (SELECT alert_id, list(firm) AS fs FROM co GROUP BY 1 HAVING count(*) >= 3),
+ct AS (SELECT alert_id, list(tender) AS ts FROM (SELECT g.alert_id, tender, stddev_samp(amount) / avg(amount) AS cv FROM g JOIN co ON g.alert_id = co.alert_id AND g.firm = co.firm GROUP BY 1, 2) GROUP BY 1 HAVING max(cv) <= 2.5),
+tm AS (SELECT rn.alert_id, 'rotation' AS motif_type, list_sort(list_concat(fs, ts)) AS nodes FROM rn JOIN rt ON rn.alert_id = rt.alert_id AND rn.market = rt.market
+UNION ALL SELECT lo.alert_id, 'cover_bid', list_sort(list_append(fs, lo.tender)) FROM lo JOIN (SELECT g.alert_id, g.tender FROM g JOIN lo ON g.alert_id = lo.alert_id AND g.tender = lo.tender AND g.amount = lo.lo GROUP BY 1, 2 HAVING count(*) = 1) u ON lo.alert_id = u.alert_id AND lo.tender = u.tender
+UNION ALL SELECT pf.alert_id, 'partition', list_sort(list_concat(fs, bs)) FROM pf JOIN pb ON pf.alert_id = pb.alert_id
+UNION ALL SELECT cf.alert_id, 'clique', list_sort(list_concat(fs, ts)) FROM cf JOIN ct ON cf.alert_id = ct.alert_id)"""
+
+
+def tender_motifs(spark, sf_dir) -> DataFrame:
+    """Motifs of each nation's tenders of a year: cover bids up to half as high again, clusters with a CV of at most 2.5."""
+    b = by_nation_year(spark, sf_dir)
+    way = lambda kind, src, dst, amount: [F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("edge_type"), amount.cast("double").alias("amount")]
+    e = b.select("alert_id", *way("bids_on", "firm", "tender", F.col("amount")))
+    e = e.union(b.where("won").select("alert_id", *way("awarded", "tender", "firm", F.col("amount")))).union(b.select("alert_id", *way("buys_from", "buyer", "tender", F.lit(None))).distinct())
+    return motifs.alert_tender_motifs(staged(e, "tender-edges"), above=1.5, cv=2.5)
+
+
+@query(f"WITH {TENDER_MOTIFS} SELECT alert_id, motif_type, array_to_string(nodes, ',') AS nodes FROM tm")
+def n10_tender_motifs(spark, sf_dir):
+    """All motifs of tenders of every alert."""
+    return tender_motifs(spark, sf_dir).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query(f"WITH {TENDER_MOTIFS}, t AS (SELECT alert_id, min({{'n': -len(nodes), 'm': motif_type, 'x': nodes}}) AS b FROM tm GROUP BY 1) SELECT alert_id, b.m AS motif_type, len(b.x) AS n_nodes FROM t")
+def n10_named_alerts(spark, sf_dir):
+    """The largest motif names the alert."""
+    return motifs.largest_motif(tender_motifs(spark, sf_dir)).select("alert_id", "motif_type", F.size("nodes").cast("long").alias("n_nodes"))
+
+
 @query(f"""WITH {MOTIFS} SELECT rank::VARCHAR AS alert_id, 'FATF' AS framework, CASE motif_type WHEN 'fan_in' THEN 'FATF-STRUCT-01' ELSE 'FATF-LAYER-01' END AS indicator_id, count(*) AS instances, array_to_string(min(nodes), ',') AS first_nodes FROM mo GROUP BY 1, 3""")
 def n12_red_flags(spark, sf_dir):
     return motifs.red_flags(fans_of_alerts(spark, sf_dir)[1], "FATF").withColumn("first_nodes", F.array_join("first_nodes", ","))
@@ -336,14 +373,21 @@ def n14_bundle_counts(spark, sf_dir):
     return ranked.join(n, "rank", "left").agg(F.count("*").alias("bundles"), F.count_if(F.col("n") > 0).alias("with_motif"), F.coalesce(F.sum("n"), F.lit(0)).alias("motifs"))
 
 
-@query()
+@query(f"""WITH {INNER}{FEATURES.removeprefix(PAYMENTS)}, de AS (SELECT DISTINCT src, dst FROM e), ki AS (SELECT DISTINCT rank, src, dst FROM inn),
+te AS (SELECT q.rank, d.src, d.dst, d.src AS other, 'in' AS way FROM q JOIN de d ON d.dst = q.src UNION ALL SELECT q.rank, d.src, d.dst, d.dst, 'out' FROM q JOIN de d ON d.src = q.src),
+tv AS (SELECT te.rank, way, coalesce(velocity, 0) AS v, ki.rank IS NOT NULL AS kept FROM te JOIN f ON te.other = f.node_id LEFT JOIN ki ON ki.rank = te.rank AND ki.src = te.src AND ki.dst = te.dst),
+ts AS (SELECT rank, 0.6 * coalesce(avg(v) FILTER (way = 'in'), 0) + 0.4 * coalesce(avg(v) FILTER (way = 'out'), 0) AS whole,
+0.6 * coalesce(avg(v) FILTER (way = 'in' AND NOT kept), 0) + 0.4 * coalesce(avg(v) FILTER (way = 'out' AND NOT kept), 0) AS less,
+0.6 * coalesce(avg(v) FILTER (way = 'in' AND kept), 0) + 0.4 * coalesce(avg(v) FILTER (way = 'out' AND kept), 0) AS alone FROM tv GROUP BY 1)
+SELECT q.rank::VARCHAR AS alert_id, q.src AS node_id, round(coalesce(whole - less, 0), 6) + 0 AS change_without, round(coalesce(whole - alone, 0), 6) + 0 AS change_only FROM q LEFT JOIN ts ON q.rank = ts.rank""")
 def n15_edge_occlusion(spark, sf_dir):
     """Of every alert's members, how a linear score of neighbour velocities changes without and with only the edges inside the alert."""
     n, e = sized(spark, sf_dir)
     ranked, _ = queue(spark, sf_dir)
     f = staged(graph.payment_features(n, e).select("node_id", F.coalesce("velocity", F.lit(0.0)).alias("velocity")), "features")
     targets = ranked.select(F.col("rank").cast("string").alias("alert_id"), F.col("src").alias("node_id"))
-    return rounded(learning.edge_occlusion(targets, e, inner(spark, sf_dir), f, {"in_velocity": 0.6, "out_velocity": 0.4}))
+    df = learning.edge_occlusion(targets, e, inner(spark, sf_dir), f, {"in_velocity": 0.6, "out_velocity": 0.4})
+    return df.select("alert_id", "node_id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("change_without", "change_only")))
 
 
 def planted(spark, sf_dir):

@@ -391,6 +391,78 @@ def test_conform(spark):
     assert (found["column"], found.value, found.n) == ("edge_type", "owes", 1)
 
 
+def test_alerts_conform(spark):
+    """An alert has its 18 columns and the fixed caveat; ranks and sizes begin at 1."""
+    ok = spark.sql(f"SELECT 'a' AS alert_id, 'financial' AS domain, 'd' AS dataset, 'r' AS model_run_id, 1L AS rank, 0.5D AS risk_score, array('x', 'y') AS member_node_ids, 'cycle' AS motif_type, 2 AS n_members, timestamp'2020-01-01 00:00:00' AS created_at, '{alerts.CAVEAT}' AS caveats")
+    row = schemas.conform(ok, "alerts").first()
+    assert (len(row), row["rank"], row.member_node_ids, row.anchor_edges, row.overlap_group) == (18, 1, ["x", "y"], None, None)
+    for c, v in {"caveats": "guilty", "rank": 0, "n_members": -1, "created_at": None, "member_node_ids": None, "risk_score": "high"}.items():
+        with pytest.raises(schemas.SchemaError, match=c):
+            schemas.conform(ok.withColumn(c, F.lit(v)), "alerts")
+    assert schemas.outside_vocabulary(ok.withColumn("motif_type", F.lit("ring"))).first()["value"] == "ring"
+    assert schemas.outside_vocabulary(ok).count() == 0
+    history = spark.sql("SELECT 'n' AS node_id, 3 AS step, 'illicit' AS label")
+    assert schemas.conform(history, "label_history").dtypes[1] == ("step", "bigint")
+    with pytest.raises(schemas.SchemaError):
+        schemas.conform(history.withColumn("label", F.lit("unknown")), "label_history")
+    truth = spark.sql("SELECT 'i' AS instance_id, 'cycle' AS motif_type, array('a') AS member_node_ids, 5 AS n_edges")
+    assert schemas.conform(truth, "ground_truth").first().n_edges == 5
+    with pytest.raises(schemas.SchemaError):
+        schemas.conform(spark.sql("SELECT 'n' AS node_id, 'licit' AS label, 's' AS label_source, 1.5 AS confidence"), "labels")
+
+
+def test_inner_edges_of_hubs(spark):
+    """Hubs of payments and of alerts, repeated edges, loops, ends in no alert and null ends."""
+    rng = random.Random(2)
+    rows = [(f"a{rng.randrange(30)}", f"a{rng.randrange(30)}", k, 1.0) for k in range(150)] + [("a0", f"b{k}", k, 1.0) for k in range(40)] + [("a1", "a1", 0, 1.0), ("a1", None, 0, 1.0)] * 2
+    members = [(f"x{k}", f"a{rng.randrange(30)}") for k in range(8) for _ in range(9)] + [(f"x{k}", "a0") for k in range(8)] * 2 + [("x0", None)]
+    own = collections.defaultdict(set)
+    for a, n in members:
+        own[a].add(n)
+    want = collections.Counter((a, *r) for a in own for r in rows if r[1] and {r[0], r[1]} <= own[a])
+    got = motifs.induced_edges(spark.createDataFrame(members, "alert_id string, node_id string"), edge_table(spark, rows).drop("edge_type"))
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
+def test_edge_occlusion(spark):
+    """Means over neighbours with, without and with only the kept edges, against a plain version."""
+    rng = random.Random(4)
+    rows = random_graph(12, 60, 4)
+    edges = {r[:2] for r in rows}
+    value = {f"a{k}": rng.random() for k in range(11)} | {"a3": None}  # a11 has no features
+    targets = [(f"x{k}", f"a{rng.randrange(13)}") for k in range(6)] * 2
+    kept = [(a, *e) for a, _ in targets for e in rng.sample(sorted(edges), 12)] + [("x0", "a1", "nowhere")]
+    weights = {"in_v": 0.7, "out_v": -0.2}
+
+    def score(n, es):
+        ins, outs = ([value[o] or 0 for o in os if o in value] for os in ([s for s, d in es if d == n], [d for s, d in es if s == n]))
+        return sum(w * (sum(x) / len(x) if x else 0) for w, x in zip(weights.values(), (ins, outs)))
+
+    got = {(r.alert_id, r.node_id): (r.change_without, r.change_only) for r in learning.edge_occlusion(
+        spark.createDataFrame(targets, "alert_id string, node_id string"), edge_table(spark, rows), spark.createDataFrame(kept, "alert_id string, src string, dst string"),
+        spark.createDataFrame(list(value.items()), "node_id string, v double"), weights).collect()}
+    assert set(got) == set(targets)
+    for (a, n), (without, only) in got.items():
+        own = {(s, d) for x, s, d in kept if x == a} & edges
+        assert without == pytest.approx(score(n, edges) - score(n, edges - own)) and only == pytest.approx(score(n, edges) - score(n, own))
+
+
+def test_tender_motifs_of_alerts(spark):
+    awards = [("r", f"t:m:{k}", f"f:m:{k % 3}", "awarded", 1.0) for k in range(6)] + [("r", "t:m:9", "f:m:9", "awarded", 1.0), ("r", "t:o:1", "f:o:1", "awarded", 1.0)]
+    bids = [("c", f"f:{k}", "t:1", "bids_on", p) for k, p in enumerate((100.0, 103.0, 106.0))] + [("c", f"f:{k}", "t:2", "bids_on", p) for k, p in enumerate((100.0, 100.0, 101.0))]
+    bids += [("c", f"f:{k}", "t:3", "bids_on", p) for k, p in enumerate((100.0, 103.0, 107.0))] + [("c", "f:0", "t:4", "bids_on", 1.0), ("c", "f:1", "t:4", "bids_on", None)]
+    part = [("p", f"t:{k}", f"f:{k}", "awarded", 1.0) for k in range(4)] + [("p", f"b:{k // 2}", f"t:{k}", "buys_from", None) for k in range(4)]
+    linked = [("l", "u", "v", "linked_to", None), ("l", "v", "w", "linked_to", None), ("l", "w", "u", "linked_to", None)]
+    got = motifs.alert_tender_motifs(spark.createDataFrame(awards + bids + part + linked, "alert_id string, src string, dst string, edge_type string, amount double"))
+    rows = {(r.alert_id, r.motif_type, tuple(r.nodes)) for r in got.collect()}
+    assert rows == {
+        ("r", "rotation", tuple(sorted([f"f:m:{k}" for k in range(3)] + [f"t:m:{k}" for k in (0, 1, 2, 3, 4, 5, 9)]))),
+        ("c", "cover_bid", ("f:0", "f:1", "f:2", "t:1")), ("c", "clique", ("f:0", "f:1", "f:2", "t:1", "t:2", "t:3", "t:4")),
+        ("p", "partition", ("b:0", "b:1", "f:0", "f:1", "f:2", "f:3")), ("l", "common_control", ("u", "v", "w")),
+    }
+    assert {r.alert_id: r.motif_type for r in motifs.largest_motif(got).collect()} == {"r": "rotation", "c": "clique", "p": "partition", "l": "common_control"}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "releases").mkdir()
     rows = [json.dumps({"ocid": "a", "date": "2019-05-01"}), "", json.dumps({"ocid": "b"})]
