@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerscope.llm import decontam, html_text, near_dup, packing, quality, secrets, tokens, warc
 
@@ -442,6 +443,23 @@ def test_language_model(spark, sf, documents, odd, empty):
     assert lm_score.lm_scores(empty).count() == 0
 
 
+def test_language_model_does_not_depend_on_blocks(spark, sf):
+    """Blocks, and so the number of tasks, change nothing; nor does a row's id beside who learns."""
+    import math
+
+    from ledgerscope.llm import lm_score
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = ({r.doc_id: r for r in lm_score.lm_scores(docs, block_bytes=b).collect()} for b in (16 << 20, 1 << 14))
+    assert one.keys() == many.keys()
+    for k, r in one.items():
+        assert r[:5] == many[k][:5] and math.isclose(r.base_score, many[k].base_score, rel_tol=1e-9)
+        assert math.isclose(r.score, many[k].score, rel_tol=1e-6) and math.isclose(r.bits_per_byte, many[k].bits_per_byte, rel_tol=1e-6)
+    nameless = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2").withColumn("doc_id", F.lit(None).cast("long"))
+    got = sorted(r.score for r in lm_score.lm_scores(nameless, block_bytes=1 << 14).collect())
+    assert len(got) == nameless.count() and all(not math.isnan(x) and x < 0 for x in got)
+
+
 def test_spelling_is_a_distribution():
     """Over all bytes, next-byte probabilities add up to one."""
     import numpy as np
