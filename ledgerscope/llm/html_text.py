@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,11 @@ NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*
 #: Words that tell what an element goes with, not what it is; and those of the marks that tell readers' comments.
 MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-][^\s]*", re.I)
 COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
+#: Blocks that go with the run they touch: of text, and of rows or items.
+PROSE = frozenset("blockquote figure h1 h2 h3 h4 h5 h6 p pre".split())
+DATA = frozenset("details dl ol table ul".split())
+#: What ends an open element of the first kind if it is open inside the innermost of the last.
+ENDS = {"li": ({"li"}, {"ol", "ul", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"})}
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
@@ -130,11 +136,11 @@ def label_counts(page: str) -> dict[str, list[int]] | None:
     return counts
 
 
-def fit_weights(pages: DataFrame, sample_rows: int = 2000, most: float = 4.0) -> dict[str, float]:
+def fit_weights(pages: DataFrame, sample_rows: int = 2000, most: float = 4.0, names: int = 500) -> dict[str, float]:
     """Weights from labelled pages: those that mark their content with article or main.
 
-    About sample_rows pages, drawn from all partitions, are read, a bound on a fit and not
-    on results.
+    About sample_rows pages, drawn from all partitions, are read, and weights are fitted for the
+    names features that occur most in them; both bound the fit and not results.
     A feature's weight is its smoothed log odds; words weigh at least 0.2 and tags at
     most -0.02. What lies in excluded elements counts nothing. Without labelled pages
     the defaults of score_of() hold.
@@ -154,7 +160,7 @@ def fit_weights(pages: DataFrame, sample_rows: int = 2000, most: float = 4.0) ->
     drawn = pages.sample(min(1.0, sample_rows / max(n, 1)), seed=5) if n > sample_rows else pages
     labelled = drawn.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html")
     counts = labelled.mapInArrow(run, "name string, outside bigint, inside bigint").groupBy("name").agg(F.sum("outside").alias("o"), F.sum("inside").alias("i"))
-    found = counts.orderBy(F.desc(F.col("o") + F.col("i")), "name").limit(500).collect()
+    found = counts.orderBy(F.desc(F.col("o") + F.col("i")), "name").limit(names).collect()
     out = {}
     for kind in ("word:", "tag:"):
         own = [r for r in found if r["name"].startswith(kind)]
@@ -183,11 +189,115 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return start, end
 
 
+class Part:
+    """An element's place among the tokens, its parts, and its words outside excluded elements, all and those in links."""
+
+    __slots__ = ("barred", "cells", "end", "linked", "parts", "start", "tag", "words")
+
+    def __init__(self, tag: str, start: int, barred: bool) -> None:
+        self.tag, self.start, self.end, self.barred = tag, start, start + 1, barred
+        self.parts: list[Part] = []
+        self.words = self.linked = 0
+        self.cells = True  # no division or table lies inside
+
+    def goes_along(self) -> bool:
+        """Whether the run takes the block in whole: prose, or rows or items that hold no divisions, and mostly not links."""
+        return not self.barred and self.words > 2 * self.linked and (self.tag in PROSE or self.tag in DATA and self.cells)
+
+
+def parts_of(tokens: list[tuple[str, str, bool]]) -> Part:
+    """The page as a tree of its blocks; text and other tags count for the block they lie in."""
+    page = Part("", 0, False)
+    page.end = len(tokens)
+    stack, link = [page], False
+
+    def shut(at: int) -> None:
+        done = stack.pop()
+        done.end = at
+        up = stack[-1]
+        up.words += done.words
+        up.linked += done.linked
+        up.cells &= done.cells and done.tag not in ("article", "div", "form", "main", "section", "table")
+
+    for k, (tag, s, barred) in enumerate(tokens):
+        if not tag:
+            if not barred:
+                n = len(s.split())
+                stack[-1].words += n
+                stack[-1].linked += n * link
+        elif tag == "a":
+            link = s != "/"
+        elif tag in BLOCKS and tag not in VOID:
+            if s == "/":
+                if any(x.tag == tag for x in stack[1:]):
+                    while stack[-1].tag != tag:
+                        shut(k)
+                    shut(k + 1)
+                continue
+            if stack[-1].tag == "p":
+                shut(k)
+            if tag in ENDS:
+                ended, inside = ENDS[tag]
+                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag in ended or stack[d].tag in inside), 0)
+                while depth and len(stack) > depth and stack[depth].tag in ended:
+                    shut(k)
+            new = Part(tag, k, barred)
+            stack[-1].parts.append(new)
+            stack.append(new)
+    while len(stack) > 1:
+        shut(len(tokens))
+    return page
+
+
+def with_neighbours(tokens: list[tuple[str, str, bool]], start: int, end: int) -> tuple[int, int]:
+    """The run with the blocks that it cuts or touches: text, tables and lists whose short cells and items end the run of largest sum.
+
+    A block that goes along is taken whole, also beyond excluded elements and blocks
+    without words between it and the run. A run that holds all words of the element
+    around it goes on at that element's neighbours.
+    """
+    if start >= end:
+        return start, end
+    page = parts_of(tokens)
+    path = [page]
+    while inner := next((x for x in path[-1].parts if x.start <= start and x.end >= end), None):
+        path.append(inner)
+    along = next((k for k, x in enumerate(path) if x.goes_along()), len(path))
+    if along < len(path):
+        start, end = path[along].start, path[along].end
+    said = [k for k, (tag, text, barred) in enumerate(tokens) if not tag and not barred and text.strip()]
+    silent = lambda a, b: bisect_left(said, a) == bisect_left(said, b)  # noqa: E731  no word from a to b
+    for own in reversed(path[:along]):
+        todo = [x for x in own.parts if x.end > start and x.start < end]
+        while todo:  # blocks that the run begins or ends in
+            x = todo.pop()
+            if x.end <= start or x.start >= end or x.start >= start and x.end <= end:
+                continue
+            if x.goes_along():
+                start, end = min(start, x.start), max(end, x.end)
+            else:
+                todo += x.parts
+        for x in own.parts:
+            if x.start >= end and x.goes_along():
+                if not silent(end, x.start):
+                    break
+                end = x.end
+        for x in reversed(own.parts):
+            if x.end <= start and x.goes_along():
+                if not silent(x.end, start):
+                    break
+                start = x.start
+        if own.tag in ("td", "th") or not silent(own.start, start) or not silent(end, own.end):
+            break
+        start, end = own.start, own.end
+    return start, end
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """Blocks of the best run outside excluded elements, joined by two line feeds."""
+    """Blocks of the best run and of what goes along with it, outside excluded elements, joined by two line feeds."""
     tokens = parse(page)
     scores = [n * score_of(name, weights) for name, n in features(tokens)]
-    start, end = best_run(scores)
+    start, end = with_neighbours(tokens, *best_run(scores))
     blocks, now = [], []
     for tag, s, barred in tokens[start:end]:
         if not tag:

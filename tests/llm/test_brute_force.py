@@ -338,6 +338,35 @@ def test_html_marked_wrappers_and_comments(spark):
     assert {k: t.removeprefix("Home").strip() for k, t in got.items()} == {k: want for k in range(len(pages))}
 
 
+ROWS = "".join(f"<tr><td>k{k}</td><td>{k * 7}</td></tr>" for k in range(40))
+STORY = " ".join(f"word{k}" for k in range(60))
+CELLS = "\n\n".join(f"k{k}\n\n{k * 7}" for k in range(40))
+LINKS = "<ul>" + "<li><a href=x>More</a></li>" * 9 + "</ul>"
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"<div><p>{STORY}</p><table>{ROWS}</table></div>", f"{STORY}\n\n{CELLS}"),
+    (f"<div><table><tbody>{ROWS}</tbody></table><p>{STORY}</p></div>", f"{CELLS}\n\n{STORY}"),
+    (f"<div><p>{STORY}</p><table>{ROWS}</table><p>The end of it.</p></div>", f"{STORY}\n\n{CELLS}\n\nThe end of it."),
+    (f"<div><p>{STORY}</p><dl><dt>a<dd>b<dt>c<dd>d</dl></div>", f"{STORY}\n\na\n\nb\n\nc\n\nd"),
+    (f"<div><p>{STORY}</p><div class=ad>Buy this</div><ol><li>a<li>b</ol></div>", f"{STORY}\n\na\n\nb"),
+    (f"<div><div><p>{STORY}</p></div><ul><li>x</ul></div>", f"{STORY}\n\nx"),
+    (f"<table>{ROWS}<tr><td>{STORY}</td></tr></table>", f"{CELLS}\n\n{STORY}"),
+    (f"<div><p>{STORY}</p>{LINKS}</div>", STORY),
+    (f"<div>{LINKS}<p>{STORY}</p></div><ul class=menu><li>x</ul>", STORY),
+    (f"<table><tr><td>{LINKS}</td><td><div><p>{STORY}</p><table>{ROWS}</table></div></td></tr></table>", f"{STORY}\n\n{CELLS}"),
+    ("<div>" * 2000 + f"<p>{STORY}</p><table>{ROWS}</table>", f"{STORY}\n\n{CELLS}"),
+])
+def test_html_keeps_tables_and_lists(weights, body, want):
+    """Short cells and items, whose tags cost more than their words gain, go with the text they touch; lists of links do not."""
+    assert html_text.main_text(f"<html><body>{body}</body></html>", weights) == want
+
+
+@pytest.fixture(scope="module")
+def weights(spark, sf):
+    return html_text.fit_weights(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def test_html_soft_words(spark):
     """related-work and social-science are topics, related-posts and social a part of the page."""
     story = "<p>The story of the day is told here in quite some words.</p>"
