@@ -16,7 +16,7 @@ from ledgerscope.functions.staging import staged
 from ledgerscope.llm.common import rows, steps, table, taken, texts
 from ledgerscope.llm.tokens import encoder, tokenizer_file
 
-CAPACITY, END_ID, GROUP = 1024, 2, 8000
+CAPACITY, END_ID, GROUP = 1024, 2, 64_000
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -130,7 +130,7 @@ def best_fit_decreasing(size: list[int], capacity: int, rng: random.Random | Non
     return one
 
 
-def evolve(size: list[int], capacity: int, seed: int, given: list[Packing] = (), population: int = 4, generations: int = 8) -> Packing:
+def evolve(size: list[int], capacity: int, seed: int, given: list[Packing] = (), population: int = 6, generations: int = 24) -> Packing:
     """The best packing found from the given ones, best fit and blurred best fits; stops at once with the least bins there can be."""
     rng = random.Random(seed)
     least = least_bins(size, capacity)
