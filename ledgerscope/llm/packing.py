@@ -139,16 +139,19 @@ def evolve(size: list[int], capacity: int, seed: int, given: list[Packing] = (),
         if max(len(x.bins) for x in people) <= least or len(people) >= population:
             break
         people.append(best_fit_decreasing(size, capacity, rng))
-    best = max(people, key=Packing.worth)
+    worth = [x.worth() for x in people]
+    top = max(worth)
+    best = people[worth.index(top)]
     for _ in range(generations):
         if len(best.bins) <= least or len(people) < 2:
             break
         a, b = rng.sample(range(len(people)), 2)
         child = crossover(people[a], people[b], rng)
-        worst = min(range(len(people)), key=lambda k: people[k].worth())
-        if child.worth() > people[worst].worth():
-            people[worst] = child
-        best = max(best, child, key=Packing.worth)
+        value, worst = child.worth(), worth.index(min(worth))
+        if value > worth[worst]:
+            people[worst], worth[worst] = child, value
+        if value > top:
+            best, top = child, value
     return best
 
 
