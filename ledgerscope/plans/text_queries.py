@@ -177,10 +177,11 @@ def a4_json_lines(spark, sf_dir):
 
 
 def stored(spark, sf_dir) -> str:
-    """A store with two data sets of the ledger's tables."""
+    """A store with two data sets of the ledger's tables; nodes and both parts of the edges come from payments that are joined once."""
     root = scratch(spark, "store")
-    e = payments(spark, sf_dir).withColumns({"directed": F.lit(True), "raw_attrs": F.lit(None).cast("string")})
-    n = sized(spark, sf_dir)[0].select("node_id", F.lit("account").alias("node_type"), F.lit("financial").alias("domain"), "time_first_seen")
+    n, e = sized(spark, sf_dir)
+    e = e.withColumns({"directed": F.lit(True), "raw_attrs": F.lit(None).cast("string")})
+    n = n.select("node_id", F.lit("account").alias("node_type"), F.lit("financial").alias("domain"), "time_first_seen")
     l = account_labels(spark, sf_dir).select("node_id", "label", F.lit("balance").alias("label_source"), F.lit(1.0).alias("confidence"))
     for dataset, part in (("even", 0), ("odd", 1)):
         files.write_table(e.where(F.col("timestamp") % 2 == part), root, dataset, "edges")
@@ -198,8 +199,9 @@ def a6_union_view(spark, sf_dir):
 
 @query(f"WITH {PAYMENTS}, {NODES}, {LABELS} SELECT 'edges' AS name, count(*) AS n FROM e WHERE ts % 2 = 0 UNION ALL SELECT 'nodes', count(*) FROM n UNION ALL SELECT 'labels', count(*) FROM l UNION ALL SELECT 'features_degree', count(*) FROM n")
 def a7_catalog(spark, sf_dir):
+    """The features are of the nodes that the store holds."""
     root = stored(spark, sf_dir)
-    files.write_features(sized(spark, sf_dir)[0].select("node_id", F.lit(1).alias("x")), root, "even", "degree", 9800)
+    files.write_features(files.read_table(spark, root, "even", "nodes", ["node_id"]).withColumn("x", F.lit(1)), root, "even", "degree", 9800)
     return files.table_counts(spark, files.open_catalog(spark, root, "even", ["edges", "nodes", "labels"], ["degree"]))
 
 
