@@ -45,7 +45,9 @@ def o5_merged_facts(spark, sf_dir):
     """Embeddings as facts: near-duplicates at a cosine of 0.92 are one."""
     v = table(spark, sf_dir, "embeddings")
     facts = v.select(F.col("vec_id").alias("fact_id"), F.concat(F.lit("fact "), F.col("vec_id").cast("string")).alias("text"), F.concat(F.lit("s"), (F.col("vec_id") % 7).cast("string")).alias("source"), F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("categories"), ((F.col("vec_id") % 10) / 10).alias("confidence"))
-    return rounded(text.merged_facts(facts, text.close_pairs(v)).withColumn("categories", F.array_join("categories", ",")))
+    same = staged(text.equal_vectors(v), "equal")
+    firsts = v.join(same.where("fact_id = first").select(F.col("fact_id").alias("vec_id")), "vec_id", "left_semi")
+    return rounded(text.merged_facts(facts, text.close_pairs(firsts), same).withColumn("categories", F.array_join("categories", ",")))
 
 
 KEYWORDS = {"credentials": ["password", "secret", "token"], "licence": ["license", "copyright"], "numbers": ["1", "2"]}
