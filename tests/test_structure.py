@@ -89,6 +89,24 @@ def test_k_core_of_long_shapes(spark, monkeypatch):
     assert written.count("stars") < 40 and written.count("marked") < 5
 
 
+def test_rounds_count_only_what_falls(spark, monkeypatch):
+    """A strip that peels from its ends: later rounds count only nodes that have lost support, not every node again."""
+    from ledgerscope.operators import cores
+
+    n, rows, staged = 30, [], cores.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "cores":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(cores, "staged", counted)
+    pairs = [(f"{a}", f"{b}") for a in range(n) for b in range(a + 1, min(n, a + 4))]
+    assert {r.node_id: r.core for r in graph.k_core(pairs_table(spark, pairs)).collect()} == peeled(pairs)
+    assert len(rows) > 5 and sum(rows) <= 4 * n
+
+
 def walked(ranks, pairs):
     held, kept = collections.defaultdict(list), {}
     for a, b in pairs:
