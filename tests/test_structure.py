@@ -90,10 +90,10 @@ def test_k_core_of_long_shapes(spark, monkeypatch):
 
 
 def test_rounds_count_only_what_falls(spark, monkeypatch):
-    """A strip that peels from its ends: later rounds count only nodes that have lost support, not every node again."""
+    """A strip that peels from its ends beside a clique: later rounds count only nodes that have lost support, not every node again."""
     from ledgerscope.operators import cores
 
-    n, rows, staged = 30, [], cores.staged
+    n, still, rows, staged = 30, 120, [], cores.staged
 
     def counted(df, name):
         out = staged(df, name)
@@ -103,8 +103,9 @@ def test_rounds_count_only_what_falls(spark, monkeypatch):
 
     monkeypatch.setattr(cores, "staged", counted)
     pairs = [(f"{a}", f"{b}") for a in range(n) for b in range(a + 1, min(n, a + 4))]
+    pairs += [(f"c{a}", f"c{b}") for a, b in itertools.combinations(range(still), 2)]
     assert {r.node_id: r.core for r in graph.k_core(pairs_table(spark, pairs)).collect()} == peeled(pairs)
-    assert len(rows) > 5 and sum(rows) <= 4 * n
+    assert len(rows) > 5 and sum(rows) <= 4 * n + still
 
 
 def walked(ranks, pairs):
