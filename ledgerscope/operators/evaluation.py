@@ -49,8 +49,8 @@ def member_metrics(members: dict[str, DataFrame], labels: DataFrame, budgets: li
 
 
 def evaluation_report(alerts: DataFrame, members: DataFrame, labels: DataFrame, scores: DataFrame, budgets: list[int]) -> DataFrame:
-    """One report as rows (level, metric, budget, value): dedup counts, queue metrics and coverage, node metrics."""
-    deduped = staged(queue.greedy_dedup(alerts, members), "deduped")
+    """One report as rows (level, metric, budget, value): dedup counts, queue metrics and coverage, node metrics; alerts of any size."""
+    deduped = staged(queue.greedy_dedup(alerts, members, most=None), "deduped")
     kept = deduped.where("kept").select("rank")
     own = members.join(kept, "rank", "left_semi")
     hits = queue.hit_rule(own, labels, 1)
